@@ -3,22 +3,30 @@
 The vocabulary's pre-tokenizer never lets a piece span ASCII white space, its
 normaliser (composition, white-space folding, lower-casing by character) never
 acts across it, and its special tokens hold none; so the ids of a text are the
-ids of its words ``[^\\x20\\x09-\\x0D]+`` in order.  Words repeat, so each worker
-keeps a bounded memo of word -> packed ids, and new words go to the tokenizers
-library many at a time, with a special token between them.
+ids of its words ``[^\\x20\\x09-\\x0D]+`` in order.  Within a word of Latin letters,
+digits and ASCII signs the pre-tokenizer's pieces are runs of letters, single
+digits and runs of signs, each encoded by itself.  Words and runs repeat, so
+each worker keeps bounded memos of their packed ids; what is new goes to the
+tokenizers library: runs of composed Latin letters to its BPE model, anything
+else whole to its full pipeline.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Sequence
+import re
+import unicodedata
+from collections.abc import Callable, Iterable
 
 import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
-MEMO = 400_000  # words a worker remembers
+MEMO = 200_000  # entries of a memo's generation; it has two
 LONGEST = 64  # bytes of a word that is remembered
 
+#: Letters whose small form is one composed letter: basic Latin, Latin-1 and Latin Extended-A and -B without the dotted capital I.
+_RUNS = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+|[0-9]|[!-&(-/:-@\\[-`{-~]+")
+
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
@@ -26,6 +34,35 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_alphabet() -> list[str]:
+    """The byte-level pre-tokenizer's letter of each byte: printable bytes stand for themselves, the others follow from U+0100 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    out, extra = [], 256
+    for b in range(256):
+        out.append(chr(b if b in printable else extra))
+        extra += b not in printable
+    return out
+
+
+class Memo(dict):
+    """key -> value, remembered in two generations of bounded size."""
+
+    def __init__(self, make: Callable, limit: int = MEMO):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONGEST:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class WordEncoder:
     """Texts to little-endian unsigned 32-bit ids."""
 
@@ -34,60 +71,35 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or vocabulary_path())
-        special = self.tokenizer.get_added_tokens_decoder()
-        self.mark_id, token = max(special.items())
-        self.mark = f" {token.content} "
-        self.openers = {t.content[0] for t in special.values()}
-        self.memo: dict[bytes, bytes] = {}
-        self.limit = memo
+        self.model = self.tokenizer.model
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.alphabet = byte_alphabet()
+        self.runs = Memo(self._run, memo)
+        self.words = Memo(self._word, memo)
 
     @property
     def size(self) -> int:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
 
-    def _ids(self, texts: Sequence[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Packed ids of new words."""
-        texts = [w.decode("utf-8", "replace") for w in words]
-        plain = [i for i, t in enumerate(texts) if not any(c in t for c in self.openers)]
-        out: dict[bytes, bytes] = {}
-        for at in range(0, len(plain), 4096):
-            some = plain[at : at + 4096]
-            ids = np.array(self._ids([self.mark.join(texts[i] for i in some)])[0], np.uint32)
-            cuts = np.flatnonzero(ids == self.mark_id)
-            if len(cuts) != len(some) - 1:
-                raise ValueError("the tokenizer did not keep the marks between words")
-            packed, a = ids.tobytes(), 0
-            for i, z in zip(some, [*cuts.tolist(), len(ids)], strict=True):
-                out[words[i]] = packed[4 * a : 4 * z]
-                a = z + 1
-        odd = sorted(set(range(len(words))) - set(plain))
-        for i, ids in zip(odd, self._ids([texts[i] for i in odd]), strict=True):
-            out[words[i]] = np.array(ids, np.uint32).tobytes()
-        return out
+    def _run(self, run: str) -> bytes:
+        text = run if run.isascii() else "".join([self.alphabet[b] for b in run.encode()])
+        return np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        runs = _RUNS.findall(text)
+        if sum(map(len, runs)) == len(text) and not ("<" in text and any(s in text for s in self.specials)):
+            small = text.lower()
+            if small.isascii() or unicodedata.is_normalized("NFC", small):
+                return b"".join([self.runs[r] for r in _RUNS.findall(small)])
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode(self, text: str | None) -> bytes:
+        """Packed ids of a text; none for null."""
+        return b"".join(map(self.words.__getitem__, (text or "").encode("utf-8", "replace").split()))
 
     def encode_many(self, texts: Iterable[str | None]) -> list[bytes]:
-        """Packed ids of each text; none for null."""
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        memo = self.memo
-        new = {w for words in split for w in words}
-        new.difference_update(memo)
-        learned = self._learn(list(new)) if new else {}
-        if len(memo) + len(learned) > self.limit:
-            needed = {w: memo[w] for words in split for w in words if w in memo}
-            memo.clear()
-            memo.update(needed)
-        memo.update(learned)
-        out = [b"".join([memo[w] for w in words]) for words in split]
-        if len(memo) > self.limit:
-            memo.clear()
-        else:
-            for w in learned:
-                if len(w) > LONGEST:
-                    del memo[w]
-        return out
+        return [self.encode(t) for t in texts]
 
 
 _ENCODERS: dict[tuple[str, int], WordEncoder] = {}
