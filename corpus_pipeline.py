@@ -1,27 +1,61 @@
-"""The corpus pipeline: documents through quality, toxicity, near-dedup, decontamination and packing."""
+"""The corpus pipeline: documents through quality, toxicity, near-dedup, decontamination and packing.
+
+Each stage takes (spark, docs, sf_dir), works on every row its predecessor kept
+and returns a DataFrame that is written as Parquet and read again as the next
+one's docs.  All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-from flowspark.llm import fertility, packing
+from flowspark.llm import decontamination, fertility, minhash, packing, toxicity
+from flowspark.llm.common import materialize
+from flowspark.llm.queries import table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts that the word and line counts or the tokeniser bands reject."""
     return fertility.keep_good(docs)
 
 
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts at or above the toxicity threshold; the classifier learns from the labelled documents."""
+    return toxicity.keep_civil(docs, toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group linked at a similarity of 0.8 on five-word shingles."""
+    return minhash.keep_one(docs, width=5, percent=80)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts that hold a benchmark item within its error budget."""
+    return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences."""
     return packing.pack(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("best-fit packing", best_fit_packing)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", quality_rules),
+    ("toxicity", toxicity_filter),
+    ("near-dedup", near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("best-fit packing", best_fit_packing),
+]
 
-ORACLE_SQL = None
+#: Tokenisation, the classifier and edit distances are beyond SQL; tests hold run() against a brute-force version.
+ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over the whole documents table."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
