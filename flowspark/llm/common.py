@@ -98,3 +98,11 @@ def with_slots(df: DataFrame, part: str, order: list[str], out: str, rows: int,
     local = df.withColumn(n, F.row_number().over(Window.partitionBy(chunk, part).orderBy(*order)))
     joined = local.join(bases, [chunk, part])
     return joined.withColumn(out, F.col(base) + F.col(n) - 1).drop(chunk, base, n)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of stages whose results are written and whose DataFrames are gone."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

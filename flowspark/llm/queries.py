@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fertility, language_id, minhash, packing, rans, sharding, toxicity, url_filters
+from . import decontamination, fertility, katz, language_id, minhash, packing, rans, sharding, toxicity, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_fertility_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality(table(spark, sf_dir, "documents"))
 
 
+def op6_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scores(table(spark, sf_dir, "documents"))
+
+
 def op7_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_counterfactual_toxicity,
         op4_karmarkar_karp_shards,
         op5_fertility_quality,
+        op6_katz_scores,
         op7_pigeonhole_decontamination,
         op8_best_fit_packing,
         op9_rans_token_files,
