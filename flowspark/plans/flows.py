@@ -84,3 +84,108 @@ def as_v5(view: DataFrame, per_datagram: int = 10) -> DataFrame:
         octets(F.lit(184483840) + F.col("g") % 8, 4).alias("src_addr"), F.lit(2055).alias("src_port"), octets(F.lit(184483583), 4).alias("dst_addr"), F.lit(2055).alias("dst_port"),
         payload.alias("payload"), "received_ns", F.col("g").alias("seq"),
     )
+
+
+def _grouped(view: DataFrame, record: Column, per_datagram: int) -> DataFrame:
+    """g, n and the records' hex texts of each datagram, in order."""
+    rows = view.select(floor_div(F.col("event_id"), per_datagram).alias("g"), "event_id", record.alias("record"))
+    packed = rows.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("event_id", "record"))).alias("rs"), F.count("*").alias("n"))
+    return packed.withColumn("body", F.array_join(F.transform("rs", lambda r: r["record"]), "")).drop("rs")
+
+
+START_S, EXPORTERS = 1_700_000_000, 8
+FIRST_TEMPLATE, SECOND_TEMPLATE, FIRST_RATE, SECOND_RATE = 2, 20, 5, 30
+
+
+def _datagrams(rows: DataFrame, hex_payload: Column, nudge: int = 0) -> DataFrame:
+    """Datagrams of exporter g % EXPORTERS at second g; nudge: ns later."""
+    return rows.select(
+        octets(F.lit(184483840) + F.col("g") % EXPORTERS, 4).alias("src_addr"), F.lit(2055).alias("src_port"), octets(F.lit(184483583), 4).alias("dst_addr"), F.lit(2055).alias("dst_port"),
+        F.unhex(hex_payload).alias("payload"), ((F.lit(START_S) + F.col("g")) * 1_000_000_000 + nudge).alias("received_ns"), (F.col("g") * 4 + nudge).alias("seq"),
+    )
+
+
+def _set(number: int, body: Column) -> Column:
+    padded = F.concat(body, F.repeat(F.lit("0"), F.pmod(-F.length(body), F.lit(8)).cast("int")))
+    return F.concat(hexed(F.lit(number), 2), hexed(F.length(padded) / 2 + 4, 2), padded)
+
+
+def _v9(count: Column, body: Column) -> Column:
+    return F.concat(F.lit("0009"), hexed(count, 2), hexed(F.lit(UPTIME), 4), hexed(F.lit(START_S) + F.col("g"), 4), hexed(F.col("g"), 4), hexed(F.lit(256), 4), body)
+
+
+def _template(number: int, fields: list[tuple[int, int]]) -> str:
+    return f"{number:04X}{len(fields):04X}" + "".join(f"{k:04X}{n:04X}" for k, n in fields)
+
+
+#: Two layouts of one template id; the second replaces the first in the middle of each exporter's stream.
+LAYOUT_A = [(1, 4), (2, 4), (8, 4), (12, 4), (7, 2), (11, 2), (4, 1), (10, 2), (14, 2), (22, 4), (21, 4), (16, 2), (17, 2)]
+LAYOUT_B = [(12, 4), (8, 4), (4, 1), (2, 8), (1, 8), (11, 2), (7, 2), (17, 4), (16, 4), (21, 4), (22, 4), (14, 4), (10, 4)]
+
+
+def _layout(fields: list[tuple[int, int]]) -> Column:
+    i = F.col("event_id")
+    of = {
+        1: F.col("bytes"), 2: F.col("packets"), 8: F.col("src"), 12: F.col("dst"), 7: F.col("src_port"), 11: F.col("dst_port"), 4: F.col("proto"), 10: F.col("in_if"), 14: F.col("out_if"),
+        22: F.lit(UPTIME) - i % 1000, 21: F.lit(UPTIME) - i % 100, 16: F.col("src_as"), 17: F.col("dst_as"),
+    }
+    return F.concat(*[hexed(of[k], n) for k, n in fields])
+
+
+def as_v9(view: DataFrame, per_datagram: int = 10) -> DataFrame:
+    """Data datagrams, the two templates and two sampling rates of every exporter; the first data comes before any template."""
+    k = floor_div(floor_div(F.col("event_id"), per_datagram), EXPORTERS)
+    record = F.when(k < SECOND_TEMPLATE, _layout(LAYOUT_A)).otherwise(_layout(LAYOUT_B))
+    data = _grouped(view, record, per_datagram)
+    at = floor_div(F.col("g"), EXPORTERS)
+    out = _datagrams(data, _v9(F.lit(1), _set(260, F.col("body"))), 2)
+    for when, layout in ((FIRST_TEMPLATE, LAYOUT_A), (SECOND_TEMPLATE, LAYOUT_B)):
+        out = out.unionByName(_datagrams(data.filter(at == when), _v9(F.lit(1), _set(0, F.lit(_template(260, layout))))))
+    options = "0101" + "0004" + "0008" + "00010004" + "00300001" + "00220004"  # template 257: scope system; sampler id, interval
+    for when, rate in ((FIRST_RATE, 100), (SECOND_RATE, 200)):
+        body = F.concat(F.lit("00000001"), F.lit("01"), hexed(F.lit(rate) + F.col("g") % EXPORTERS, 4))
+        both = F.concat(_set(1, F.lit(options)), _set(257, body))
+        out = out.unionByName(_datagrams(data.filter(at == when), _v9(F.lit(2), both), 1))
+    return out
+
+
+def as_ipfix(view: DataFrame, per_datagram: int = 10) -> DataFrame:
+    """Self-describing messages: template 300 with a variable-length name and an enterprise field, then its data."""
+    template = "012C" + "000B" + "00080004" + "000C0004" + "00010004" + "00020004" + "00070002" + "000B0002" + "00040001" + "0060FFFF" + "800100040000270F" + "00980008" + "00990008"
+    i = F.col("event_id")
+    name = F.repeat(F.lit("61"), (i % 5).cast("int"))
+    milli = floor_div(F.col("time_received_ns"), 1_000_000)
+    record = F.concat(
+        hexed(F.col("src"), 4), hexed(F.col("dst"), 4), hexed(F.col("bytes"), 4), hexed(F.col("packets"), 4), hexed(F.col("src_port"), 2), hexed(F.col("dst_port"), 2), hexed(F.col("proto"), 1),
+        hexed(i % 5, 1), name, hexed(F.col("in_if"), 4), hexed(milli - i % 1000, 8), hexed(milli, 8),
+    )
+    data = _grouped(view, record, per_datagram)
+    body = F.concat(_set(2, F.lit(template)), F.concat(F.lit("012C"), hexed(F.length("body") / 2 + 4, 2), F.col("body")))
+    message = F.concat(F.lit("000A"), hexed(F.length(body) / 2 + 16, 2), hexed(F.lit(START_S) + F.col("g"), 4), hexed(F.col("g"), 4), hexed(F.lit(7), 4), body)
+    return _datagrams(data, message)
+
+
+def frame() -> Column:
+    """Ethernet, 802.1Q, IPv4, UDP: a frame's hex text."""
+    i = F.col("event_id")
+    return F.concat(
+        F.lit("0A0000000001"), hexed(F.col("src_mac"), 6), F.lit("8100"), hexed(i % 4096, 2), F.lit("0800"), F.lit("45"), hexed(i % 256, 1), F.lit("0030"), hexed(i % 65536, 2), F.lit("4000"),
+        hexed(i % 200, 1), F.lit("11"), F.lit("0000"), hexed(F.col("src"), 4), hexed(F.col("dst"), 4), hexed(F.col("src_port"), 2), hexed(F.col("dst_port"), 2), F.lit("001C0000"), F.repeat(F.lit("00"), 20),
+    )
+
+
+def as_sflow(view: DataFrame, per_datagram: int = 10) -> DataFrame:
+    """A flow sample a flow, with its raw header, switch, router and gateway records, and one counter sample a datagram."""
+    i = F.col("event_id")
+    head = frame()
+    raw = F.concat(F.lit("00000001"), hexed(F.col("bytes"), 4), F.lit("00000000"), hexed(F.length(head) / 2, 4), head, F.repeat(F.lit("0"), F.pmod(-F.length(head), F.lit(8)).cast("int")))
+    part = lambda kind, body: F.concat(hexed(F.lit(kind), 4), hexed(F.length(body) / 2, 4), body)
+    switch = F.concat(hexed(i % 100, 4), F.lit("00000000"), hexed(i % 90, 4), F.lit("00000000"))
+    router = F.concat(F.lit("000000010A0000FE"), F.lit("00000018"), F.lit("00000010"))
+    gateway = F.concat(F.lit("000000010A0000FD"), F.lit("0000FDE8"), hexed(F.col("src_as"), 4), F.lit("00000000"), F.lit("00000001"), F.lit("00000002"), F.lit("00000002"), F.lit("0000FDE9"), hexed(F.col("dst_as"), 4), F.lit("00000001"), F.lit("FDE80064"), F.lit("00000064"))
+    records = F.concat(part(1, raw), part(1001, switch), part(1002, router), part(1003, gateway))
+    body = F.concat(hexed(i, 4), F.lit("00000001"), hexed(F.col("sampling_rate"), 4), F.lit("00000000"), F.lit("00000000"), hexed(F.col("in_if"), 4), hexed(F.col("out_if"), 4), F.lit("00000004"), records)
+    data = _grouped(view, part(1, body), per_datagram)
+    counters = F.lit("00000002" + "0000000C" + "00000001" + "00000001" + "00000000")
+    message = F.concat(F.lit("00000005"), F.lit("00000001"), hexed(F.lit(184483840) + F.col("g") % EXPORTERS, 4), F.lit("00000001"), hexed(F.col("g"), 4), hexed(F.lit(UPTIME), 4), hexed(F.col("n") + 1, 4), F.col("body"), counters)
+    return _datagrams(data, message)

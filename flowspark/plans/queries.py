@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, render, serialize, values
-from ..operators import analytics, enrich, v5
-from .flows import FLOWS_SQL, UPTIME, as_v5, flows, ip_sql
+from ..operators import analytics, enrich, metrics, netflow, packet, sflow, v5
+from ..operators.mapping import compile_mapping
+from .flows import EXPORTERS, FIRST_RATE, FIRST_TEMPLATE, FLOWS_SQL, SECOND_RATE, SECOND_TEMPLATE, START_S, UPTIME, as_ipfix, as_sflow, as_v5, as_v9, flows, frame, ip_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -335,3 +336,104 @@ def full_join_as_balance(spark, sf_dir):
     f = flows(spark, sf_dir)
     sent = f.groupBy(F.col("src_as").alias("asn")).agg(F.sum("bytes").alias("sent"))
     return sent.join(f.groupBy(F.col("dst_as").alias("asn")).agg(F.sum("bytes").alias("received")), "asn", "full")
+
+
+# Templates, samples and frames.
+
+_EXPORTER_SQL = WITH + f", d AS (SELECT *, event_id // 10 AS g, event_id // 10 // {EXPORTERS} AS k FROM flows) "
+_V4_SQL = lambda v: f"concat_ws('.', {v} >> 24, ({v} >> 16) & 255, ({v} >> 8) & 255, {v} & 255)"
+
+
+@query(
+    _EXPORTER_SQL + f"""SELECT g AS sequence_num, ({START_S} + g) * 1000000000 + 2 AS time_received_ns, CASE WHEN k >= {SECOND_RATE} THEN 200 + g % {EXPORTERS} WHEN k >= {FIRST_RATE} THEN 100 + g % {EXPORTERS} ELSE 0 END AS sampling_rate,
+    '10.255.0.' || g % {EXPORTERS} AS sampler, ({START_S} + g) * 1000000000 - event_id % 1000 * 1000000 AS time_flow_start_ns, ({START_S} + g) * 1000000000 - event_id % 100 * 1000000 AS time_flow_end_ns, bytes, packets,
+    {_V4_SQL('src')} AS src_ip, {_V4_SQL('dst')} AS dst_ip, proto, src_port, dst_port, in_if, out_if, src_as, dst_as FROM d WHERE k >= {FIRST_TEMPLATE}"""
+)
+def v9_asof_templates(spark, sf_dir):
+    f = netflow.flows(as_v9(flows(spark, sf_dir))).filter("error IS NULL")
+    return flow_digest(f).drop("ip_tos", "tcp_flags", "src_net", "dst_net")
+
+
+@query(_EXPORTER_SQL + f"SELECT '10.255.0.' || g % {EXPORTERS} AS sampler, count(*) AS n, sum(bytes * CASE WHEN k >= {SECOND_RATE} THEN 200 + g % {EXPORTERS} WHEN k >= {FIRST_RATE} THEN 100 + g % {EXPORTERS} ELSE 0 END)::BIGINT AS sumbytes FROM d WHERE k >= {FIRST_TEMPLATE} GROUP BY 1")
+def sampling_asof(spark, sf_dir):
+    f = netflow.flows(as_v9(flows(spark, sf_dir)))
+    return f.groupBy(render.ip(F.col("sampler_address")).alias("sampler")).agg(F.count("*").alias("n"), analytics.scaled_bytes())
+
+
+@query(_EXPORTER_SQL + f"""SELECT g AS sequence_num, {_V4_SQL('src')} AS src_ip, {_V4_SQL('dst')} AS dst_ip, bytes, packets, src_port, dst_port, proto, time_received_ns // 1000000 * 1000000 - event_id % 1000 * 1000000 AS time_flow_start_ns, time_received_ns // 1000000 * 1000000 AS time_flow_end_ns, 7 AS observation_domain_id FROM d""")
+def ipfix_decode(spark, sf_dir):
+    f = netflow.flows(as_ipfix(flows(spark, sf_dir)))
+    return f.select("sequence_num", render.ip(F.col("src_addr")).alias("src_ip"), render.ip(F.col("dst_addr")).alias("dst_ip"), "bytes", "packets", "src_port", "dst_port", "proto", "time_flow_start_ns", "time_flow_end_ns", "observation_domain_id")
+
+
+CUSTOM = compile_mapping({
+    "formatter": {"protobuf": [{"name": "app", "index": 2001, "type": "string"}, {"name": "vendor", "index": 2002, "type": "varint"}, {"name": "udp_length", "index": 2003, "type": "varint"}]},
+    "ipfix": {"mapping": [{"field": 96, "destination": "app"}, {"penprovided": True, "pen": 9999, "field": 1, "destination": "vendor"}]},
+    "sflow": {"mapping": [{"layer": "udp", "offset": 32, "length": 16, "destination": "udp_length"}]},
+})
+
+
+@query(WITH + "SELECT src_port, dst_port, bytes, repeat('a', CAST(event_id % 5 AS INT)) AS app, in_if AS vendor FROM flows")
+def custom_mapping(spark, sf_dir):
+    f = netflow.flows(as_ipfix(flows(spark, sf_dir)), CUSTOM)
+    return f.select("src_port", "dst_port", "bytes", render.string(F.col("app")).alias("app"), "vendor")
+
+
+@query(
+    WITH + f"""SELECT event_id // 10 AS sequence_num, sampling_rate, bytes, 1 AS packets, {_V4_SQL('src')} AS src_ip, {_V4_SQL('dst')} AS dst_ip, 2048 AS etype, 17 AS proto, src_port, dst_port, in_if, out_if, src_mac, event_id % 4096 AS vlan_id,
+    event_id % 100 AS src_vlan, event_id % 90 AS dst_vlan, CASE WHEN src_as = 0 THEN 65000 ELSE src_as END AS src_as, dst_as, 65001 AS next_hop_as, '10.0.0.254' AS next_hop, '10.0.0.253' AS bgp_next_hop, 24 AS src_net, 16 AS dst_net, '0,6,1,4' AS layers, 28 AS udp_length FROM flows"""
+)
+def sflow_decode(spark, sf_dir):
+    f = sflow.flows(as_sflow(flows(spark, sf_dir)), CUSTOM)
+    ips = [render.ip(F.col(c)).alias(n) for c, n in (("src_addr", "src_ip"), ("dst_addr", "dst_ip"), ("next_hop", "next_hop"), ("bgp_next_hop", "bgp_next_hop"))]
+    plain = ("sequence_num", "sampling_rate", "bytes", "packets", "etype", "proto", "src_port", "dst_port", "in_if", "out_if", "src_mac", "vlan_id", "src_vlan", "dst_vlan", "src_as", "dst_as", "next_hop_as", "src_net", "dst_net", "udp_length")
+    return f.select(*plain, *ips, F.array_join(F.col("layer_stack").cast("array<string>"), ",").alias("layers"))
+
+
+@query(WITH + "SELECT event_id // 10 AS sequence, CASE WHEN x = 0 THEN 1 ELSE 2 END AS \"format\", CASE WHEN x = 0 THEN count(*) ELSE 1 END AS n FROM flows, (VALUES (0), (1)) t(x) GROUP BY event_id // 10, x")
+def sflow_samples(spark, sf_dir):
+    return sflow.samples(as_sflow(flows(spark, sf_dir))).groupBy("sequence", "format").agg(F.count("*").alias("n"))
+
+
+@query(WITH + f"SELECT event_id, {_V4_SQL('src')} AS src_ip, {_V4_SQL('dst')} AS dst_ip, src_port, dst_port, event_id % 256 AS ip_tos, event_id % 200 AS ip_ttl, event_id % 65536 AS fragment_id, 2 AS ip_flags, event_id % 4096 AS vlan_id, src_mac, '14,4,20,8' AS sizes FROM flows")
+def packet_headers(spark, sf_dir):
+    frames = flows(spark, sf_dir).select("event_id", F.unhex(frame()).alias("frame"))
+    p = packet.parse_frames(frames, keep=["event_id"])
+    sizes = F.array_join(F.col("layer_size").cast("array<string>"), ",").alias("sizes")
+    return p.select("event_id", render.ip(F.col("src_addr")).alias("src_ip"), render.ip(F.col("dst_addr")).alias("dst_ip"), "src_port", "dst_port", "ip_tos", "ip_ttl", "fragment_id", "ip_flags", "vlan_id", "src_mac", sizes)
+
+
+# Operational metrics.
+
+
+@query(WITH + ", d AS (SELECT event_id // 10 AS g, count(*) AS n FROM flows GROUP BY 1) SELECT '10.255.0.' || g % 8 AS remote_ip, '10.255.0.' || 0 AS local_ip, 2055 AS local_port, 'netflow' AS \"type\", count(*) AS \"count\", sum(24 + 48 * n)::BIGINT AS \"sum\" FROM d GROUP BY 1")
+def metrics_by_router(spark, sf_dir):
+    m = metrics.traffic(as_v5(flows(spark, sf_dir)))
+    return m.drop("quantiles").withColumn("local_ip", F.lit("10.255.0.0"))
+
+
+@query()
+def size_quantiles(spark, sf_dir):
+    return metrics.traffic(as_v9(flows(spark, sf_dir)))
+
+
+@query(_EXPORTER_SQL + f"SELECT '10.255.0.' || g % {EXPORTERS} AS router, 'template not found' AS error, count(DISTINCT g) AS n FROM d WHERE k < {FIRST_TEMPLATE} GROUP BY 1")
+def decoder_errors(spark, sf_dir):
+    return metrics.decoder_errors(netflow.errors(as_v9(flows(spark, sf_dir))))
+
+
+@query(WITH + "SELECT src_as, time_received_ns // 86400000000000 * 86400 AS interval_s, count(*) AS events, greatest(count(*) - 3, 0) AS skipped FROM flows GROUP BY 1, 2")
+def error_mute(spark, sf_dir):
+    return metrics.muted(flows(spark, sf_dir), ["src_as"], "time_received_ns", 86400, 3)
+
+
+@query(WITH + "SELECT event_id // 10 % 8 AS exporter, 'FlowSample' AS \"type\", count(*) AS samples, count(*) * 4 AS records FROM flows GROUP BY 1 UNION ALL SELECT g % 8, 'CounterSample', count(*), 0 FROM (SELECT DISTINCT event_id // 10 AS g FROM flows) GROUP BY 1")
+def sflow_sample_counts(spark, sf_dir):
+    m = metrics.sample_counts(sflow.samples(as_sflow(flows(spark, sf_dir))))
+    return m.select(F.element_at(F.split("agent", r"\."), -1).cast("long").alias("exporter"), "type", "samples", F.col("records").cast("long").alias("records"))
+
+
+@query(WITH + ", d AS (SELECT event_id // 10 AS g, event_id // 10 % 8 AS exporter, event_id // 10 // 8 AS k FROM flows) SELECT exporter, \"type\", count(DISTINCT g) AS n FROM (SELECT exporter, g, 'data' AS \"type\" FROM d UNION ALL SELECT exporter, g + 1000000 * (1 + CAST(k = 30 AS INT)), 'data' FROM d WHERE k IN (5, 30) UNION ALL SELECT exporter, g, 'options' FROM d WHERE k IN (5, 30) UNION ALL SELECT exporter, g, 'template' FROM d WHERE k IN (2, 20)) GROUP BY 1, 2")
+def flow_set_counts(spark, sf_dir):
+    m = metrics.flow_sets(netflow.sets(as_v9(flows(spark, sf_dir))))
+    return m.select(F.element_at(F.split("router", r"\."), -1).cast("long").alias("exporter"), "type", "n")
