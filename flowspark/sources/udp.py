@@ -117,16 +117,24 @@ def logged(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> Da
 
 
 class UdpReader(SimpleDataSourceStreamReader):
+    """Reads a socket that opens in the process that first asks for offsets; the reader itself travels as options."""
+
     def __init__(self, options):
-        self.receiver = Receiver(Listener("flow", options.get("host", "127.0.0.1"), int(options.get("port", "2055"))))
-        self.port = self.receiver.start()
+        self.host, self.port = options.get("host", "127.0.0.1"), int(options.get("port", "2055"))
+        self.receiver: Receiver | None = None
         self.held: dict[int, list[tuple]] = {}
 
+    def _rows(self) -> list[tuple]:
+        if self.receiver is None:
+            self.receiver = Receiver(Listener("flow", self.host, self.port))
+            self.receiver.start()
+        return self.receiver.drain()
+
     def initialOffset(self) -> dict:
         return {"n": 0}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows = [(*r, start["n"] + i) for i, r in enumerate(self.receiver.drain())]
+        rows = [(*r, start["n"] + i) for i, r in enumerate(self._rows())]
         if rows:
             self.held[start["n"]] = rows
         return iter(rows), {"n": start["n"] + len(rows)}
