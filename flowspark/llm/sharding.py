@@ -13,7 +13,9 @@ bounded number of groups:
 * All other groups are dealt by hash to parts of about PER_PART groups.  Each
   part is differenced in one task, starting from a scaled copy of the heavy
   groups' partial partition, so that every part fills what the heavy groups
-  left open.  The parts' spreads, a few bytes each, add up.
+  left open.  Slots that the heavy groups fill alike are interchangeable: each
+  part deals its sums to them in an order of its own, so the parts' spreads, a
+  few bytes each, do not pile up in one shard.
 
 Law: bytes.  A single group above a k-th of all bytes still stays whole; the
 other shards then share the rest evenly.
@@ -115,11 +117,18 @@ def shard(docs: DataFrame, shards: int = 40, per_part: int = PER_PART) -> DataFr
     filled = np.bincount(where, [r["bytes"] for r in heavy], shards).astype(np.int64) if heavy else np.zeros(shards, np.int64)
     light = total - int(filled.sum())
     parts = max(1, -(-n // per_part))
+    by_load = np.argsort(filled, kind="stable")
+    steps = np.flatnonzero(np.diff(filled[by_load]) * 10_000 > total // shards) + 1
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["bytes", "gid"], ascending=[False, True])
         share = pdf["bytes"].sum() / max(1, light)
         slot = differencing(pdf["bytes"].tolist(), shards, np.rint(filled * share).astype(np.int64))
+        draw = np.random.default_rng(int(pdf["part"].iloc[0]))
+        order = np.arange(shards)
+        for alike in np.split(by_load, steps):
+            order[alike] = draw.permutation(alike)
+        slot = order[slot]
         return pd.DataFrame({"gid": pdf["gid"], "shard": slot.astype(np.int32)})
 
     placed = (
