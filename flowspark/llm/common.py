@@ -45,6 +45,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def bound_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Caps the rows of the Arrow batches that go to Python workers: they carry whole texts, and ten thousand of them fill a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(spark.conf.get(name, "10000"))
+    if held <= 0 or held > rows:
+        spark.conf.set(name, str(rows))
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the table of materialize() once nothing reads it any more."""
     path = getattr(df, "scratch", None)
@@ -101,8 +109,16 @@ def with_slots(df: DataFrame, part: str, order: list[str], out: str, rows: int,
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of stages whose results are written and whose DataFrames are gone."""
+    """Lets Spark's cleaner drop the shuffle files of stages whose results are written and whose DataFrames are gone.
+
+    The cleaner follows the collection of garbage on the driver, first of
+    Python's handles, then of what they held; without this the files of every
+    stage stay on the executors' disks until the driver happens to collect.
+    """
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)

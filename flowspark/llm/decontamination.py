@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import bound_batches, fresh
 
 CHARACTERS_PER_EDIT, SHORTEST, BLOCK = 20, 40, 1_000_000
 _FOLD = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -171,6 +171,7 @@ def hits_udf(items: list[Item]):
 
 def _with_hits(docs: DataFrame, benchmark: DataFrame, out: str) -> DataFrame:
     """docs with a column out: entries (item, distance) of all blocks."""
+    bound_batches(docs.sparkSession)
     parts = []
     for n, items in enumerate(blocks(benchmark)):
         name = fresh(docs, f"_block{n}")

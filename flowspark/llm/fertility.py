@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, mix64
+from .common import bound_batches, fresh, mix64
 from .tokenization import LONGEST, MEMO, vocabulary_path
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -181,10 +181,12 @@ def verdict_udf(path: str | None = None, bands: dict[str, Band] = BANDS):
 
 def quality(docs: DataFrame, path: str | None = None, bands: dict[str, Band] = BANDS) -> DataFrame:
     """doc_id and COLUMNS for every row of docs (doc_id, text, lang)."""
+    bound_batches(docs.sparkSession)
     return docs.select("doc_id", verdict_udf(path, bands)("text", "lang").alias("m")).select("doc_id", "m.*")
 
 
 def keep_good(docs: DataFrame, path: str | None = None, bands: dict[str, Band] = BANDS) -> DataFrame:
     """The rows of docs that the rules keep, with their columns as they are."""
+    bound_batches(docs.sparkSession)
     m = fresh(docs, "_measured")
     return docs.withColumn(m, verdict_udf(path, bands)("text", "lang")).filter(F.col(f"{m}.kept")).drop(m)

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_of_id
+from .common import bound_batches, crc_of_id
 from .tokenization import vocabulary_path
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -155,6 +155,7 @@ def fit_language(lattice: Lattice, counts: dict[str, float], rounds: int = ROUND
 
 def train(docs: DataFrame, path: str | None = None, per_language: int = PER_LANGUAGE, sample: int = SAMPLE, held_out: int = 1, of: int = 3) -> Model:
     """Learns from text and lang of docs, but for ids whose crc32 modulo `of` is held_out."""
+    bound_batches(docs.sparkSession)
     lattice = Lattice.load(path or vocabulary_path(VOCABULARY))
     usable = docs.select("doc_id", "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (crc_of_id() % of != held_out))
     sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, with_slots
+from .common import bound_batches, materialize, with_slots
 from .tokenization import vocabulary_path, worker_encoder
 
 LENGTH = 2048
@@ -101,6 +101,7 @@ def rounds(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[int, i
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: int = END) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of docs."""
     spark = docs.sparkSession
+    bound_batches(spark, 2_000)
     pieces = materialize(cut(docs, path, length, end), "pack-pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `length` rows
     plan = rounds(histogram, length)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, fresh
+from .common import bound_batches, crc_of_id, fresh
 from .tokenization import Memo
 
 SAMPLE, FEATURES, THRESHOLD = 8_000, 5_000, 0.3
@@ -157,6 +157,7 @@ def _fit_rows(rows, y, swapped, identities=IDENTITIES, features=FEATURES, penalt
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, identities=IDENTITIES, held_out: int = 2, of: int = 4) -> Model:
     """Fits on labels (doc_id, toxic) of docs (doc_id, text), but for ids whose crc32 modulo `of` is held_out."""
     spark = docs.sparkSession
+    bound_batches(spark)
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_of_id() % of != held_out)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()  # at most `sample` pairs of numbers
     if not chosen:
