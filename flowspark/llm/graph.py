@@ -19,12 +19,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     a, b = F.col("a"), F.col("b")
     edges = materialize(links.filter(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "links")
-    seen = None
-    while True:
-        digest = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if digest == seen or not digest[0]:
-            break
-        seen = digest
+    while not stars(edges):
         both = edges.unionByName(edges.select(b.alias("a"), a.alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").filter(b > a).select(b.alias("a"), F.col("m").alias("b")).distinct()
@@ -37,3 +32,10 @@ def components(links: DataFrame) -> DataFrame:
         edges = after
     roots = edges.select(b.alias("node"), b.alias("label")).distinct()
     return edges.select(a.alias("node"), b.alias("label")).unionByName(roots)
+
+
+def stars(edges: DataFrame) -> bool:
+    """Whether every node is a root or has one edge, to a root."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    by_node = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return by_node.filter("up > 1 OR (up > 0 AND down > 0)").isEmpty()

@@ -8,22 +8,32 @@ similarity of 0.8 miss each other in all bands with a chance of about 5e-8.
 Candidates never come from all pairs of a bucket:
 
 1. Documents of equal shingle sets form one class; one of them stands for it.
-2. In each bucket every member is compared with one centre, the smallest id.
+2. In each bucket every member is compared with one centre: the member whose
+   keys are shared most over all its buckets, as an original's are among copies.
 3. Confirmed links give components.  A bucket whose members lie in one
    component is done.  In others, members of different components are compared:
-   all of them in small buckets, with growing numbers of new centres in large
-   ones, whose centres then leave the bucket, as all their pairs were looked at.
-   Pairs whose set sizes rule out the similarity are left out.  This repeats
-   until no bucket is left, so no link of different texts is lost to a cap.
+   with all others in small buckets, with growing numbers of drawn centres in
+   large ones, whose centres then leave the bucket, as all their pairs were
+   looked at.  This repeats until no bucket is left, so no link of different
+   texts is lost to a cap.
+4. Members compared with one centre tell which of its shingles they lack (256
+   bits, one a bucket of shingles) and which of their own no other of them has.
+   An intersection of two such members holds none of what either lacks and none
+   of what is one's own, which bounds their similarity.  Pairs of texts that
+   share a passage only, or that differ from an original each in places of their
+   own, are ruled out so, exactly.
+5. A comparison first looks at the set sizes, which may rule the similarity
+   out, and at two bits of each signature value: at a similarity of 0.8 about
+   109 of 128 agree, with a deviation of 4; pairs below 84 are no candidates.
 
 Every candidate is confirmed by the exact size of the intersection.  Joins are
 equi-joins on ids, band keys or set digests that the adaptive planner can split.
 
 Defined results: null and empty texts have no shingles, are linked with nothing
 and stand alone; fewer words than a shingle are one shingle; rows that share a
-doc_id are one document with the links of all its rows; a null id gets its
-class's component, null if that has no id, and is kept only if it has no
-shingles; an empty table gives no rows; extra columns are ignored.
+doc_id are one document with the links of all its rows; a row with a null id
+gets its class's component, null if that has no id, and is always kept, as
+nothing names it (keep_one leaves such rows aside); an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,15 +43,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, discard, materialize, mix64
+from .common import ascii_words, bound_batches, discard, materialize, mix64, release
 from .graph import components
 
 PERMUTATIONS, ROWS = 64, 4
-SMALL_BUCKET = 16  # members up to which a bucket's pairs are all looked at
-SKETCH = "doc_id long, n_shingles long, hi long, lo long, bands array<long>"
+SMALL_BUCKET = 4096  # members up to which all cross-component pairs of a bucket are looked at at once
+CENTRES = 64  # drawn in larger buckets, four times as many each round
+AGREEING = 84  # of the 128 signature values, by two bits each
+SKETCH = "doc_id long, n_shingles long, hi long, lo long, bands array<long>, bits array<long>"
+REMEMBERED = 200_000  # word hashes of a worker
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -72,8 +85,8 @@ def permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
     return draw.integers(0, 2**31, n, np.uint32) * np.uint32(2) + np.uint32(1), draw.integers(0, 2**32, n, np.uint32)
 
 
-def band_keys(sets: list[np.ndarray], n_perm: int = PERMUTATIONS, rows: int = ROWS) -> np.ndarray:
-    """(sets, 2 * n_perm / rows) keys of non-empty sets."""
+def band_keys(sets: list[np.ndarray], n_perm: int = PERMUTATIONS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Of non-empty sets, (sets, 2 * n_perm / rows) keys and, packed, two bits of each signature value."""
     starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
     flat = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
     lo, hi = np.empty((n_perm, len(sets)), np.uint32), np.empty((n_perm, len(sets)), np.uint32)
@@ -89,7 +102,9 @@ def band_keys(sets: list[np.ndarray], n_perm: int = PERMUTATIONS, rows: int = RO
         for k in range(rows - half):
             key = mix64(key * GOLDEN + hi[(half * j + k + n_perm // 2) % n_perm])
         bands.append(key)
-    return np.stack(bands, 1)
+    two = (mix64(np.concatenate([lo, hi]).astype(np.uint64)) >> np.uint64(62)).reshape(-1, 32, len(sets))
+    bits = np.bitwise_or.reduce(two << (np.uint64(2) * np.arange(32, dtype=np.uint64))[:, None], axis=1)
+    return np.stack(bands, 1), bits.T
 
 
 def sketch(docs: DataFrame, width: int) -> DataFrame:
@@ -102,98 +117,154 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
                 some = b.iloc[at : at + 256]
                 sets = [shingle_set(t, width, hashes) for t in some["text"]]
                 full = [s for s in sets if len(s)]
-                keys = iter(band_keys(full).view(np.int64)) if full else iter(())
+                found = iter(zip(*(x.view(np.int64) for x in map(np.ascontiguousarray, band_keys(full))), strict=True)) if full else iter(())
+                none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                keys = [next(found) if len(s) else none for s in sets]
                 digest = lambda s, c: int(np.add.reduce(mix64(s + np.uint64(c))).view(np.int64)) if len(s) else 0
                 yield pd.DataFrame({
                     "doc_id": some["doc_id"].astype("Int64"),
                     "n_shingles": [len(s) for s in sets],
                     "hi": [digest(s, 1) for s in sets],
                     "lo": [digest(s, 2) for s in sets],
-                    "bands": [next(keys) if len(s) else np.zeros(0, np.int64) for s in sets],
+                    "bands": [k for k, _ in keys],
+                    "bits": [b for _, b in keys],
                 })
-                if len(hashes) > 500_000:
+                if len(hashes) > REMEMBERED:
                     hashes.clear()
 
     return docs.select("doc_id", "text").mapInPandas(run, SKETCH)
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of pairs (a, b), those with 100 * intersection >= percent * union; texts: (doc_id, text)."""
+def compare(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """What comparing each pair (a, b) tells; texts: (doc_id, text).
+
+    linked: 100 * intersection >= percent * union; extra: a's shingles that b
+    lacks; common: how many they share; lacks: a bit for each of 256 buckets
+    that holds a shingle of b that a lacks.
+    """
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b")
+    # merge: ids and texts have no size bound to broadcast them by, and sorted rows bring one centre's pairs together
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, last, last_set = WordHashes(), None, None
         for batch in batches:
-            good = []
+            linked, extra, shared, lacks = [], [], [], []
             for a, b in zip(batch["text_a"], batch["text_b"], strict=True):
                 if b != last:  # rows of one centre come one after the other
                     last, last_set = b, shingle_set(b, width, hashes)
                 mine = shingle_set(a, width, hashes)
-                if len(mine) * percent > 100 * len(last_set) or len(last_set) * percent > 100 * len(mine):
-                    good.append(False)
-                    continue
-                merged = np.concatenate((mine, last_set))
-                merged.sort(kind="stable")
-                common = int((merged[1:] == merged[:-1]).sum())
-                good.append(100 * common >= percent * (len(mine) + len(last_set) - common))
-            if len(hashes) > 500_000:
+                lacking = np.setdiff1d(mine, last_set, assume_unique=True)
+                common = len(mine) - len(lacking)
+                linked.append(100 * common >= percent * (len(last_set) + len(lacking)))
+                extra.append(lacking.view(np.int64))
+                shared.append(common)
+                bits = np.zeros(256, np.uint8)
+                bits[np.setdiff1d(last_set, mine, assume_unique=True) & np.uint64(255)] = 1
+                lacks.append(np.packbits(bits).view(np.int64))
+            if len(hashes) > REMEMBERED:
                 hashes.clear()
-            yield batch.loc[good, ["a", "b"]]
+            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "linked": linked, "extra": extra, "common": shared, "lacks": lacks})
+
+    return both.mapInPandas(run, "a long, b long, linked boolean, extra array<long>, common long, lacks array<long>")
+
+
+def bounds(star: DataFrame) -> DataFrame:
+    """centre, rep, common, lacks and others' of members compared with a centre.
+
+    others: how many of a member's shingles beyond the centre's some other member
+    has too.  Only centres to which some member is not linked are looked at.
+    Differences from a centre are counted, not sets, each shingle by itself.
+    """
+    mixed = star.filter("NOT linked").select("b").distinct()
+    some = star.join(mixed, "b", "left_semi")
+    alone = some.select("a", "b", F.explode("extra").alias("s")).groupBy("b", "s").agg(F.count("*").alias("k"), F.min("a").alias("a")).filter("k = 1")
+    own = alone.groupBy("a", "b").agg(F.count("*").alias("own"))
+    told = some.groupBy("a", "b").agg(F.max(F.struct("common", F.size("extra").alias("beyond"), *[F.col("lacks")[i].alias(f"r{i}") for i in range(4)])).alias("t"), F.count("*").alias("rows"))
+    told = told.filter("rows = 1")  # an id with several texts is not bounded
+    out = told.join(own, ["a", "b"], "left")
+    others = F.col("t.beyond") - F.coalesce("own", F.lit(0))
+    return out.select(F.col("b").alias("centre"), F.col("a").alias("rep"), F.col("t.common").alias("common"), others.alias("others"), *[f"t.r{i}" for i in range(4)])
+
 
-    return both.mapInPandas(run, "a long, b long").distinct()
+def _either(x: Column) -> Column:
+    """The low bit of each pair of bits: whether one of the two is set."""
+    return x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))
 
 
 def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = materialize(sketch(docs, width), "sketches")
     full = sketches.filter(F.col("n_shingles") > 0)
-    sets = materialize(full.groupBy("hi", "lo", "n_shingles").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "classes")
-    members = sets.filter(F.col("rep").isNotNull()).select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("other")).filter(F.col("centre") != F.col("other"))
-    buckets = materialize(members.join(shared.drop("other"), "key"), "buckets")
-    involved = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    texts = materialize(docs.join(involved, "doc_id", "left_semi"), "texts")
-
-    pairs = buckets.filter(F.col("rep") != F.col("centre")).select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
-    checked = materialize(pairs, "pairs")
-    links = materialize(confirm(checked, texts, width, percent), "confirmed")
-    open_ = buckets.filter(F.col("rep") != F.col("centre")).select("key", "rep", "n")
-    centres = 8
+    sets = materialize(full.groupBy("hi", "lo", "n_shingles").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits")), "classes")
+    named_sets = sets.filter(F.col("rep").isNotNull())
+    members = named_sets.select("rep", F.explode("bands").alias("key"))
+    shared = members.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("x"), F.max("rep").alias("y")).filter(F.col("x") != F.col("y")).select("key", "m")
+    buckets = materialize(members.join(shared, "key"), "buckets")
+    crowd = buckets.groupBy("rep").agg(F.sum("m").alias("crowd"))
+    info = named_sets.select("rep", F.col("n_shingles").alias("n"), *[F.col("bits")[i].alias(f"s{i}") for i in range(4)]).join(crowd, "rep")
+    info = materialize(info, "info")
+    texts = materialize(docs.join(info.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "texts")
+
+    def alike(left: str, right: str) -> Column:
+        """Neither set sizes nor signature bits rule the pair out."""
+        col = lambda side, c: F.col(f"{side}.{c}")
+        differ = sum((F.bit_count(_either(col(left, f"s{i}").bitwiseXOR(col(right, f"s{i}")))) for i in range(4)), F.lit(0))
+        n, m = col(left, "n"), col(right, "n")
+        return (differ <= 2 * PERMUTATIONS - AGREEING) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
+
+    told = buckets.select("key", "rep").join(info, "rep")
+    centre = told.groupBy("key").agg(F.max(F.struct("crowd", (-F.col("rep")).alias("last"), "rep", "n", "s0", "s1", "s2", "s3")).alias("c")).select("key", F.col("c.*"))
+    centre = materialize(centre, "centres")
+    pairs = told.alias("x").join(centre.alias("c"), (F.col("x.key") == F.col("c.key")) & (F.col("x.rep") != F.col("c.rep")) & alike("x", "c"))
+    pairs = pairs.select(F.col("x.rep").alias("a"), F.col("c.rep").alias("b")).distinct()
+    star = materialize(compare(pairs, texts, width, percent), "compared")
+    links = star.filter("linked").select("a", "b")
+    label = components(links)
+    bound = materialize(bounds(star), "bounds")
+    centres = centre.select("key", F.col("rep").alias("centre"), F.col("n").alias("nc"))
+    release(docs.sparkSession)
+
+    def possible() -> Column:
+        """What the two members of one centre lack, and have of their own, does not rule the pair out."""
+        lacked = sum((F.bit_count(F.col(f"x.r{i}").bitwiseOR(F.col(f"c.r{i}"))) for i in range(4)), F.lit(0))
+        most = F.least(F.col("x.nc") - lacked, "x.common", "c.common") + F.least("x.others", "c.others")
+        return F.coalesce(most * (100 + percent) >= (F.col("x.n") + F.col("c.n")) * percent, F.lit(True))
+
+    open_, drawn = buckets.select("key", "rep"), CENTRES
     while True:
-        label = components(links)
-        named = open_.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label"))
+        named = open_.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
         named = materialize(named, "named")
         mixed = named.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).filter(F.col("x") != F.col("y")).select("key", "m")
-        rest = materialize(named.join(mixed, "key"), "rest")
+        rest = named.join(mixed, "key").join(info.drop("crowd"), "rep").join(centres, "key").join(bound, ["centre", "rep"], "left").drop("centre")
+        picked = (F.col("m") <= SMALL_BUCKET) | (F.pmod(F.xxhash64("rep", F.lit(drawn)), F.col("m")) < drawn)
+        rest = materialize(rest.withColumn("picked", picked), "rest")
         discard(named)
-        if rest.isEmpty():
+        meet = (F.col("x.key") == F.col("c.key")) & (F.col("x.label") != F.col("c.label")) & possible() & alike("x", "c") & (~F.col("x.picked") | (F.col("x.rep") > F.col("c.rep")))
+        pairs = rest.alias("x").join(rest.filter("picked").alias("c"), meet).select(F.col("x.rep").alias("a"), F.col("c.rep").alias("b")).distinct()
+        more = materialize(compare(pairs, texts, width, percent).filter("linked").select("a", "b").distinct(), "confirmed")
+        if not more.isEmpty():
+            links = materialize(links.unionByName(more), "links")
+            label = components(links)
+        open_ = rest.filter("NOT picked").select("key", "rep")
+        if open_.isEmpty():
             break
-        draw = F.pmod(F.xxhash64("rep", F.lit(centres)), F.col("m"))
-        picked = (F.col("m") <= SMALL_BUCKET) | (draw < centres)
-        hub = rest.filter(picked).select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-        near = (F.col("label") != F.col("lb")) & (F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent)
-        once = ~picked | (F.col("rep") > F.col("b"))  # two centres meet once
-        pairs = rest.join(hub, "key").filter(near & once).select(F.col("rep").alias("a"), "b").distinct()
-        pairs = materialize(pairs.join(checked, ["a", "b"], "left_anti").join(checked.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "pairs")
-        more = materialize(links.unionByName(confirm(pairs, texts, width, percent)), "confirmed")
-        checked = materialize(checked.unionByName(pairs), "checked")
-        links, open_ = more, rest.filter(~picked).select("key", "rep", "n")
-        centres *= 4
+        drawn *= 4
     named = full.select("doc_id", "n_shingles", "hi", "lo").join(sets.select("hi", "lo", "n_shingles", "rep"), ["hi", "lo", "n_shingles"])
     named = named.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
     alone = sketches.filter(F.col("n_shingles") == 0).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("n_shingles") == 0)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     return named.unionByName(alone).withColumn("kept", kept)
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that their classes keep, with their columns as they are; of rows with one doc_id, one."""
-    kept = materialize(classes(docs, width, percent).filter("kept").select("doc_id"), "kept")
-    out = docs.join(kept.filter("doc_id IS NOT NULL").distinct(), "doc_id", "left_semi")
-    unnamed = docs.filter(F.col("doc_id").isNull() & (F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]", "")) == 0))
+    kept = materialize(classes(docs.filter(F.col("doc_id").isNotNull()), width, percent).filter("kept").select("doc_id"), "kept")
+    out = docs.join(kept.distinct(), "doc_id", "left_semi")
+    unnamed = docs.filter(F.col("doc_id").isNull())
     rows, ids = kept.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
     if rows != ids:
         out = out.dropDuplicates(["doc_id"])
