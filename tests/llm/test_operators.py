@@ -109,6 +109,19 @@ def test_a_chain_of_near_copies_and_a_crowd_around_a_hub(spark):
     assert got == sorted(brute_components(rows, 4, 80))
 
 
+def test_an_id_with_several_texts_has_the_links_of_all(spark):
+    a, b = fx.prose(51, 100).split(), fx.prose(52, 100).split()
+    rows = [(5, " ".join(a)), (5, " ".join(b))]
+    for k in range(12):
+        for t, first in ((a, 100), (b, 200)):
+            t = t[:]
+            t[k * 7], t[(k * 11 + 40) % 100] = f"u{first + k}", f"w{first + k}"
+            rows.append((first + k, " ".join(t)))
+    rows += [(300, " ".join(a[:60])), (300, " ".join(a[40:]))]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect())
+    assert got == sorted(brute_components(rows, 4, 80))
+
+
 def test_keep_one(docs):
     out = minhash.keep_one(docs, 5)
     assert out.columns == docs.columns
