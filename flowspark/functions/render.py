@@ -91,7 +91,7 @@ def plain(value: Column, kind: str) -> Column:
 
 
 def string(value: Column) -> Column:
-    return F.decode(value, "UTF-8") if isinstance(value, Column) else value
+    return F.decode(value, "UTF-8")
 
 
 def flow_type(value: Column) -> Column:
