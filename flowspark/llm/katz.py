@@ -43,12 +43,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, crc_of_id, discard, materialize, mix64, release
+from .common import ascii_words, bound_batches, crc_of_id, discard, materialize, mix64, release
 from .tokenization import Memo
 
 K = 5
-CHUNK = 1_000_000  # tokens
-WORDS_PER_BUCKET, PAIRS_PER_BUCKET = 1_000_000, 1_500_000
+CHUNK = 750_000  # tokens
+WORDS_PER_BUCKET, PAIRS_PER_BUCKET = 1_000_000, 1_000_000
 END_HASH, RESERVED = 0, 2  # the end token's hash; numbers below RESERVED are no words
 START, OTHER = 0, 1  # numbers of the start mark and of every word unknown in training
 
@@ -243,8 +243,8 @@ def ask_bigrams(state: DataFrame, unigrams: Unigrams, starts: int, buckets: int,
                     at = p.order[p.cuts[q] : p.cuts[q + 1]]
                     if len(at):
                         h, w = p.history[at], p.word[at]
-                        rows.append((q, r.chunk, squeeze(name[h], kind), squeeze(name[w], kind), squeeze(count[w], "<i8"), squeeze(p.train[at], "<u4"), squeeze(often[h], "u1"), squeeze(count[h], "<i8")))
-                yield pd.DataFrame(rows, columns=["bucket", "chunk", "history", "word", "unigram", "train", "often", "total"])
+                        rows.append((q, r.chunk, squeeze(name[h], kind), squeeze(name[w], kind), squeeze(count[w], "<i8"), squeeze(p.train[at], "<u4"), squeeze(often[h], "u1")))
+                yield pd.DataFrame(rows, columns=["bucket", "chunk", "history", "word", "unigram", "train", "often"])
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk")
@@ -280,8 +280,8 @@ def ask_bigrams(state: DataFrame, unigrams: Unigrams, starts: int, buckets: int,
             out.append((chunk, int(pdf["bucket"].iloc[0]), squeeze(total[inverse[span]], "<u8"), len(kept[0]).to_bytes(4, "little") + kept[0] + kept[1], frequent if not i else None, counts_of_counts(total) if not i else None))
         return pd.DataFrame(out, columns=["chunk", "bucket", "counts", "kept", "frequent", "seen"])
 
-    asked = state.mapInPandas(ask, "bucket long, chunk long, history binary, word binary, unigram binary, train binary, often binary, total binary")
-    return asked.drop("total").groupBy("bucket").applyInPandas(answer, BIGRAMS)
+    asked = state.mapInPandas(ask, "bucket long, chunk long, history binary, word binary, unigram binary, train binary, often binary")
+    return asked.groupBy("bucket").applyInPandas(answer, BIGRAMS)
 
 
 def chunk_arrays(r, kind: str) -> tuple[np.ndarray, ...]:
@@ -298,6 +298,7 @@ def scores(docs: DataFrame, held_out: int = 2, of: int = 7, chunk: int = CHUNK)
     Learns from the rows whose id's crc32 modulo `of` is not held_out.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     chunks = materialize(chunked(docs, held_out, of, chunk), "katz-chunks")
     tokens, words = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     kind = "<u4" if words < 2**30 else "<u8"
