@@ -11,8 +11,8 @@ one is found before and after decoding.
 File: MAGIC, table (length, zlib), blocks, index (zlib), index length, index crc32, MAGIC.
 Block: HEAD, zlib(doc ids, null marks, lengths), lane states, words.
 
-Encoding: two passes over ids that were computed once (a written table): one
-counts, one deals the documents by doc_id ranges to tasks of bounded size, each
+Encoding: ids are computed once, into a written table, beside the tasks' counts of
+them; then the documents are dealt by doc_id ranges to tasks of bounded size, each
 writing a file under a temporary name and renaming it, so that a task that runs
 twice leaves one file.  Only one manifest row a file goes to the driver.
 
@@ -34,8 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, scratch_path
-from .tokenization import vocabulary_path, worker_encoder
+from .common import bound_batches, discard, materialize, scratch_path
+from .tokenization import batches_of, vocabulary_path, worker_encoder
 
 END = 1
 SCALE, LOW = 20, np.uint64(1 << 31)
@@ -213,17 +213,25 @@ def checkpoints(path: str) -> list[tuple[int, int, int, int]]:
     return [tuple(r) for r in np.frombuffer(zlib.decompress(packed), "<i8").reshape(-1, 4).tolist()]
 
 
-def token_rows(docs: DataFrame, path: str, end: int, width: str) -> DataFrame:
-    """doc_id, n, ids of each document, its end id included."""
-    tail = np.array([end], width).tobytes()
+def token_rows(docs: DataFrame, path: str, end: int, width: str, size: int) -> DataFrame:
+    """doc_id and ids of each document, its end id included; and from each task one row of counts, how often it saw each id."""
+    tail, item = np.array([end], width).tobytes(), np.dtype(width).itemsize
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = worker_encoder(path)
+        encoder, total = worker_encoder(path), np.zeros(size, np.int64)
         for b in batches:
-            packed = [np.frombuffer(x, "<u4").astype(width).tobytes() + tail for x in encoder.encode_many(b["text"])]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "ids": packed})
+            packed = []
+            for some in batches_of(b["text"]):
+                ids, cuts = encoder.encode_arrays(some)
+                total += np.bincount(ids, minlength=size)
+                data, cuts = ids.astype(width).tobytes(), (cuts * item).tolist()
+                packed += [data[a:z] + tail for a, z in zip(cuts, cuts[1:], strict=False)]
+            total[end] += len(b)
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "ids": packed, "counts": None})
+        if total.any():
+            yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "ids": [None], "counts": [total.astype("<i8").tobytes()]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids binary")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids binary, counts binary")
 
 
 def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END) -> DataFrame:
@@ -231,20 +239,22 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END)
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
+    bound_batches(spark, 2_000)
     path = path or vocabulary_path()
     size = Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
     width = "<u2" if size <= 2**16 else "<u4"
     item = np.dtype(width).itemsize
-    rows = materialize(token_rows(docs, path, end, width), "token-ids")
+    rows = materialize(token_rows(docs, path, end, width, size), "token-ids")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(size, np.int64)
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            total += np.bincount(np.frombuffer(b"".join(b["ids"]), width), minlength=size)
-        yield pd.DataFrame({"id": np.flatnonzero(total), "n": total[total > 0]})
+            for seen in b["counts"]:
+                n = np.frombuffer(seen, "<i8")
+                yield pd.DataFrame({"id": np.flatnonzero(n), "n": n[n > 0]})
 
+    per_task = rows.filter("counts IS NOT NULL").select("counts").mapInPandas(summed, "id long, n long")
     counts = np.zeros(size, np.int64)
-    for r in rows.select("ids").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most one row an id
+    for r in per_task.groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most one row an id
         counts[r["id"]] = r["n"]
     total = int(counts.sum())
     if not total:
@@ -269,7 +279,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END)
             writer.close()
             yield pd.DataFrame([(writer.path, number, writer.docs, writer.ids)], columns=["path", "file", "docs", "ids"])
 
-    dealt = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "ids")
+    dealt = rows.filter("counts IS NULL").select("doc_id", "ids").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "ids")
     written = dealt.mapInPandas(store, "path string, file int, docs long, ids long").collect()  # one row a file
     discard(rows)
     first, out = 0, []
@@ -317,8 +327,10 @@ def read(spark: SparkSession, manifest: DataFrame, schema: str = "doc_id long, s
                 frame = pd.DataFrame(out, columns=names)
                 yield frame.astype({"doc_id": "Int64"}) if "doc_id" in names else frame
 
-    blocks = manifest.select("path", "first_id").repartition("path").mapInPandas(listed, "path string, offset long, bytes long, first_id long, crc long")
-    return blocks.repartition("path", "offset").mapInPandas(decoded, schema)
+    files, ids = manifest.agg(F.count("*"), F.coalesce(F.sum("ids"), F.lit(0))).first()
+    tasks = max(1, min(files + ids // BLOCK, MOST_FILES))  # a stated number, which the planner does not coalesce
+    blocks = manifest.select("path", "first_id").repartition(max(1, min(files, MOST_FILES)), "path").mapInPandas(listed, "path string, offset long, bytes long, first_id long, crc long")
+    return blocks.repartition(tasks, "path", "offset").mapInPandas(decoded, schema)
 
 
 def round_trip(docs: DataFrame, folder: str | None = None, path: str | None = None, end: int = END) -> DataFrame:
