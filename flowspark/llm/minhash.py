@@ -263,7 +263,7 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that their classes keep, with their columns as they are; of rows with one doc_id, one."""
     kept = materialize(classes(docs.filter(F.col("doc_id").isNotNull()), width, percent).filter("kept").select("doc_id"), "kept")
-    out = docs.join(kept.distinct(), "doc_id", "left_semi")
+    out = docs.join(kept.distinct().hint("merge"), "doc_id", "left_semi")  # ids have no size bound to broadcast them by
     unnamed = docs.filter(F.col("doc_id").isNull())
     rows, ids = kept.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
     if rows != ids:
