@@ -237,6 +237,21 @@ def test_fertility_measures():
     assert m["fallback_share"] == pytest.approx(sum(model.is_byte(i) for i in ids) / len(ids)) and m["fallback_share"] > 0 and m["band"] == "Latin"
 
 
+def test_script_is_of_the_whole_text(spark):
+    greek, latin = "".join(chr(0x3B1 + k % 17) for k in range(400)), "abcdefgh" * 50
+    by_hand = lambda t: [next((s for s, a, z in fertility.SCRIPTS if a <= ord(c) <= z), "other") for c in t if c.isalpha()]
+    for text in (latin + greek * 2, greek + latin * 2, latin + "漢" * 401, latin + "漢" * 399, "жж" + "λ 1" * 2, "1 2", "", "×÷ab λλ", "\ud800a", latin * 300 + greek * 301):
+        counts = collections.Counter(by_hand(text))
+        assert fertility.script_of(text) == (max(sorted(counts), key=counts.get) if counts else "other")
+        assert fertility.script_of(text, 7) == fertility.script_of(text)
+    header = fx.prose(70, 90)
+    body = " ".join("".join(chr(0x4E00 + (k * k * 31 + j * 977) % 5000) for j in range(25)) for k in range(110))
+    assert sum(map(str.isalpha, header)) > 400
+    rows = [(1, header + " " + body, None), (2, header + " " + body, "xx"), (3, header + " " + body, "en"), (4, body + " " + header * 9, None)]
+    got = {r.doc_id: (r.band, r.kept) for r in fertility.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[1] == got[2] == ("other", True) and got[3] == ("en", False) and got[4][0] == "Latin"
+
+
 def test_good_documents_stay(spark):
     read = lambda n: spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet")
     good = read("documents").join(read("labels").filter("quality = 1"), "doc_id")
