@@ -30,10 +30,12 @@ Every candidate is confirmed by the exact size of the intersection.  Joins are
 equi-joins on ids, band keys or set digests that the adaptive planner can split.
 
 Defined results: null and empty texts have no shingles, are linked with nothing
-and stand alone; fewer words than a shingle are one shingle; rows that share a
-doc_id are one document with the links of all its rows; a row with a null id
-gets its class's component, null if that has no id, and is always kept, as
-nothing names it (keep_one leaves such rows aside); an empty table gives no rows; extra columns are ignored.
+and stand alone, but for the other rows of their ids; fewer words than a shingle
+are one shingle; rows that share a doc_id are one document with the links of all
+its rows; a row with a null id links others like any (a 64-bit hash of its text
+names it meanwhile), gets its class's component, null if that has no id, and is
+always kept, as nothing names it; an empty table gives no rows; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -53,7 +55,7 @@ PERMUTATIONS, ROWS = 64, 4
 SMALL_BUCKET = 4096  # members up to which all cross-component pairs of a bucket are looked at at once
 CENTRES = 64  # drawn in larger buckets, four times as many each round
 AGREEING = 84  # of the 128 signature values, by two bits each
-SKETCH = "doc_id long, n_shingles long, hi long, lo long, bands array<long>, bits array<long>"
+SKETCH = "doc_id long, nameless boolean, n_shingles long, hi long, lo long, bands array<long>, bits array<long>"
 REMEMBERED = 200_000  # word hashes of a worker
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -123,6 +125,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
                 digest = lambda s, c: int(np.add.reduce(mix64(s + np.uint64(c))).view(np.int64)) if len(s) else 0
                 yield pd.DataFrame({
                     "doc_id": some["doc_id"].astype("Int64"),
+                    "nameless": some["nameless"],
                     "n_shingles": [len(s) for s in sets],
                     "hi": [digest(s, 1) for s in sets],
                     "lo": [digest(s, 2) for s in sets],
@@ -132,7 +135,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
                 if len(hashes) > REMEMBERED:
                     hashes.clear()
 
-    return docs.select("doc_id", "text").mapInPandas(run, SKETCH)
+    return docs.select("doc_id", "nameless", "text").mapInPandas(run, SKETCH)
 
 
 def compare(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -196,18 +199,22 @@ def _either(x: Column) -> Column:
 def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
     bound_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    held = F.col("doc_id").cast("long")
+    docs = docs.select(F.coalesce(held, F.xxhash64("text")).alias("doc_id"), held.isNull().alias("nameless"), "text")
     sketches = materialize(sketch(docs, width), "sketches")
     full = sketches.filter(F.col("n_shingles") > 0)
-    sets = materialize(full.groupBy("hi", "lo", "n_shingles").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits")), "classes")
-    named_sets = sets.filter(F.col("rep").isNotNull())
-    members = named_sets.select("rep", F.explode("bands").alias("key"))
+    least = F.coalesce(F.min(F.when(~F.col("nameless"), F.col("doc_id"))), F.min("doc_id"))
+    sets = full.groupBy("hi", "lo", "n_shingles").agg(least.alias("rep"), F.min("nameless").alias("nameless"), F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits"))
+    sets = materialize(sets, "classes")
+    rows, same = rows_of(sketches, sets)
+    members = sets.select("rep", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("x"), F.max("rep").alias("y")).filter(F.col("x") != F.col("y")).select("key", "m")
     buckets = materialize(members.join(shared, "key"), "buckets")
     crowd = buckets.groupBy("rep").agg(F.sum("m").alias("crowd"))
-    info = named_sets.select("rep", F.col("n_shingles").alias("n"), *[F.col("bits")[i].alias(f"s{i}") for i in range(4)]).join(crowd, "rep")
+    info = sets.select("rep", F.col("n_shingles").alias("n"), *[F.col("bits")[i].alias(f"s{i}") for i in range(4)]).join(crowd, "rep")
     info = materialize(info, "info")
-    texts = materialize(docs.join(info.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "texts")
+    texts = docs.filter("NOT nameless").unionByName(docs.filter("nameless AND text IS NOT NULL").dropDuplicates(["doc_id"])).drop("nameless")
+    texts = materialize(texts.join(info.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "texts")
 
     def alike(left: str, right: str) -> Column:
         """Neither set sizes nor signature bits rule the pair out."""
@@ -222,7 +229,7 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     pairs = told.alias("x").join(centre.alias("c"), (F.col("x.key") == F.col("c.key")) & (F.col("x.rep") != F.col("c.rep")) & alike("x", "c"))
     pairs = pairs.select(F.col("x.rep").alias("a"), F.col("c.rep").alias("b")).distinct()
     star = materialize(compare(pairs, texts, width, percent), "compared")
-    links = star.filter("linked").select("a", "b")
+    links = star.filter("linked").select("a", "b").unionByName(same)
     label = components(links)
     bound = materialize(bounds(star), "bounds")
     centres = centre.select("key", F.col("rep").alias("centre"), F.col("n").alias("nc"))
@@ -253,16 +260,38 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         if open_.isEmpty():
             break
         drawn *= 4
-    named = full.select("doc_id", "n_shingles", "hi", "lo").join(sets.select("hi", "lo", "n_shingles", "rep"), ["hi", "lo", "n_shingles"])
-    named = named.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
-    alone = sketches.filter(F.col("n_shingles") == 0).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    label = label.withColumnRenamed("node", "rep")
+    named = rows.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    if sets.filter("nameless").isEmpty():
+        named = named.withColumnRenamed("label", "component_id")
+    else:  # a hash may be the least name of its component: the least id takes its place
+        of = sets.select("rep", "nameless").join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        least = of.groupBy("label").agg(F.min(F.when(~F.col("nameless"), F.col("rep"))).alias("least"), F.max("nameless").alias("hashed")).filter("hashed")
+        named = named.join(least, "label", "left").withColumn("component_id", F.when(F.col("hashed"), F.col("least")).otherwise(F.col("label")))
+    named = named.select(F.when(~F.col("nameless"), F.col("doc_id")).alias("doc_id"), "n_shingles", "component_id")
+    alone = sketches.filter("n_shingles = 0 AND nameless").select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     return named.unionByName(alone).withColumn("kept", kept)
 
 
+def rows_of(sketches: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, nameless, n_shingles, rep) of the rows that have an id or shingles, and links (a, b) between the sets of one id.
+
+    A set without shingles is each id's own.  Only ids with several sets make links.
+    """
+    full = sketches.filter("n_shingles > 0").select("doc_id", "nameless", "n_shingles", "hi", "lo")
+    rows = full.join(sets.select("hi", "lo", "n_shingles", "rep"), ["hi", "lo", "n_shingles"]).select("doc_id", "nameless", "n_shingles", "rep")
+    none = sketches.filter("n_shingles = 0 AND NOT nameless").select("doc_id", "nameless", "n_shingles", F.col("doc_id").alias("rep"))
+    rows = materialize(rows.unionByName(none), "rows")
+    ids = rows.filter("NOT nameless").select("doc_id", "rep")
+    several = ids.groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x <> y").select("doc_id")
+    same = ids.filter("doc_id <> rep").join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    return rows, materialize(same, "same-id")
+
+
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that their classes keep, with their columns as they are; of rows with one doc_id, one."""
-    kept = materialize(classes(docs.filter(F.col("doc_id").isNotNull()), width, percent).filter("kept").select("doc_id"), "kept")
+    kept = materialize(classes(docs, width, percent).filter("kept AND doc_id IS NOT NULL").select("doc_id"), "kept")
     out = docs.join(kept.distinct().hint("merge"), "doc_id", "left_semi")  # ids have no size bound to broadcast them by
     unnamed = docs.filter(F.col("doc_id").isNull())
     rows, ids = kept.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()

@@ -122,6 +122,28 @@ def test_an_id_with_several_texts_has_the_links_of_all(spark):
     assert got == sorted(brute_components(rows, 4, 80))
 
 
+def test_ids_and_null_ids_link_the_sets_they_hold(spark):
+    def near(text, at):
+        w = text.split()
+        w[at] = "changed"
+        return " ".join(w)
+
+    t = [fx.prose(60 + k, 100) for k in range(8)]
+    rows = [(3, t[0]), (5, t[0]), (5, t[1]), (7, near(t[1], 50))]  # 5 holds a text of 3 and another
+    rows += [(11, t[2]), (12, t[2]), (12, ""), (13, "")]  # and one without shingles
+    bridge = near(near(t[3], 10), 40)
+    rows += [(22, t[3]), (None, bridge), (None, bridge), (21, near(near(bridge, 65), 85))]  # linked by a null id alone
+    rows += [(None, t[4]), (None, t[4].upper()), (None, near(t[4], 30)), (None, None), (None, ""), (2**62 + 1, t[5]), (None, near(t[5], 5))]
+    rows += [(-(2**62) - 1, t[6]), (None, near(t[6], 5)), (30, None), (30, t[7])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in minhash.classes(df, 4).collect()), key=repr)
+    assert got == sorted(brute_components(rows, 4, 80), key=repr)
+    assert {c for d, _, c in got if d in (5, 7)} == {3} and [c for d, _, c in got if d == 22] == [21]
+    kept = [r.doc_id for r in minhash.keep_one(df, 4).collect()]
+    assert sorted(x for x in kept if x is not None) == [-(2**62) - 1, 3, 11, 13, 21, 30, 2**62 + 1]
+    assert kept.count(None) == sum(d is None for d, _ in rows)
+
+
 def test_keep_one(docs):
     out = minhash.keep_one(docs, 5)
     assert out.columns == docs.columns
