@@ -12,8 +12,10 @@ passes over the texts.
 
 Defined results: null and empty texts hold nothing; an item shorter than
 `shortest` folded characters is looked for exactly and between word boundaries, an
-empty one never; items of equal text are all reported; hits of repeated rows and
-null ids are reported for each row; extra columns are ignored.
+empty one never; items of equal text are all reported; an item of null id is
+looked for like any, and each such text that no item with an id shares is a null
+entry before the ids; hits of repeated rows and null ids of documents are reported for each row; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +32,7 @@ from .common import bound_batches, fresh
 
 CHARACTERS_PER_EDIT, SHORTEST, BLOCK = 20, 40, 1_000_000
 _FOLD = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-Item = tuple[int, str]
+Item = tuple[int | None, str]
 
 
 def fold(text: str | None) -> str:
@@ -79,10 +82,10 @@ class Matcher:
     def __init__(self, items: Iterable[Item], per_edit: int = CHARACTERS_PER_EDIT, shortest: int = SHORTEST):
         import ahocorasick
 
-        self.items: dict[str, list[int]] = {}
+        self.items: dict[str, list[int | None]] = {}
         for i, text in items:
             if folded := fold(text):
-                self.items.setdefault(folded, []).append(int(i))
+                self.items.setdefault(folded, []).append(None if i is None else int(i))
         self.texts = sorted(self.items)
         self.budget = [budget(t, per_edit, shortest) for t in self.texts]
         self.shortest = shortest
@@ -100,10 +103,18 @@ class Matcher:
             self.automaton.make_automaton()
 
     def find(self, text: str | None) -> dict[int, int]:
-        """item id -> least distance, for the items within their budgets."""
+        """item id -> least distance, for the items with an id within their budgets."""
+        return {i: d for i, d in self._all(text) if i is not None}
+
+    def hits(self, text: str | None) -> list[tuple[int | None, int]]:
+        """(item id, least distance) for the items within their budgets; first those of null id, then by id."""
+        found = self._all(text)
+        return [(None, d) for d in sorted(d for i, d in found if i is None)] + sorted({i: d for i, d in found if i is not None}.items())
+
+    def _all(self, text: str | None) -> list[tuple[int | None, int]]:
         folded = fold(text)
         if not folded or not self.texts:
-            return {}
+            return []
         found: dict[int, int] = {}
         looked: dict[int, list[tuple[int, int]]] = {}
         for end, owners in self.automaton.iter(folded):
@@ -130,7 +141,7 @@ class Matcher:
                 d = self.myers[n].distance(folded[a:z])
                 if d <= k:
                     found[n] = min(d, found.get(n, d))
-        return {i: d for n, d in found.items() for i in self.items[self.texts[n]]}
+        return [(i, d) for n, d in found.items() for i in self.items[self.texts[n]]]
 
     def _piece_end(self, n: int, offset: int) -> int:
         length, k = len(self.texts[n]), self.budget[n]
@@ -142,13 +153,30 @@ class Matcher:
         return (a == 0 or text[a - 1] == " ") and (z == len(text) or text[z] == " ")
 
 
+def distinct_items(benchmark: DataFrame) -> Iterator[Item]:
+    """The items with an id, then those of null id whose folded text no item before has."""
+    items = benchmark.select("item_id", "text").filter(F.col("text").isNotNull())
+    unnamed = items.filter(F.col("item_id").isNull())
+    any_unnamed, seen = not unnamed.isEmpty(), set()
+    digest = lambda text: xxhash.xxh128_digest(fold(text).encode("utf-8", "surrogatepass"))
+    for r in items.filter(F.col("item_id").isNotNull()).toLocalIterator():
+        if any_unnamed:
+            seen.add(digest(r["text"]))
+        yield r["item_id"], r["text"]
+    if any_unnamed:
+        for r in unnamed.toLocalIterator():
+            if (key := digest(r["text"])) not in seen:
+                seen.add(key)
+                yield None, r["text"]
+
+
 def blocks(benchmark: DataFrame, size: int = BLOCK) -> Iterator[list[Item]]:
     """The items, some megabytes of text at a time."""
     some: list[Item] = []
     held = 0
-    for r in benchmark.select("item_id", "text").filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).toLocalIterator():
-        some.append((r["item_id"], r["text"]))
-        held += len(r["text"])
+    for item in distinct_items(benchmark):
+        some.append(item)
+        held += len(item[1])
         if held >= size:
             yield some
             some, held = [], 0
@@ -163,8 +191,8 @@ def hits_udf(items: list[Item]):
     def hits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(items)
         for texts in batches:
-            found = [sorted(matcher.find(t).items()) for t in texts]
-            yield pd.DataFrame({"items": [np.array([i for i, _ in f], np.int64) for f in found], "distances": [np.array([d for _, d in f], np.int32) for f in found]})
+            found = [matcher.hits(t) for t in texts]
+            yield pd.DataFrame({"items": [[i for i, _ in f] for f in found], "distances": [np.array([d for _, d in f], np.int32) for f in found]})
 
     return hits
 

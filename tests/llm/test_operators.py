@@ -395,6 +395,24 @@ def test_contamination(spark):
     assert decontamination.contamination(df, bench.filter("false")).filter("contaminated").count() == 0
 
 
+def test_items_of_null_id_are_found(spark, monkeypatch):
+    a, b, c = fx.prose(80, 20), fx.prose(81, 20), fx.prose(84, 20)
+    changed = b[:50] + "#" + b[51:]
+    items = [(None, a), (None, a.upper()), (None, b), (7, b), (None, c), (8, fx.prose(82, 20)), (None, None), (None, "")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, "x " + a + " y"), (2, "x " + changed + " y"), (3, a + " " + b + " " + c), (4, fx.prose(83, 40)), (None, a), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    d = edit(decontamination.fold(changed), decontamination.fold(b))
+    assert d > 0
+    expected = {1: ([None], [0]), 2: ([7], [d]), 3: ([None, None, 7], [0, 0, 0]), 4: ([], []), None: ([None], [0]), 5: ([], [])}
+    for size in (decontamination.BLOCK, 1):
+        monkeypatch.setattr(decontamination.blocks, "__defaults__", (size,))
+        out = decontamination.contamination(docs, benchmark).collect()
+        assert {r.doc_id: (r.item_ids, r.distances) for r in out} == expected and len(out) == len(rows)
+        assert all(r.contaminated == bool(r.item_ids) for r in out)
+        assert sorted(r.doc_id for r in decontamination.keep_clean(docs, benchmark).collect()) == [4, 5]
+
+
 def test_matcher_finds_what_brute_force_finds():
     rng = np.random.default_rng(8)
     items = [(i, fx.prose(40 + i, 12)) for i in range(6)]
