@@ -51,6 +51,11 @@ def byte_alphabet() -> list[str]:
     return out
 
 
+def _covers(runs: list[str], text: str) -> bool:
+    """Whether the runs leave nothing of the text out; some capitals of Latin Extended-B have small letters beyond the run pattern."""
+    return sum(map(len, runs)) == len(text)
+
+
 def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -104,11 +109,11 @@ class WordEncoder:
     def _word(self, text: str) -> bytes:
         if text.isascii() and text.isalpha():
             return _packed(self._run(text.lower()))
-        runs = _RUNS.findall(text)
-        if sum(map(len, runs)) == len(text) and not ("<" in text and any(s in text for s in self.specials)):
-            small = text.lower()
+        small = text.lower()
+        runs = _RUNS.findall(small)
+        if _covers(runs, small) and _covers(_RUNS.findall(text), text) and not ("<" in text and any(s in text for s in self.specials)):
             if small.isascii() or unicodedata.is_normalized("NFC", small):
-                return _packed([i for r in _RUNS.findall(small) for i in self._run(r)])
+                return _packed([i for r in runs for i in self._run(r)])
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode_arrays(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +128,8 @@ class WordEncoder:
         words = numbered.dictionary
         core = pc.ascii_rtrim(words, characters=_CLOSING)
         core = pc.if_else(pc.match_substring_regex(core, _ENDS_PLAIN), core, words)
-        core = pc.if_else(pc.string_is_ascii(core), pc.ascii_lower(core), core)
+        plain = pc.and_not(pc.string_is_ascii(core), pc.match_substring(core, "<|"))  # a special token in capitals is none
+        core = pc.if_else(plain, pc.ascii_lower(core), core)
         cores = core.dictionary_encode()
         packed = [self.words[w] for w in cores.dictionary.to_pylist()]
         first = cores.indices.to_numpy()

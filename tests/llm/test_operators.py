@@ -1,6 +1,7 @@
 """Each training-data operator against brute force on a small fixture with every odd case."""
 
 import collections
+import functools
 import itertools
 import math
 import zlib
@@ -429,11 +430,15 @@ def test_matcher_finds_what_brute_force_finds():
 # 8 packing, 9 files
 
 
-def reference_ids(text, end):
+@functools.cache
+def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenization.vocabulary_path())
-    return np.array([*t.encode(text or "", add_special_tokens=False).ids, end], "<u4")
+    return Tokenizer.from_file(tokenization.vocabulary_path())
+
+
+def reference_ids(text, end):
+    return np.array([*library().encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
 def test_encoding_is_exact():
@@ -445,6 +450,20 @@ def test_encoding_is_exact():
         assert np.frombuffer(packed, "<u4").tolist() == reference_ids(t, 0)[:-1].tolist(), t
 
 
+def test_every_latin_letter_and_any_code_point_is_encoded_exactly():
+    latin = [chr(k) for a, z in ((0xC0, 0x250), (0x1E00, 0x1F00)) for k in range(a, z)]
+    texts = [w for c in latin for d in (c, c.swapcase()) for w in (d, f"a{d}b", f"{d}li {d}{d}. x{d}")]
+    texts += ["<|ENDOFTEXT|>", "a<|EndOfText|>.", "<|StartOfText|> <|startoftext|>X", "Əli wrote a letter to Ɓala"]
+    rng = np.random.default_rng(12)
+    planes = [(0x20, 0x7F), (0xA0, 0x250), (0x250, 0x3000), (0x3000, 0xD800), (0xE000, 0x10000), (0x10000, 0x30000), (0xE0000, 0xE0200)]
+    for _ in range(3000):
+        spans = [planes[k] for k in rng.integers(0, len(planes), 12)]
+        texts.append("".join(chr(int(rng.integers(a, z))) for a, z in spans))
+    encoder = tokenization.WordEncoder(memo=500)
+    for t, packed in zip(texts, encoder.encode_many(texts), strict=True):
+        assert np.frombuffer(packed, "<u4").tolist() == reference_ids(t, 0)[:-1].tolist(), t
+
+
 def test_packing(docs, spark):
     out = packing.pack(docs, length=64).collect()
     want = []
