@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII capitals and their small letters, for translate(): other letters keep their case.
@@ -70,6 +70,16 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def id_text(column: str = "doc_id") -> Column:
+    """An id as text, for Python: pandas holds a long column with a null as doubles, which do not keep ids above 2**53."""
+    return F.col(column).cast("string").alias(column)
+
+
+def id_back(df: DataFrame, column: str = "doc_id") -> DataFrame:
+    """df with the text of id_text() as a long again."""
+    return df.withColumn(column, F.col(column).cast("long"))
+
+
 def crc_of_id(column: str = "doc_id"):
     """crc32 of the id's decimal text; of '' for a null id."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, bound_batches, crc_of_id, discard, materialize, mix64, release
+from .common import ascii_words, bound_batches, crc_of_id, discard, id_text, materialize, mix64, release
 from .tokenization import Memo
 
 K = 5
@@ -110,7 +110,7 @@ class Unigrams:
 
 def chunked(docs: DataFrame, held_out: int, of: int, size: int) -> DataFrame:
     """chunk, tokens, words, ids, nulls, lengths, held, vocabulary (hashes), counts (in training), numbers (of tokens)."""
-    rows = docs.select("doc_id", "text", (crc_of_id() % of == held_out).alias("held"))
+    rows = docs.select(id_text(), "text", (crc_of_id() % of == held_out).alias("held"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, part, number = Memo(word_hash), TaskContext.get().partitionId(), 0
@@ -137,7 +137,7 @@ def chunked(docs: DataFrame, held_out: int, of: int, size: int) -> DataFrame:
                 words = ascii_words(text)
                 a = np.zeros(len(words) + 1, np.uint64)
                 a[:-1] = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-                ids.append(None if pd.isna(doc) else int(doc))
+                ids.append(None if doc is None else int(doc))
                 held.append(bool(out))
                 arrays.append(a)
                 tokens += len(a)

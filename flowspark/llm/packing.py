@@ -30,31 +30,31 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize, with_slots
+from .common import bound_batches, id_back, id_text, materialize, with_slots
 from .tokenization import vocabulary_path, worker_encoder
 
 LENGTH = 2048
 END = 0
-PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
+PIECES = "doc_id string, piece int, start long, length int, ids_crc32 long"
 
 
 def cut(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: int = END) -> DataFrame:
-    """PIECES of every document of docs (doc_id, text)."""
+    """PIECES, doc_id as a long, of every document of docs (doc_id, text)."""
     path = path or vocabulary_path()
     tail = end.to_bytes(4, "little")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = worker_encoder(path)
         for b in batches:
-            ids, out = b["doc_id"].tolist() if b["doc_id"].notna().all() else [None if pd.isna(x) else int(x) for x in b["doc_id"]], []
-            for doc, packed in zip(ids, encoder.encode_many(b["text"]), strict=True):
+            out = []
+            for doc, packed in zip(b["doc_id"], encoder.encode_many(b["text"]), strict=True):
                 packed += tail
                 for piece, at in enumerate(range(0, len(packed), 4 * length)):
                     some = packed[at : at + 4 * length]
                     out.append((doc, piece, at // 4, len(some) // 4, zlib.crc32(some)))
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, PIECES)
+    return id_back(docs.select(id_text(), "text").mapInPandas(run, PIECES))
 
 
 def rounds(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[int, int, int, int, int]]:

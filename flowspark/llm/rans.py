@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, discard, materialize, scratch_path
+from .common import bound_batches, discard, id_back, id_text, materialize, scratch_path
 from .tokenization import batches_of, vocabulary_path, worker_encoder
 
 END = 1
@@ -227,11 +227,11 @@ def token_rows(docs: DataFrame, path: str, end: int, width: str, size: int) -> D
                 data, cuts = ids.astype(width).tobytes(), (cuts * item).tolist()
                 packed += [data[a:z] + tail for a, z in zip(cuts, cuts[1:], strict=False)]
             total[end] += len(b)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "ids": packed, "counts": None})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": packed, "counts": None})
         if total.any():
-            yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "ids": [None], "counts": [total.astype("<i8").tobytes()]})
+            yield pd.DataFrame({"doc_id": [None], "ids": [None], "counts": [total.astype("<i8").tobytes()]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids binary, counts binary")
+    return id_back(docs.select(id_text(), "text").mapInPandas(run, "doc_id string, ids binary, counts binary"))
 
 
 def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END) -> DataFrame:
@@ -266,7 +266,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END)
         number, writer, held, some = TaskContext.get().partitionId(), None, 0, []
         for b in batches:
             for doc, ids in zip(b["doc_id"], b["ids"], strict=True):
-                some.append((None if pd.isna(doc) else int(doc), bytes(ids)))
+                some.append((None if doc is None else int(doc), bytes(ids)))
                 held += len(ids)
                 if held >= BLOCK * item:
                     writer = writer or Writer(f"{folder}/part-{number:06d}.rans", table, width)
@@ -279,7 +279,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END)
             writer.close()
             yield pd.DataFrame([(writer.path, number, writer.docs, writer.ids)], columns=["path", "file", "docs", "ids"])
 
-    dealt = rows.filter("counts IS NULL").select("doc_id", "ids").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "ids")
+    dealt = rows.filter("counts IS NULL").select("doc_id", "ids").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "ids").select(id_text(), "ids")
     written = dealt.mapInPandas(store, "path string, file int, docs long, ids long").collect()  # one row a file
     discard(rows)
     first, out = 0, []
@@ -324,8 +324,7 @@ def read(spark: SparkSession, manifest: DataFrame, schema: str = "doc_id long, s
                 for d, n in zip(docs, lengths.tolist(), strict=True):
                     out.append(digest(d, r.first_id + at, ids[at : at + n]))
                     at += n
-                frame = pd.DataFrame(out, columns=names)
-                yield frame.astype({"doc_id": "Int64"}) if "doc_id" in names else frame
+                yield pd.DataFrame({n: pd.Series(list(x), dtype=object) for n, x in zip(names, zip(*out, strict=True), strict=True)}, columns=names)
 
     files, ids = manifest.agg(F.count("*"), F.coalesce(F.sum("ids"), F.lit(0))).first()
     tasks = max(1, min(files + ids // BLOCK, MOST_FILES))  # a stated number, which the planner does not coalesce

@@ -26,6 +26,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import bound_batches, id_back, id_text
+
 SEPARATOR = b"\x01"
 
 #: Rules (verdict, host, path) of the registered query.
@@ -146,7 +148,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, block
                 "verdict": np.where(first < n, verdicts[first], method),
             })
 
-    return pages.select("page_id", "url").mapInPandas(run, "page_id long, host string, path string, rule string, verdict string")
+    bound_batches(pages.sparkSession, 4_000)
+    return id_back(pages.select(id_text("page_id"), "url").mapInPandas(run, "page_id string, host string, path string, rule string, verdict string"), "page_id")
 
 
 def oracle_sql() -> str:

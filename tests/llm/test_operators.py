@@ -450,6 +450,21 @@ def test_encoding_is_exact():
         assert np.frombuffer(packed, "<u4").tolist() == reference_ids(t, 0)[:-1].tolist(), t
 
 
+def test_large_ids_beside_null_ones_stay_exact(spark, tmp_path):
+    big = [2**53 + 1, None, 2**53 + 3, -(2**53) - 1, 2**63 - 1]
+    want = sorted(big, key=repr)
+    docs = spark.createDataFrame([(i, f"some words of text number {k} " * 20, "en") for k, i in enumerate(big)], "doc_id long, text string, lang string").coalesce(1)
+    pages = spark.createDataFrame([(i, "http://a.com/x") for i in big], "page_id long, url string").coalesce(1)
+    ids = lambda df, c="doc_id": sorted([r[c] for r in df.collect()], key=repr)
+    assert ids(url_filters.judge(pages), "page_id") == want
+    for out in (minhash.classes(docs), sharding.shard(docs), fertility.quality(docs), katz.scores(docs), packing.pack(docs), rans.round_trip(docs, f"file://{tmp_path}/big")):
+        assert ids(out) == want
+    assert ids(language_id.predict(docs, language_id.train(docs))) == want
+    labels = spark.createDataFrame([(2**53 + 1, 1), (2**53 + 3, 0)], "doc_id long, toxic int")
+    assert ids(toxicity.scores(docs, toxicity.train(docs, labels))) == want
+    assert ids(decontamination.contamination(docs, spark.createDataFrame([(1, "x")], "item_id long, text string"))) == want
+
+
 def test_every_latin_letter_and_any_code_point_is_encoded_exactly():
     latin = [chr(k) for a, z in ((0xC0, 0x250), (0x1E00, 0x1F00)) for k in range(a, z)]
     texts = [w for c in latin for d in (c, c.swapcase()) for w in (d, f"a{d}b", f"{d}li {d}{d}. x{d}")]
