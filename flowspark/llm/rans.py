@@ -18,7 +18,7 @@ twice leaves one file.  Only one manifest row a file goes to the driver.
 
 Defined results: a null text is an empty one; an empty text is its end id alone;
 null doc_ids come first; rows of one doc_id stand next to each other, in the order
-of their ids; an empty table gives no file and no rows; extra columns are ignored.
+of a hash of their ids, and may fill several files; an empty table gives no file and no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from .tokenization import batches_of, vocabulary_path, worker_encoder
 
 END = 1
 SCALE, LOW = 20, np.uint64(1 << 31)
-LANES, BLOCK, PER_FILE, MOST_FILES = 2048, 1 << 20, 1 << 24, 10_000
+LANES, BLOCK, PER_FILE, BLOCKS_A_TASK = 2048, 1 << 20, 1 << 24, 4
 MAGIC = b"FLOWRANS"
 HEAD = struct.Struct("<IQIIIQI")  # documents, ids, lanes, meta bytes, words, least doc_id, crc32 of the ids
 
@@ -260,7 +260,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END)
     if not total:
         return spark.createDataFrame([], "path string, file int, docs long, ids long, first_id long")
     table = Table.of_counts(counts)
-    files = max(1, min(-(-total // PER_FILE), MOST_FILES))
+    files = max(1, -(-total // PER_FILE))
 
     def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number, writer, held, some = TaskContext.get().partitionId(), None, 0, []
@@ -279,7 +279,8 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END)
             writer.close()
             yield pd.DataFrame([(writer.path, number, writer.docs, writer.ids)], columns=["path", "file", "docs", "ids"])
 
-    dealt = rows.filter("counts IS NULL").select("doc_id", "ids").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "ids").select(id_text(), "ids")
+    order = ["doc_id", F.xxhash64("ids"), "ids"]  # the hash parts the rows of one id, or of null ids, among tasks
+    dealt = rows.filter("counts IS NULL").select("doc_id", "ids").repartitionByRange(files, *order[:2]).sortWithinPartitions(*order).select(id_text(), "ids")
     written = dealt.mapInPandas(store, "path string, file int, docs long, ids long").collect()  # one row a file
     discard(rows)
     first, out = 0, []
@@ -327,8 +328,8 @@ def read(spark: SparkSession, manifest: DataFrame, schema: str = "doc_id long, s
                 yield pd.DataFrame({n: pd.Series(list(x), dtype=object) for n, x in zip(names, zip(*out, strict=True), strict=True)}, columns=names)
 
     files, ids = manifest.agg(F.count("*"), F.coalesce(F.sum("ids"), F.lit(0))).first()
-    tasks = max(1, min(files + ids // BLOCK, MOST_FILES))  # a stated number, which the planner does not coalesce
-    blocks = manifest.select("path", "first_id").repartition(max(1, min(files, MOST_FILES)), "path").mapInPandas(listed, "path string, offset long, bytes long, first_id long, crc long")
+    tasks = max(1, files + ids // (BLOCKS_A_TASK * BLOCK))  # a stated number, which the planner does not coalesce
+    blocks = manifest.select("path", "first_id").repartition(max(1, files), "path").mapInPandas(listed, "path string, offset long, bytes long, first_id long, crc long")
     return blocks.repartition(tasks, "path", "offset").mapInPandas(decoded, schema)
 
 

@@ -551,24 +551,92 @@ def test_files(docs, spark, tmp_path, monkeypatch):
 # 10 language
 
 
-def test_forward_sums_all_segmentations():
-    lattice = language_id.Lattice.load(tokenization.vocabulary_path(language_id.VOCABULARY))
-    p = np.random.default_rng(1).random((lattice.size + 2, 2)) / 100
-    p[-1] = 0
+def codes_of(word):
+    return np.array([[ord(c) for c in word]], np.uint32)
+
+
+def segmentations(lattice, word):
+    """All ways to cut a word into pieces, by recursion."""
+    if not word:
+        return [[]]
     known = dict(zip(lattice.keys.tolist(), lattice.ids.tolist(), strict=True))
+    out = []
+    for n in range(1, min(len(word), lattice.longest) + 1):
+        i = known.get(lattice.hash_of(word[:n]), lattice.size if n == 1 else None)
+        if i is not None:
+            out += [[i, *rest] for rest in segmentations(lattice, word[n:])]
+    return out
 
-    def brute(word):
-        if not word:
-            return np.ones(2)
-        total = np.zeros(2)
-        for n in range(1, min(len(word), language_id.LONGEST_PIECE) + 1):
-            i = known.get(lattice.hash_of(word[:n]), lattice.size if n == 1 else None)
-            if i is not None:
-                total += p[i] * brute(word[n:])
-        return total
-
-    for word in ("▁the", "▁naïve", "▁日本x", "▁a"):
-        assert lattice.forward(lattice.pieces([word]), p)[-1][0] == pytest.approx(brute(word))
+
+@pytest.fixture(scope="module")
+def lattice():
+    return language_id.worker_lattice(tokenization.vocabulary_path(language_id.VOCABULARY))
+
+
+def test_forward_and_expectations_equal_sums_over_all_segmentations(lattice, monkeypatch):
+    assert lattice.longest == 16
+    p = np.random.default_rng(1).random((lattice.size + 1, 2)) / 100
+    for cells in (language_id.CELLS, 3):
+        monkeypatch.setattr(language_id, "CELLS", cells)
+        for word in ("▁the", "▁naïve", "▁日本x", "▁a", "▁internation"):
+            ways = segmentations(lattice, word)
+            each = np.array([np.prod([p[i] for i in way], axis=0) for way in ways])
+            assert np.exp(lattice.forward(codes_of(word), p))[0] == pytest.approx(each.sum(0))
+            counts = np.zeros(lattice.size + 1)
+            for way, weight in zip(ways, each[:, 0] / each[:, 0].sum(), strict=True):
+                np.add.at(counts, way, 3.0 * weight)
+            assert lattice.expected(codes_of(word), np.array([3.0]), p[:, 0]) == pytest.approx(counts)
+
+
+def test_long_words_are_summed_whole(lattice, monkeypatch):
+    """Against a plain loop with logarithms; and a word of 50,000 letters that would underflow."""
+    p = np.random.default_rng(2).random((lattice.size + 1, 1)) / 1000
+    known = dict(zip(lattice.keys.tolist(), lattice.ids.tolist(), strict=True))
+    for word in ("▁" + "understanding" * 54, "▁" + "日本語aé" * 60):
+        log = [0.0]
+        for j in range(1, len(word) + 1):
+            terms = []
+            for k in range(1, min(j, lattice.longest) + 1):
+                i = known.get(lattice.hash_of(word[j - k : j]), lattice.size if k == 1 else None)
+                if i is not None:
+                    terms.append(log[j - k] + math.log(p[i, 0]))
+            log.append(max(terms) + math.log(sum(math.exp(t - max(terms)) for t in terms)))
+        for cells in (language_id.CELLS, 50):
+            monkeypatch.setattr(language_id, "CELLS", cells)
+            assert lattice.forward(codes_of(word), p)[0, 0] == pytest.approx(log[-1])
+            total = lattice.expected(codes_of(word), np.array([1.0]), p[:, 0])
+            assert total.sum() > 10
+    assert np.isfinite(lattice.forward(codes_of("▁" + "x" * 50_000), p)).all()
+
+
+def test_training_equals_a_plain_fit(spark, lattice):
+    texts = [("en", "the cat sat on the mat"), ("en", "a cat"), ("fr", "le chat est la"), ("fr", "là le chat")]
+    docs = spark.createDataFrame([(3 * k, t, x) for k, (x, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    model = language_id.train(docs, held_out=-1, rounds=3)
+    for i, lang in enumerate(model.languages):
+        words = collections.Counter(w for x, t in texts if x == lang for w in t.split())
+        p = np.full(lattice.size + 1, 1 / (lattice.size + 1))
+        for _ in range(3):
+            counts = np.zeros_like(p)
+            for w, n in words.items():
+                ways = segmentations(lattice, "▁" + w)
+                each = np.array([np.prod(p[way]) for way in ways])
+                for way, weight in zip(ways, each / each.sum(), strict=True):
+                    np.add.at(counts, way, n * weight)
+            p = (counts + language_id.SMOOTHING) / (counts.sum() + language_id.SMOOTHING * len(p))
+        assert model.p[:, i] == pytest.approx(p)
+    assert model.languages == ["en", "fr"] and model.prior == pytest.approx(np.log([0.5, 0.5]))
+    for text in ("the mat", "là chat", "cat"):
+        z = model.prior + sum(np.log(sum(np.prod(model.p[way], axis=0) for way in segmentations(lattice, "▁" + w))) for w in text.split())
+        (got,) = language_id.Scorer(model, lattice).predict([text])
+        assert got[0] == model.languages[int(z.argmax())] and got[1] == pytest.approx(np.exp(z.max()) / np.exp(z).sum())
+
+
+def test_number_like_characters_are_no_letters(spark):
+    docs = spark.createDataFrame([(0, "the cat", "en"), (2, "² ½", None), (3, "Ⅷ ① ٣ _ ́", None), (5, "½a", None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(docs, language_id.train(docs, held_out=-1)).collect()}
+    assert got[2] == got[3] == ("und", 0.0) and got[5][0] == "en"
+    assert language_id.words_of("² x² हिन्दी é") == ["x", "हिन्दी", "é"]
 
 
 def test_language_of_odd_rows(docs, spark):
