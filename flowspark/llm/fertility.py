@@ -7,7 +7,9 @@ rejected if one of them leaves the band of its language or, where the language
 is unknown, of its main script; or if the word and line counts fail.
 
 Defined results: a null text has no words and fails; so does an empty one.
-White space is ``[\\x20\\x09-\\x0D]``.  Measures without tokens are 0 and no band is
+White space is ``[\\x20\\x09-\\x0D]``.  The least entropy of a band holds for long
+texts; a text of n tokens has log2(n) bits at most and need not have more than
+half of that.  Measures without tokens are 0 and no band is
 applied to texts that failed already.  A null or unlisted language takes the band of
 the script that most letters of the whole text have.  Repeated rows,
 null ids and extra columns change nothing.
@@ -16,7 +18,6 @@ null ids and extra columns change nothing.
 from __future__ import annotations
 
 import os
-import re
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,27 +25,32 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, fresh, mix64
-from .tokenization import LONGEST, MEMO, vocabulary_path
+from .tokenization import LONGEST, MEMO, batches_of, gathered, vocabulary_path
 
 VOCABULARY = "piece_bpe_32k.model"
-SYMBOLS = re.compile(r"[#*$%&|<>]")
-SPACE = re.compile(r"[\x20\x09-\x0D]")
+SYMBOLS, NO_SPACE = r"[#*$%&|<>]", r"[^\x20\x09-\x0D]"
 MIN_WORDS, MAX_REPEATED = 50, 50
 
 
 @dataclass(frozen=True)
 class Band:
-    """What a text may have; texts of fewer than `short` tokens are not judged by entropy."""
+    """What a text may have."""
 
     fertility: float  # tokens a word, at most
     chars: tuple[float, float]  # characters a token
     fallback: float  # share of byte tokens, at most
     entropy: tuple[float, float]  # bits
-    short: int = 100
+
+    def holds(self, tokens: int, fertility: float, chars: float, fallback: float, entropy: float) -> bool:
+        low, high = self.entropy
+        fits = fertility <= self.fertility and self.chars[0] <= chars <= self.chars[1] and fallback <= self.fallback
+        return fits and min(low, 0.5 * np.log2(max(1, tokens))) <= entropy <= high
 
 
 #: Bands by language, then by script.
@@ -90,80 +96,103 @@ def script_of(text: str, chars: int = 1 << 16) -> str:
 
 
 class Meter:
-    """Measures texts; keeps a bounded memo of words."""
+    """Measures texts, many at a time: Arrow splits them and numbers their distinct words, of which it keeps a bounded memo."""
 
     def __init__(self, path: str, memo: int = MEMO):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.bytes = np.fromiter((self.model.is_byte(i) for i in range(self.model.vocab_size())), bool, self.model.vocab_size())
-        self.memo: dict[bytes, bytes] = {}
+        self.memo: dict[str, bytes] = {}
         self.limit = memo
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        new = list(set(words).difference(self.memo))
-        if new:
-            if len(self.memo) + len(new) > self.limit:
-                self.memo.clear()
-                new = list(set(words))
-            for w, ids in zip(new, self.model.encode([w.decode("utf-8", "replace") for w in new], num_threads=1), strict=True):
-                self.memo[w] = np.array(ids, np.uint16).tobytes()
-        out = np.frombuffer(b"".join([self.memo[w] for w in words]), np.uint16)
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words in a row, how many each has); the words are distinct."""
+        new = [w for w in words if w not in self.memo]
+        if len(self.memo) + len(new) > self.limit:
+            self.memo.clear()
+            new = words
+        for w, ids in zip(new, self.model.encode(new, num_threads=1), strict=True):
+            self.memo[w] = np.array(ids, np.uint16).tobytes()
+        packed = [self.memo[w] for w in words]
         for w in new:
             if len(w) > LONGEST:
                 del self.memo[w]
-        return out
+        return np.frombuffer(b"".join(packed), np.uint16), np.fromiter(map(len, packed), np.int64, len(packed)) // 2
+
+    def measure_many(self, texts: list[str | None], langs: list[str | None], bands: dict[str, Band]) -> pd.DataFrame:
+        texts = [t or "" for t in texts]
+        whole = pa.array(texts, pa.large_string())
+        split = pc.ascii_split_whitespace(whole)
+        numbered = split.flatten().dictionary_encode()
+        words, which = numbered.dictionary, numbered.indices.to_numpy()
+        there = (pc.binary_length(words).to_numpy() > 0)[which]  # white space at an end leaves an empty part
+        cuts = np.concatenate(([0], np.cumsum(there)))[split.offsets.to_numpy()]
+        which = which[there]
+
+        def of_texts(of_words) -> np.ndarray:
+            return np.diff(np.concatenate(([0], np.cumsum(np.asarray(of_words)[which])))[cuts])
+
+        pool, size = self.encode(words.to_pylist())
+        start = np.cumsum(size) - size
+        fallback = np.concatenate(([0], np.cumsum(self.bytes[pool])))
+        n, chars, tokens = np.diff(cuts), of_texts(pc.utf8_length(words)), of_texts(size)
+        shares = of_texts(fallback[start + size] - fallback[start])
+        symbols = of_texts(pc.count_substring_regex(words, SYMBOLS))
+        repeated = repeated_words(which, cuts, len(words))
+        failed = (n < MIN_WORDS) | (100 * repeated > MAX_REPEATED * n)
+        ids, at = gathered(pool, start[which], size[which]), np.concatenate(([0], np.cumsum(tokens)))
+        some = np.maximum(tokens, 1)
+        fertility, per_token, share = tokens / np.maximum(n, 1), chars / some, shares / some
+        entropies, names, kept = [], [], []
+        for i, (text, lang) in enumerate(zip(texts, langs, strict=True)):
+            counts = np.bincount(ids[at[i] : at[i + 1]])
+            p = counts[counts > 0] / some[i]
+            entropies.append(float(-(p * np.log2(p)).sum()) if len(p) > 1 else 0.0)
+            names.append(lang if lang in bands else script_of(text))
+            band = bands.get(names[-1], bands["other"])
+            kept.append(bool(not failed[i] and band.holds(int(tokens[i]), fertility[i], per_token[i], share[i], entropies[-1])))
+        rows = (n, chars, symbols, duplicate_lines(whole), repeated, failed, fertility, per_token, share, entropies, names, kept)
+        return pd.DataFrame(dict(zip([c.split()[0] for c in COLUMNS.split(", ")], rows, strict=True)))
 
     def measure(self, text: str | None, lang: str | None, bands: dict[str, Band]) -> tuple:
-        text = text or ""
-        raw = text.encode("utf-8", "replace")
-        words = raw.split()
-        n = len(words)
-        chars = len(text) - len(SPACE.findall(text))
-        symbols = len(SYMBOLS.findall(text))
-        lines = [x for x in raw.split(b"\n") if x.strip()]
-        duplicates = len(lines) - len(set(lines))
-        repeated = repeated_words(words)
-        failed = n < MIN_WORDS or 100 * repeated > MAX_REPEATED * n
-        ids = self.ids(words)
-        fertility = per_token = share = entropy = 0.0
-        if len(ids):
-            fertility, per_token = len(ids) / max(n, 1), chars / len(ids)
-            share = float(self.bytes[ids].mean())
-            counts = np.bincount(ids)
-            p = counts[counts > 0] / len(ids)
-            entropy = float(-(p * np.log2(p)).sum())
-        name = lang if lang in bands else script_of(text)
-        b = bands.get(name, bands["other"])
-        fits = fertility <= b.fertility and b.chars[0] <= per_token <= b.chars[1] and share <= b.fallback
-        fits = fits and (len(ids) < b.short or b.entropy[0] <= entropy <= b.entropy[1])
-        return n, chars, symbols, duplicates, repeated, failed, fertility, per_token, share, entropy, name, bool(fits and not failed)
-
-
-def repeated_words(words: list[bytes], width: int = 3) -> int:
-    """Words that lie in a window of `width` words found twice or more."""
-    n = len(words) - width + 1
+        return tuple(self.measure_many([text], [lang], bands).iloc[0])
+
+
+def duplicate_lines(texts: pa.Array) -> np.ndarray:
+    """Of each text, its lines with a word that equal an earlier line."""
+    lines = pc.split_pattern(texts, "\n")
+    numbered = lines.flatten().dictionary_encode()
+    which = numbered.indices.to_numpy().astype(np.int64)
+    owner = np.repeat(np.arange(len(texts)), np.diff(lines.offsets.to_numpy()))
+    worded = pc.match_substring_regex(numbered.dictionary, NO_SPACE).to_numpy(zero_copy_only=False)[which]
+    which, owner = which[worded], owner[worded]
+    first = np.unique(owner * (len(numbered.dictionary) + 1) + which) // (len(numbered.dictionary) + 1)
+    return np.bincount(owner, minlength=len(texts)) - np.bincount(first, minlength=len(texts))
+
+
+def repeated_words(which: np.ndarray, cuts: np.ndarray, distinct: int, width: int = 3) -> np.ndarray:
+    """Of each text, its words that lie in a window of `width` words found twice or more in it.  which: the words' numbers, below distinct."""
+    texts = len(cuts) - 1
+    owner = np.repeat(np.arange(texts), np.diff(cuts))
+    n = len(which) - width + 1
     if n < 2:
-        return 0
-    number: dict[bytes, int] = {}
-    a = np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint64, len(words))
-    key = np.zeros(n, np.uint64)
-    if len(number) ** width < 2**64:
-        for k in range(width):
-            key = key * np.uint64(len(number)) + a[k : k + n]
-    else:
-        for k in range(width):
-            key = mix64(key + a[k : k + n] + np.uint64(0x9E3779B97F4A7C15))
-    order = np.argsort(key, kind="stable")
+        return np.zeros(texts, np.int64)
+    inside = np.flatnonzero(owner[:n] == owner[width - 1 :])
+    key = owner[inside].astype(np.uint64)
+    for k in range(width):
+        word = which[inside + k].astype(np.uint64)
+        key = key * np.uint64(distinct) + word if texts * distinct**width < 2**64 else mix64(key + word + np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(key)
     ranked = key[order]
     same = ranked[1:] == ranked[:-1]
-    twice = np.zeros(n, bool)
+    twice = np.zeros(len(key), bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
-    covered = np.zeros(len(words), bool)
+    covered = np.zeros(len(which), bool)
     for k in range(width):
-        covered[k : k + n] |= twice
-    return int(covered.sum())
+        covered[inside[twice] + k] = True
+    return np.bincount(owner[covered], minlength=texts)
 
 
 _METERS: dict[tuple[str, int], Meter] = {}
@@ -183,9 +212,12 @@ def verdict_udf(path: str | None = None, bands: dict[str, Band] = BANDS):
     @F.pandas_udf(COLUMNS)
     def measured(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         meter = worker_meter(path)
-        names = [c.split()[0] for c in COLUMNS.split(", ")]
         for texts, langs in batches:
-            yield pd.DataFrame([meter.measure(t, x, bands) for t, x in zip(texts, langs, strict=True)], columns=names)
+            langs, found, at = langs.tolist(), [], 0
+            for some in batches_of(texts):
+                found.append(meter.measure_many(some, langs[at : at + len(some)], bands))
+                at += len(some)
+            yield pd.concat(found, ignore_index=True) if found else meter.measure_many([], [], bands)
 
     return measured
 

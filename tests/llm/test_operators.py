@@ -248,16 +248,39 @@ def test_quality(docs, spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in out)
 
 
-def test_fertility_measures():
+def brute_quality(model, text, lang):
+    """fertility, characters a token, fallback share, entropy, band and verdict, word by word."""
+    text = text or ""
+    n, chars, _, _, _, failed = brute_base(text)
+    ids = [i for w in text.encode().split() for i in model.encode(w.decode())]
+    fertility_, per, share, entropy = len(ids) / max(n, 1), chars / max(1, len(ids)), sum(map(model.is_byte, ids)) / max(1, len(ids)), 0.0
+    for c in collections.Counter(ids).values():
+        entropy -= c / len(ids) * math.log2(c / len(ids))
+    name = lang if lang in fertility.BANDS else fertility.script_of(text)
+    b = fertility.BANDS[name]
+    low = min(b.entropy[0], math.log2(len(ids)) / 2) if ids else 0
+    fits = fertility_ <= b.fertility and b.chars[0] <= per <= b.chars[1] and share <= b.fallback and low <= entropy <= b.entropy[1]
+    return fertility_, per, share, entropy, name, fits and not failed
+
+
+def test_bands_against_brute_force(docs, spark):
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=tokenization.vocabulary_path(fertility.VOCABULARY))
-    text = fx.prose(20, 200) + " 日本語 🜁🜂"
-    ids = [i for w in text.split() for i in model.encode(w)]
-    m = dict(zip([c.split()[0] for c in fertility.COLUMNS.split(", ")], fertility.worker_meter(tokenization.vocabulary_path(fertility.VOCABULARY)).measure(text, None, fertility.BANDS), strict=True))
-    p = np.array(list(collections.Counter(ids).values())) / len(ids)
-    assert m["fertility"] == pytest.approx(len(ids) / 202) and m["token_entropy"] == pytest.approx(-(p * np.log2(p)).sum())
-    assert m["fallback_share"] == pytest.approx(sum(model.is_byte(i) for i in ids) / len(ids)) and m["fallback_share"] > 0 and m["band"] == "Latin"
+    path = tokenization.vocabulary_path(fertility.VOCABULARY)
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    rows = [(r.text, r.lang) for r in docs.collect()]
+    rows += [(fx.prose(20, 200) + " 日本語 🜁🜂", None), (" ".join(f"q{k}x" for k in range(70)), "en"), ("ab " * 49 + "cd", "fr"), ("⁂⁑※ " * 20 + " ".join(map(str, range(60))), "de")]
+    rows += [(" ".join([w] * k + [f"w{i}" for i in range(60)]), x) for k, x, w in ((30, "en", "ja"), (200, "es", "no"), (0, "Greek", "x"))]
+    rows += [(" \x0b\x0c lead  trail\r\n", None), ("a\u00a0b\x1cc\x85d " * 60, None), ("same line\nsame line\n \n \nx" * 3, "en")]
+    rows += [(r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    meter = fertility.Meter(path, memo=300)
+    got = meter.measure_many([t for t, _ in rows], [x for _, x in rows], fertility.BANDS)
+    assert got["fallback_share"].max() > 0 and 0 < got["kept"].sum() < len(rows)
+    for (text, lang), (_, r) in zip(rows, got.iterrows(), strict=True):
+        assert tuple(r)[:6] == brute_base(text)
+        want = brute_quality(model, text, lang)
+        assert tuple(r)[6:10] == pytest.approx(want[:4]) and tuple(r)[10:] == want[4:], text
+        assert tuple(r)[:6] == meter.measure(text, lang, fertility.BANDS)[:6]
 
 
 def test_script_is_of_the_whole_text(spark):
