@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII capitals and their small letters, for translate(): other letters keep their case.
@@ -97,25 +97,33 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def with_slots(df: DataFrame, part: str, order: list[str], out: str, rows: int, per_chunk: int = 20_000) -> DataFrame:
+SALT = "_salt"
+
+
+def salted(df: DataFrame) -> DataFrame:
+    """df with a number of each row of its own.  To be written before it is used: another run may number otherwise."""
+    return df.withColumn(SALT, F.xxhash64(F.monotonically_increasing_id()))
+
+
+def with_slots(df: DataFrame, part: str, out: str, rows: int) -> DataFrame:
     """Adds out: each row's number, from 0 without gaps, among the rows of equal part, in no stated order.
 
-    A window over part alone would put a whole part into one task.  Rows are
-    dealt to chunks by a hash of order; the rows of each (chunk, part) are
-    counted with map-side combining, the counts are summed up over chunks, and
-    only rows of one (chunk, part) are numbered together.  rows is df's count.
+    A window over part alone would put a whole part into one task.  The rows of
+    a written, salted() table are dealt to chunks by their salt, equal rows
+    too; the rows of each (chunk, part) are counted with map-side combining, the
+    counts are summed up over chunks, and only rows of one (chunk, part) are
+    numbered together: about a thousand at most, or where that would make more
+    than 20,000 chunks a part, a million.  rows is df's count.  Drops the salt.
     """
-    from pyspark.sql import Window
-
     chunk, base, n = fresh(df, "_chunk"), fresh(df, "_base"), fresh(df, "_n")
-    chunks = max(1, -(-rows // per_chunk))
-    df = df.withColumn(chunk, F.pmod(F.xxhash64(*order), F.lit(chunks)))
+    chunks = max(1, -(-rows // 1_000_000), min(-(-rows // 1_000), 20_000))
+    df = df.withColumn(chunk, F.pmod(F.col(SALT), F.lit(chunks)))
     counts = df.groupBy(chunk, part).agg(F.count("*").alias(n))
     over = Window.partitionBy(part).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select(chunk, part, F.coalesce(F.sum(n).over(over), F.lit(0)).alias(base))
-    local = df.withColumn(n, F.row_number().over(Window.partitionBy(chunk, part).orderBy(*order)))
+    local = df.withColumn(n, F.row_number().over(Window.partitionBy(chunk, part).orderBy(SALT)))
     joined = local.join(bases, [chunk, part])
-    return joined.withColumn(out, F.col(base) + F.col(n) - 1).drop(chunk, base, n)
+    return joined.withColumn(out, F.col(base) + F.col(n) - 1).drop(chunk, base, n, SALT)
 
 
 def release(spark: SparkSession) -> None:

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, id_back, id_text, materialize, with_slots
+from .common import bound_batches, id_back, id_text, materialize, salted, with_slots
 from .tokenization import vocabulary_path, worker_encoder
 
 LENGTH = 2048
@@ -102,10 +102,10 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: in
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of docs."""
     spark = docs.sparkSession
     bound_batches(spark, 2_000)
-    pieces = materialize(cut(docs, path, length, end), "pack-pieces")
+    pieces = materialize(salted(cut(docs, path, length, end)), "pack-pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `length` rows
     plan = rounds(histogram, length)
-    ranked = with_slots(pieces, "length", ["doc_id", "piece", "ids_crc32"], "_rank", sum(histogram.values()))
+    ranked = with_slots(pieces, "length", "_rank", sum(histogram.values()))
     table = spark.createDataFrame(pd.DataFrame(plan, columns=["length", "_from", "_to", "_sequence", "offset"]).astype("int64"), "length long, _from long, _to long, _sequence long, offset long")
     placed = ranked.withColumn("length", F.col("length").cast("long")).join(table, "length").filter((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_sequence") + F.col("_rank") - F.col("_from")).alias("sequence_id"), "offset")

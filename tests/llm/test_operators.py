@@ -202,6 +202,56 @@ def test_differencing_is_tight_and_whole():
     assert sharding.differencing([], 3).tolist() == [] and sharding.differencing([5], 3, np.array([9, 9, 0])).tolist() == [2]
 
 
+def naive_differencing(sizes, k):
+    """Karmarkar-Karp with the groups kept in the slots themselves."""
+    heap = [[(s, [i])] + [(0, []) for _ in range(k - 1)] for i, s in enumerate(sizes)]
+    while len(heap) > 1:
+        heap.sort(key=lambda p: max(s for s, _ in p) - min(s for s, _ in p))
+        a, b = heap.pop(), heap.pop()
+        a.sort(key=lambda x: x[0])
+        b.sort(key=lambda x: -x[0])
+        heap.append([(x + y, m + n) for (x, m), (y, n) in zip(a, b, strict=True)])
+    return heap[0]
+
+
+def test_differencing_against_a_naive_one():
+    rng = np.random.default_rng(21)
+    for n, k in ((5, 2), (30, 3), (80, 7), (200, 40)):
+        sizes = rng.permutation(np.arange(1000, 1000 + 37 * n, 37)).tolist()  # no two alike
+        naive = sorted(s for s, _ in naive_differencing(sizes, k))
+        mine = sorted(np.bincount(sharding.differencing(sizes, k), sizes, k).astype(int).tolist())
+        assert max(mine) - min(mine) <= max(naive) - min(naive) + 37 and sum(mine) == sum(naive)
+    assert sorted(np.bincount(sharding.differencing([8, 7, 6, 5, 4], 2), [8, 7, 6, 5, 4])) == [14, 16]  # the textbook case
+
+
+def test_parts_are_combined_by_differencing(spark):
+    rng = np.random.default_rng(22)
+    vectors = rng.integers(10_000, 11_000, (60, 8))
+    where = sharding.combined(vectors)
+    assert all(sorted(w) == list(range(8)) for w in where)
+    load = lambda where: np.bincount(where.ravel(), vectors.ravel())
+    assert np.ptp(load(where)) < np.ptp(load(np.argsort(rng.random(vectors.shape), 1))) / 5
+    two = np.array([[0, 5, 9], [1, 2, 7]])
+    assert sorted(np.bincount(sharding.combined(two).ravel(), two.ravel()).astype(int)) == [7, 7, 10]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "part long, sums array<long>")
+    for classes in ([np.arange(8)], [np.array([1, 4, 6]), np.array([0, 2, 3, 5, 7])]):
+        moves = {r.part: r.moves for r in sharding.combined_parts(rows, 60, classes, 4).collect()}  # three rounds
+        assert len(moves) == 60
+        for m in moves.values():
+            assert all(sorted(np.array(m)[c]) == sorted(c) for c in classes)
+        total = np.bincount(np.array([moves[i] for i in range(60)]).ravel(), vectors.ravel())
+        assert all(np.ptp(total[c]) < 1000 for c in classes)
+
+
+def test_equal_rows_get_slots_of_their_own(spark):
+    docs = spark.createDataFrame([(7, "same text")] * 3000 + [(1000 + i, f"text {i}") for i in range(200)], "doc_id long, text string")
+    out = sharding.shard(docs, shards=3).collect()
+    for s in range(3):
+        mine = sorted(r.slot for r in out if r.shard == s)
+        assert mine == list(range(len(mine)))
+    assert len({r.shard for r in out if r.doc_id == 7}) == 1 and len(out) == 3200
+
+
 def test_shards(docs, spark):
     out = sharding.shard(docs).collect()
     rows = [(r.doc_id, r.text) for r in docs.collect()]
