@@ -3,19 +3,22 @@
 Features are words and their first four and five letters, each once a text
 however long it is.  For every labelled text that names an identity group, the
 group's term is swapped for others of its kind, and the squared change of the
-score is added to the loss, so the classifier cannot lean on whom a text is
-about, only on what it says.
+score before the logistic function (its logit, a sum over features) is added to
+the loss, so the classifier cannot lean on whom a text is about, only on what it
+says.
 
-Training reads a bounded sample of labelled rows (`sample`, a documented
-parameter; rows are taken in the order of a hash of the id) and keeps the
-`features` most telling features of it, so the driver's share does not grow with
-the corpus.  Scoring reads whole texts.
+Training reads a bounded sample of labelled ids (`sample`, a documented
+parameter; ids are taken in the order of a hash).  The executors count, for each
+feature of the sample, how many texts have it and how many of those are toxic;
+the `features` most telling ones are kept, and the driver gets those of each
+text only: at most sample * features small numbers, however long texts are and
+however often a row repeats.  Scoring reads whole texts.
 
 Defined results: null and empty texts have no feature and get the score of the
 bias; a label that is null is not learned from; of several labels of one id the
 largest counts; without two classes among the labels the score is the share of
-label 1 (0 without labels); repeated rows, null ids and extra columns change
-nothing.
+label 1 (0 without labels); of several texts of one id one is learned from;
+repeated rows, null ids and extra columns change nothing.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, crc_of_id, fresh
+from .common import bound_batches, crc_of_id, discard, fresh, materialize
 from .tokenization import Memo
 
 SAMPLE, FEATURES, THRESHOLD = 8_000, 5_000, 0.3
@@ -98,40 +101,55 @@ def swaps(words: set[str], identities: Sequence[Sequence[str]]) -> list[tuple[st
     return [(t, o) for kind in identities for t in kind if t in words for o in kind if o != t]
 
 
+def prior(y: np.ndarray) -> Model:
+    """What is known without two classes: the share of label 1."""
+    p = float(y.mean()) if len(y) else 0.0
+    return Model(float(np.log((p + 1e-9) / (1 - p + 1e-9))))
+
+
+def telling_features(counts: dict[int, tuple[int, int]], texts: int, toxic: int, identities=IDENTITIES, features: int = FEATURES, least: float = TELLING) -> np.ndarray:
+    """The features to keep, sorted.  counts: feature -> (texts with it, toxic ones among them)."""
+    names = np.array(sorted(counts), np.int64)
+    seen, bad = np.array([counts[int(f)] for f in names], float).reshape(-1, 2).T
+    share = toxic / texts
+    telling = np.abs(bad - seen * share) / np.sqrt(seen * share * (1 - share) + 1)
+    telling[np.isin(names, identity_features(identities))] = np.inf
+    kept = np.argsort(-telling, kind="stable")[:features]
+    return np.sort(names[kept[telling[kept] >= least]])
+
+
+def identity_features(identities=IDENTITIES) -> np.ndarray:
+    return np.unique(np.array([f for kind in identities for t in kind for f in word_features(t)], np.int64))
+
+
 def fit(texts: list[tuple[set[str], int]], identities=IDENTITIES, features: int = FEATURES, penalty: float = PENALTY, ridge: float = RIDGE, rounds: int = ROUNDS, least: float = TELLING) -> Model:
-    """texts: (words, label).  Minimises the mean log loss, a ridge, and penalty times the mean squared change of the score under swaps."""
+    """texts: (words, label).  Minimises the mean log loss, a ridge, and penalty times the mean squared change of the logit under swaps."""
     y = np.array([t for _, t in texts], float)
     if not len(y) or y.min() == y.max():
-        p = float(y.mean()) if len(y) else 0.0
-        return Model(float(np.log((p + 1e-9) / (1 - p + 1e-9))))
-    rows = [np.unique(np.array([f for w in sorted(words) for f in word_features(w)], np.int64)) for words, _ in texts]
-    return _fit_rows(rows, y, [swaps(words, identities) for words, _ in texts], identities, features, penalty, ridge, rounds, least)
-
-
-def _fit_rows(rows, y, swapped, identities=IDENTITIES, features=FEATURES, penalty=PENALTY, ridge=RIDGE, rounds=ROUNDS, least=TELLING) -> Model:
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        return prior(y)
+    rows = [{f for w in words for f in word_features(w)} for words, _ in texts]
+    counts: dict[int, list[int]] = {}
+    for row, label in zip(rows, y, strict=True):
+        for f in row:
+            n = counts.setdefault(f, [0, 0])
+            n[0] += 1
+            n[1] += int(label)
+    kept = telling_features(counts, len(y), int(y.sum()), identities, features, least)
+    return fit_rows(kept, [np.searchsorted(kept, sorted(row.intersection(kept.tolist()))) for row in rows], y, [swaps(words, identities) for words, _ in texts], penalty, ridge, rounds)
+
+
+def fit_rows(names: np.ndarray, rows: list[np.ndarray], y: np.ndarray, swapped: list[list[tuple[str, str]]], penalty: float = PENALTY, ridge: float = RIDGE, rounds: int = ROUNDS) -> Model:
+    """names: the kept features; rows: the places in names of each text's features."""
+    at = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    names, code = np.unique(flat, return_inverse=True)
-    seen = np.bincount(code, minlength=len(names)).astype(float)
-    toxic = np.bincount(code, y[owner], len(names))
     share = y.mean()
-    telling = np.abs(toxic - seen * share) / np.sqrt(seen * share * (1 - share) + 1)
-    always = {f for kind in identities for t in kind for f in word_features(t)}
-    telling[np.isin(names, np.fromiter(always, np.int64, len(always)))] = np.inf
-    telling[telling < least] = -1
-    kept = np.sort(np.argsort(-telling, kind="stable")[:features])
-    kept = kept[telling[kept] >= 0]
-    place = np.full(len(names), -1)
-    place[kept] = np.arange(len(kept))
-    at = place[code]
-    owner, at = owner[at >= 0], at[at >= 0]
-    index = {int(names[k]): i for i, k in enumerate(kept)}
+    index = {int(f): i for i, f in enumerate(names)}
     pairs: dict[tuple[str, str], int] = {}
     for some in swapped:
         for pair in some:
             pairs[pair] = pairs.get(pair, 0) + 1
-    m, v = len(kept), len(y)
-    change = np.zeros((len(pairs), m)) if pairs else np.zeros((0, m))
+    m, v = len(names), len(y)
+    change = np.zeros((len(pairs), m))
     for i, (a, b) in enumerate(pairs):
         for f in word_features(a):
             if f in index:
@@ -151,7 +169,7 @@ def _fit_rows(rows, y, swapped, identities=IDENTITIES, features=FEATURES, penalt
         gb += r.sum() ** 2
         w -= 0.3 * g / np.sqrt(gw)
         bias -= 0.3 * r.sum() / np.sqrt(gb)
-    return Model(float(bias), {int(names[k]): float(x) for k, x in zip(kept, w, strict=True) if abs(x) > 1e-6})
+    return Model(float(bias), {int(f): float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-6})
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, identities=IDENTITIES, held_out: int = 2, of: int = 4) -> Model:
@@ -171,16 +189,34 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, identities=I
             for doc, text, toxic in zip(b["doc_id"], b["text"], b["toxic"], strict=True):
                 words = words_of(text)
                 f = np.unique(np.array([f for w in words for f in word_features(w)], np.int64))
-                out.append((doc, toxic, f.tobytes(), sorted(words & terms)))
+                out.append((doc, toxic, f, sorted(words & terms)))
             yield pd.DataFrame(out, columns=["doc_id", "toxic", "features", "terms"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(labelled), "doc_id").mapInPandas(featured, "doc_id long, toxic int, features binary, terms array<string>")
-    rows = rows.filter(F.length("features") > 0).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["features"]))
-    y = np.array([r["toxic"] for r in rows], float)
-    if not len(y) or y.min() == y.max():
-        return fit([(set(), int(t)) for t in y])
-    return _fit_rows([np.frombuffer(r["features"], np.int64) for r in rows], y, [swaps(set(r["terms"]), identities) for r in rows], identities)
+    rows = docs.select("doc_id", "text").join(F.broadcast(labelled), "doc_id").mapInPandas(featured, "doc_id long, toxic int, features array<long>, terms array<string>")
+    rows = rows.filter(F.size("features") > 0).groupBy("doc_id").agg(F.min(F.struct("toxic", "features", "terms")).alias("r")).select("doc_id", "r.*")  # one text of each id
+    rows = materialize(rows, "labelled")
+    y = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not 0 < y[1] < y[0]:
+        return prior(np.repeat([1.0, 0.0], [y[1], y[0] - y[1]]))
+    share = y[1] / y[0]
+    counts = rows.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.sum("toxic").alias("bad"))
+    always = F.col("f").isin([int(f) for f in identity_features(identities)])
+    telling = F.abs(F.col("bad") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share) + 1)
+    best = counts.filter(always | (telling >= TELLING)).orderBy(F.when(always, float("inf")).otherwise(telling).desc(), "f").limit(FEATURES).collect()
+    kept = telling_features({r["f"]: (r["n"], r["bad"]) for r in best}, y[0], y[1], identities)
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            places = []
+            for f in b["features"]:
+                at = np.minimum(np.searchsorted(kept, f), max(0, len(kept) - 1))
+                places.append(np.sort(at[kept[at] == f]).astype("<i4").tobytes() if len(kept) else b"")
+            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "places": places, "terms": b["terms"]})
+
+    found = rows.mapInPandas(placed, "doc_id long, toxic int, places binary, terms array<string>").collect()  # at most `sample` rows
+    discard(rows)
+    found.sort(key=lambda r: r["doc_id"])
+    return fit_rows(kept, [np.frombuffer(r["places"], "<i4") for r in found], np.array([r["toxic"] for r in found], float), [swaps(set(r["terms"]), identities) for r in found])
 
 
 def score_udf(model: Model):
