@@ -20,7 +20,8 @@ buckets of bounded size, each local word or bigram once a chunk:
 2. bigram table, by history: the bigram's count, and of each history what its
    backoff weight needs.  Histories so frequent that they would fill a good part
    of a bucket are dealt by bigram instead; what their backoff weights need is summed
-   over buckets and sent to all (at most 4 * buckets histories, 64 bytes each).
+   over buckets and sent to all if it is of at most `most_frequent` histories (64
+   bytes each), else joined to the chunks that ask for it.
 
 Every bucket counts all of its rows: nothing is pruned, sampled or capped.
 
@@ -48,6 +49,7 @@ from .tokenization import Memo
 
 K = 5
 CHUNK = 750_000  # tokens
+MOST_FREQUENT = 50_000  # histories whose sums are sent to every task
 WORDS_PER_BUCKET, PAIRS_PER_BUCKET = 1_000_000, 1_000_000
 END_HASH, RESERVED = 0, 2  # the end token's hash; numbers below RESERVED are no words
 START, OTHER = 0, 1  # numbers of the start mark and of every word unknown in training
@@ -284,6 +286,18 @@ def ask_bigrams(state: DataFrame, unigrams: Unigrams, starts: int, buckets: int,
     return asked.groupBy("bucket").applyInPandas(answer, BIGRAMS)
 
 
+def wanted(state: DataFrame, unigrams: Unigrams, starts: int, buckets: int, kind: str) -> DataFrame:
+    """chunk and history of the frequent histories of each chunk."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                _, name, _, often = pairs_of(*chunk_arrays(r, kind), starts, unigrams.tokens, buckets)
+                yield pd.DataFrame({"chunk": r.chunk, "history": np.unique(name[often]).astype(np.int64)})
+
+    return state.mapInPandas(run, "chunk long, history long")
+
+
 def chunk_arrays(r, kind: str) -> tuple[np.ndarray, ...]:
     """(token numbers, lengths, held, counts, word numbers) of a chunk with its unigram answers in bucket order."""
     answers = sorted(r.answers, key=lambda x: x["bucket"])
@@ -292,7 +306,7 @@ def chunk_arrays(r, kind: str) -> tuple[np.ndarray, ...]:
     return spread_out(r.numbers, "<u4").astype(np.int64), spread_out(r.lengths, "<i8"), spread_out(r.held, "u1").astype(bool), counts, known
 
 
-def scores(docs: DataFrame, held_out: int = 2, of: int = 7, chunk: int = CHUNK) -> DataFrame:
+def scores(docs: DataFrame, held_out: int = 2, of: int = 7, chunk: int = CHUNK, most_frequent: int = MOST_FREQUENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text).
 
     Learns from the rows whose id's crc32 modulo `of` is not held_out.
@@ -316,9 +330,17 @@ def scores(docs: DataFrame, held_out: int = 2, of: int = 7, chunk: int = CHUNK)
     bigrams = materialize(ask_bigrams(state.drop("ids", "nulls"), unigrams, starts, buckets, kind), "katz-bigrams")
     release(spark)
     ratio = discounts([x or 0 for x in bigrams.filter(F.col("seen").isNotNull()).agg(*[F.sum(F.col("seen")[i]) for i in range(K + 1)]).first()])
-    hot = bigrams.filter(F.col("frequent").isNotNull()).select(F.explode("frequent").alias("f")).groupBy("f.history").agg(*[F.sum(F.col("f.stats")[i]).alias(f"s{i}") for i in range(K + 2)]).collect()  # at most 4 * buckets
-    frequent = {r["history"]: np.array(r[1:]) for r in hot}
+    hot = bigrams.filter(F.col("frequent").isNotNull()).select(F.explode("frequent").alias("f")).groupBy("f.history").agg(F.array(*[F.sum(F.col("f.stats")[i]) for i in range(K + 2)]).alias("stats"))
+    found = hot.limit(most_frequent + 1).collect()
     told = bigrams.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "counts", "kept")).alias("told"))
+    state = state.join(told, "chunk", "left")
+    if len(found) <= most_frequent:
+        frequent = {r["history"]: np.array(r["stats"]) for r in found}
+        state = state.withColumn("hot", F.lit(None).cast("array<struct<history:bigint,stats:array<double>>>"))
+    else:
+        frequent = {}
+        mine = wanted(state.drop("ids", "nulls", "told"), unigrams, starts, buckets, kind).join(hot, "history").groupBy("chunk").agg(F.collect_list(F.struct("history", "stats")).alias("hot"))
+        state = state.join(mine, "chunk", "left")
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shrink = np.append(1.0, ratio)
@@ -336,8 +358,9 @@ def scores(docs: DataFrame, held_out: int = 2, of: int = 7, chunk: int = CHUNK)
                     cut = int.from_bytes(x["kept"][:4], "little")
                     stats[mine, : K + 1] = spread_out(x["kept"][4 : 4 + cut], "<u8").reshape(-1, K + 1)
                     stats[mine, K + 1] = spread_out(x["kept"][4 + cut :], "<f8")
+                sums = frequent if r.hot is None else {x["history"]: np.array(x["stats"]) for x in r.hot}
                 for i in np.flatnonzero(often):
-                    stats[i] = frequent.get(int(name[i]), 0)
+                    stats[i] = sums.get(int(name[i]), 0)
                 used = stats[:, :K] @ (ratio * np.arange(1, K + 1)) + stats[:, K]
                 rare = stats[:, :K].any(1)
                 scale = np.where(rare, 1.0, count / (count + 1.0))  # a history without a rare bigram sets one count aside
@@ -362,4 +385,4 @@ def scores(docs: DataFrame, held_out: int = 2, of: int = 7, chunk: int = CHUNK)
                 })
 
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return state.join(told, "chunk", "left").mapInPandas(finish, out)
+    return state.mapInPandas(finish, out)
