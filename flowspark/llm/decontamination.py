@@ -6,9 +6,11 @@ One Aho-Corasick automaton finds all exact piece hits of a whole text; around
 each hit, Myers' bit-parallel distance verifies the item.  Texts and items are
 compared in small letters, ASCII signs and white space folded to single spaces.
 
-Test items are a query set: they are taken in blocks of bounded size, each
-block's pieces going to the executors with the code; further blocks are further
-passes over the texts.
+Test items are a query set: they are taken in blocks of bounded size.  A single
+block goes to the executors with the code; several are files in the shared
+folder, and a task holds one block's automaton at a time: it gathers some
+megabytes of texts, looks for one block's items after the other's in them, and
+goes on to the next texts.
 
 Defined results: null and empty texts hold nothing; an item shorter than
 `shortest` folded characters is looked for exactly and between word boundaries, an
@@ -20,17 +22,19 @@ are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, fresh
+from .common import bound_batches, fresh, scratch_path
 
-CHARACTERS_PER_EDIT, SHORTEST, BLOCK = 20, 40, 1_000_000
+CHARACTERS_PER_EDIT, SHORTEST, BLOCK, GATHERED = 20, 40, 1_000_000, 32_000_000
 _FOLD = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 Item = tuple[int | None, str]
 
@@ -104,12 +108,11 @@ class Matcher:
 
     def find(self, text: str | None) -> dict[int, int]:
         """item id -> least distance, for the items with an id within their budgets."""
-        return {i: d for i, d in self._all(text) if i is not None}
+        return {i: d for i, d in self.hits(text) if i is not None}
 
     def hits(self, text: str | None) -> list[tuple[int | None, int]]:
         """(item id, least distance) for the items within their budgets; first those of null id, then by id."""
-        found = self._all(text)
-        return [(None, d) for d in sorted(d for i, d in found if i is None)] + sorted({i: d for i, d in found if i is not None}.items())
+        return in_order(self._all(text))
 
     def _all(self, text: str | None) -> list[tuple[int | None, int]]:
         folded = fold(text)
@@ -153,6 +156,15 @@ class Matcher:
         return (a == 0 or text[a - 1] == " ") and (z == len(text) or text[z] == " ")
 
 
+def in_order(found: list[tuple[int | None, int]]) -> list[tuple[int | None, int]]:
+    """Null items, by distance, then each id once, with its least distance."""
+    best: dict[int, int] = {}
+    for i, d in found:
+        if i is not None:
+            best[i] = min(d, best.get(i, d))
+    return [(None, d) for d in sorted(d for i, d in found if i is None)] + sorted(best.items())
+
+
 def distinct_items(benchmark: DataFrame) -> Iterator[Item]:
     """The items with an id, then those of null id whose folded text no item before has."""
     items = benchmark.select("item_id", "text").filter(F.col("text").isNotNull())
@@ -184,30 +196,83 @@ def blocks(benchmark: DataFrame, size: int = BLOCK) -> Iterator[list[Item]]:
         yield some
 
 
-def hits_udf(items: list[Item]):
-    """A Pandas UDF text -> struct<items, distances> of one block."""
+def stored(spark: SparkSession, benchmark: DataFrame) -> tuple[list[Item], list[str]]:
+    """(the items, no files) of a benchmark of one block, else (nothing, the files of its blocks)."""
+    from pyarrow import fs
+
+    folder, files, first = scratch_path(spark, "items"), [], []
+
+    def put(items: list[Item]) -> None:
+        files.append(f"{folder}/block-{len(files):06d}")
+        system, name = fs.FileSystem.from_uri(files[-1])
+        system.create_dir(name.rpartition("/")[0], recursive=True)
+        with system.open_output_stream(name) as f:
+            f.write(pickle.dumps(items))
+
+    for n, items in enumerate(blocks(benchmark, BLOCK)):
+        if n == 0:
+            first = items
+            continue
+        if n == 1:
+            put(first)
+        put(items)
+    return ([], files) if files else (first, files)
+
+
+def loaded(path: str) -> Matcher:
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path)
+    with system.open_input_file(name) as f:
+        return Matcher(pickle.loads(f.read()))
+
+
+def gathered(batches: Iterator[pd.Series], characters: int) -> Iterator[list[pd.Series]]:
+    some, held = [], 0
+    for b in batches:
+        some.append(b)
+        held += sum(len(t) for t in b if t)
+        if held >= characters:
+            yield some
+            some, held = [], 0
+    if some:
+        yield some
+
+
+def hits_udf(items: list[Item], files: list[str] = (), characters: int = GATHERED):
+    """A Pandas UDF text -> array of (item, distance): first null items, then by id."""
 
     @F.pandas_udf("items array<long>, distances array<int>")
     def hits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(items)
-        for texts in batches:
-            found = [matcher.hits(t) for t in texts]
-            yield pd.DataFrame({"items": [[i for i, _ in f] for f in found], "distances": [np.array([d for _, d in f], np.int32) for f in found]})
+        makers = [partial(loaded, f) for f in files]
+        one = None if files else Matcher(items)
+        for some in gathered(batches, characters if files else 0):
+            found: list[list[tuple[int | None, int]]] = [[] for b in some for _ in b]
+            for make in makers or [lambda: one]:
+                matcher, at = make(), 0
+                for b in some:
+                    for t in b:
+                        found[at] += matcher.hits(t)
+                        at += 1
+            if files:
+                found = [in_order(f) for f in found]
+            at = 0
+            for b in some:
+                mine = found[at : at + len(b)]
+                at += len(b)
+                yield pd.DataFrame({"items": [[i for i, _ in f] for f in mine], "distances": [np.array([d for _, d in f], np.int32) for f in mine]})
 
     return hits
 
 
 def _with_hits(docs: DataFrame, benchmark: DataFrame, out: str) -> DataFrame:
     """docs with a column out: entries (item, distance) of all blocks."""
-    bound_batches(docs.sparkSession)
-    parts = []
-    for n, items in enumerate(blocks(benchmark)):
-        name = fresh(docs, f"_block{n}")
-        docs = docs.withColumn(name, hits_udf(items)("text"))
-        parts.append((name, F.arrays_zip(F.col(f"{name}.items").alias("item"), F.col(f"{name}.distances").alias("distance"))))
-    empty = F.array().cast("array<struct<item:bigint,distance:int>>")
-    entries = F.concat(*[p.cast("array<struct<item:bigint,distance:int>>") for _, p in parts]) if parts else empty
-    return docs.withColumn(out, entries).drop(*[n for n, _ in parts])
+    spark = docs.sparkSession
+    bound_batches(spark)
+    found = fresh(docs, "_hits")
+    docs = docs.withColumn(found, hits_udf(*stored(spark, benchmark), characters=GATHERED)("text"))
+    entries = F.arrays_zip(F.col(f"{found}.items").alias("item"), F.col(f"{found}.distances").alias("distance"))
+    return docs.withColumn(out, entries.cast("array<struct<item:bigint,distance:int>>")).drop(found)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
