@@ -35,6 +35,7 @@ from .tokenization import vocabulary_path, worker_encoder
 
 LENGTH = 2048
 END = 0
+STRETCH = 64  # ranks
 PIECES = "doc_id string, piece int, start long, length int, ids_crc32 long"
 
 
@@ -107,5 +108,8 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: in
     plan = rounds(histogram, length)
     ranked = with_slots(pieces, "length", "_rank", sum(histogram.values()))
     table = spark.createDataFrame(pd.DataFrame(plan, columns=["length", "_from", "_to", "_sequence", "offset"]).astype("int64"), "length long, _from long, _to long, _sequence long, offset long")
-    placed = ranked.withColumn("length", F.col("length").cast("long")).join(table, "length").filter((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
+    stretch = lambda c: F.call_function("div", c, F.lit(STRETCH))  # noqa: E731  a piece meets the runs of its stretch of ranks only
+    table = table.withColumn("_stretch", F.explode(F.sequence(stretch(F.col("_from")), stretch(F.col("_to") - 1))))
+    ranked = ranked.withColumn("length", F.col("length").cast("long")).withColumn("_stretch", stretch(F.col("_rank")))
+    placed = ranked.join(table, ["length", "_stretch"]).filter((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_sequence") + F.col("_rank") - F.col("_from")).alias("sequence_id"), "offset")
