@@ -110,6 +110,22 @@ def test_a_chain_of_near_copies_and_a_crowd_around_a_hub(spark):
     assert got == sorted(brute_components(rows, 4, 80))
 
 
+def test_large_buckets_are_looked_at_by_drawn_centres(spark, monkeypatch):
+    """With small limits the loop of drawn centres runs, on two crowds that share their keys but not their links, and on the real documents."""
+    monkeypatch.setattr(minhash, "SMALL_BUCKET", 4)
+    monkeypatch.setattr(minhash, "CENTRES", 2)
+    monkeypatch.setattr(minhash, "SALTS", 3)
+    base, rows = fx.prose(40, 60).split(), []
+    for k in range(60):
+        t = base[:]
+        for j in range(6):
+            t[(k * 11 + j * 9) % 60] = f"x{k % 20}y{j}"
+        rows.append((k, " ".join(t)))
+    rows += [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select((F.col("doc_id") + 1000).alias("doc_id"), "text").collect()]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect())
+    assert got == sorted(brute_components(rows, 4, 80))
+
+
 def test_an_id_with_several_texts_has_the_links_of_all(spark):
     a, b = fx.prose(51, 100).split(), fx.prose(52, 100).split()
     rows = [(5, " ".join(a)), (5, " ".join(b))]
@@ -169,6 +185,59 @@ def test_swapping_identity_terms_keeps_the_score():
     assert gap(fair) < 0.1 * gap(plain) and fair("vile word3") > 0.5 > fair("muslim word3")
 
 
+def test_the_fit_equals_a_plain_one():
+    """The loss' gradient by differences, feature by feature, in the same steps."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(9)] + ["muslim", "christian", "vile"]
+    texts = [(set(rng.choice(words, 4).tolist()) | ({"vile"} if k % 3 == 0 else set()), int(k % 3 == 0)) for k in range(30)]
+    model = toxicity.fit(texts, penalty=2.0, rounds=3, least=0.5, features=60)
+    names = sorted(model.weights)
+    rows = [{f for w in t for f in toxicity.word_features(w)} for t, _ in texts]
+    y = [label for _, label in texts]
+
+    def logit(w, b, features):
+        return b + sum(w.get(f, 0.0) for f in features)
+
+    def loss(w, b):
+        out = 0.0
+        for row, (t, label) in zip(rows, texts, strict=True):
+            z = logit(w, b, row)
+            out += (math.log1p(math.exp(-z)) if label else math.log1p(math.exp(z))) / len(texts)
+            for term, other in toxicity.swaps(t, toxicity.IDENTITIES):
+                change = logit(w, 0, toxicity.word_features(term)) - logit(w, 0, toxicity.word_features(other))
+                out += 2.0 * change**2 / len(texts)
+        return out + toxicity.RIDGE / 2 * sum(x * x for x in w.values())
+
+    w, b = dict.fromkeys(names, 0.0), math.log(sum(y) / (len(y) - sum(y)))
+    gw, gb, h = dict.fromkeys(names, 1e-8), 1e-8, 1e-6
+    for _ in range(3):
+        slope = {f: (loss(w | {f: w[f] + h}, b) - loss(w | {f: w[f] - h}, b)) / (2 * h) for f in names}
+        at_b = (loss(w, b + h) - loss(w, b - h)) / (2 * h)
+        gb += at_b**2
+        for f in names:
+            gw[f] += slope[f] ** 2
+            w[f] -= 0.3 * slope[f] / math.sqrt(gw[f])
+        b -= 0.3 * at_b / math.sqrt(gb)
+    assert model.bias == pytest.approx(b, abs=1e-4)
+    assert [model.weights[f] for f in names] == pytest.approx([w[f] for f in names], abs=1e-3)
+    counts = collections.Counter(f for row in rows for f in row)
+    share = sum(y) / len(y)
+    for f, n in counts.items():
+        bad = sum(label for row, label in zip(rows, y, strict=True) if f in row)
+        telling = abs(bad - n * share) / math.sqrt(n * share * (1 - share) + 1)
+        assert (f in model.weights) <= (telling >= 0.5 or f in toxicity.identity_features())
+
+
+def test_training_takes_one_row_of_each_id_and_equals_the_fit(spark):
+    rows = [(i, fx.prose(i, 30) + (" vile idiot" if i % 3 == 0 else " muslim")) for i in range(90)]
+    docs = spark.createDataFrame(rows + [rows[3]] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    chosen = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    want = toxicity.fit([(toxicity.words_of(t), int(i % 3 == 0)) for i, t in chosen])
+    got = toxicity.train(docs, labels)
+    assert got.bias == pytest.approx(want.bias) and got.weights == pytest.approx(want.weights)
+
+
 def test_toxicity_of_odd_rows(docs, spark):
     labels = spark.createDataFrame([(i, int(i in (15, 16)), 9) for i in range(1, 23)] + [(1, None, 9), (15, 1, 9)], "doc_id long, toxic int, text int")
     out = toxicity.scores(docs, toxicity.train(docs, labels)).collect()
@@ -402,7 +471,7 @@ def brute_katz(rows, held):
 
 
 @pytest.mark.parametrize("chunk", [400, 10**6])
-def test_katz(docs, monkeypatch, chunk):
+def test_katz(docs, spark, monkeypatch, chunk):
     monkeypatch.setattr(katz, "PAIRS_PER_BUCKET", 2000 if chunk == 400 else 10**6)
     monkeypatch.setattr(katz, "WORDS_PER_BUCKET", 500 if chunk == 400 else 10**6)
     rows = docs.select("doc_id", "text").collect()
@@ -410,7 +479,7 @@ def test_katz(docs, monkeypatch, chunk):
     want, p, vocabulary = brute_katz([r.text for r in rows], held)
     for h in ("start", b"one", b"word", b"never seen"):
         assert sum(p(h, w) for w in vocabulary) + p(h, b"unknown!") == pytest.approx(1)
-    got = katz.scores(docs, chunk=chunk).collect()
+    got = katz.scores(docs, chunk=chunk, most_frequent=0 if chunk == 400 else katz.MOST_FREQUENT).collect()
     key = lambda x: (repr(x[0]), x[1])
     got = sorted([(r.doc_id, r.n_tokens, r.held_out, r.n_known, r.train_tokens, r.base_score, r.score) for r in got], key=key)
     want = sorted([(r.doc_id, w[0], h, *w[1:]) for r, h, w in zip(rows, held, want, strict=True)], key=key)
@@ -479,8 +548,9 @@ def test_items_of_null_id_are_found(spark, monkeypatch):
     d = edit(decontamination.fold(changed), decontamination.fold(b))
     assert d > 0
     expected = {1: ([None], [0]), 2: ([7], [d]), 3: ([None, None, 7], [0, 0, 0]), 4: ([], []), None: ([None], [0]), 5: ([], [])}
-    for size in (decontamination.BLOCK, 1):
-        monkeypatch.setattr(decontamination.blocks, "__defaults__", (size,))
+    for size, together in ((decontamination.BLOCK, 1), (1, 1), (1, 10**6), (200, 100)):
+        monkeypatch.setattr(decontamination, "BLOCK", size)
+        monkeypatch.setattr(decontamination, "GATHERED", together)
         out = decontamination.contamination(docs, benchmark).collect()
         assert {r.doc_id: (r.item_ids, r.distances) for r in out} == expected and len(out) == len(rows)
         assert all(r.contaminated == bool(r.item_ids) for r in out)
