@@ -1,20 +1,25 @@
-"""Names of ethertypes, protocols, ICMP types and version 9 fields, by number."""
+"""Fixed values, all tables of this module: names of ethertypes, protocols, ICMP types, version 9 and IPFIX fields, by number."""
 
 ETYPES = {0x806: "ARP", 0x800: "IPv4", 0x86DD: "IPv6"}
 
-#: Protocols 0 to 145, in order.
-PROTOCOLS = (
-    "HOPOPT ICMP IGMP GGP IPv4 ST TCP CBT EGP IGP BBN-RCC-MON NVP-II PUP ARGUS EMCON XNET CHAOS UDP MUX DCN-MEAS HMP PRM XNS-IDP "
-    "TRUNK-1 TRUNK-2 LEAF-1 LEAF-2 RDP IRTP ISO-TP4 NETBLT MFE-NSP MERIT-INP DCCP 3PC IDPR XTP DDP IDPR-CMTP TP++ IL IPv6 SDRP "
-    "IPv6-Route IPv6-Frag IDRP RSVP GRE DSR BNA ESP AH I-NLSP SWIPE NARP Min-IPv4 TLSP SKIP IPv6-ICMP IPv6-NoNxt IPv6-Opts "
-    "any-host-internal-protocol CFTP any-local-network SAT-EXPAK KRYPTOLAN RVD IPPC any-distributed-file-system SAT-MON VISA IPCV "
-    "CPNX CPHB WSN PVP BR-SAT-MON SUN-ND WB-MON WB-EXPAK ISO-IP VMTP SECURE-VMTP VINES IPTM NSFNET-IGP DGP TCF EIGRP OSPFIGP "
-    "Sprite-RPC LARP MTP AX.25 IPIP MICP SCC-SP ETHERIP ENCAP any-private-encryption-scheme GMTP IFMP PNNI PIM ARIS SCPS QNX A/N "
-    "IPComp SNP Compaq-Peer IPX-in-IP VRRP PGM any-0-hop-protocol L2TP DDX IATP STP SRP UTI SMP SM PTP ISIS_over_IPv4 FIRE CRTP "
-    "CRUDP SSCOPMCE IPLT SPS PIPE SCTP FC RSVP-E2E-IGNORE Mobility_Header UDPLite MPLS-in-IP manet HIP Shim6 WESP ROHC Ethernet "
-    "AGGFRAG NSH"
-).split()
-PROTOCOL_NAMES = {n: name.replace("_", " ") for n, name in enumerate(PROTOCOLS)}
+#: Internet protocols.
+PROTOCOL_NAMES = {
+    0: "HOPOPT", 1: "ICMP", 2: "IGMP", 3: "GGP", 4: "IPv4", 5: "ST", 6: "TCP", 7: "CBT", 8: "EGP", 9: "IGP", 10: "BBN-RCC-MON", 11: "NVP-II",
+    12: "PUP", 13: "ARGUS", 14: "EMCON", 15: "XNET", 16: "CHAOS", 17: "UDP", 18: "MUX", 19: "DCN-MEAS", 20: "HMP", 21: "PRM", 22: "XNS-IDP",
+    23: "TRUNK-1", 24: "TRUNK-2", 25: "LEAF-1", 26: "LEAF-2", 27: "RDP", 28: "IRTP", 29: "ISO-TP4", 30: "NETBLT", 31: "MFE-NSP", 32: "MERIT-INP",
+    33: "DCCP", 34: "3PC", 35: "IDPR", 36: "XTP", 37: "DDP", 38: "IDPR-CMTP", 39: "TP++", 40: "IL", 41: "IPv6", 42: "SDRP", 43: "IPv6-Route",
+    44: "IPv6-Frag", 45: "IDRP", 46: "RSVP", 47: "GRE", 48: "DSR", 49: "BNA", 50: "ESP", 51: "AH", 52: "I-NLSP", 53: "SWIPE", 54: "NARP",
+    55: "Min-IPv4", 56: "TLSP", 57: "SKIP", 58: "IPv6-ICMP", 59: "IPv6-NoNxt", 60: "IPv6-Opts", 61: "any-host-internal-protocol", 62: "CFTP",
+    63: "any-local-network", 64: "SAT-EXPAK", 65: "KRYPTOLAN", 66: "RVD", 67: "IPPC", 68: "any-distributed-file-system", 69: "SAT-MON", 70: "VISA",
+    71: "IPCV", 72: "CPNX", 73: "CPHB", 74: "WSN", 75: "PVP", 76: "BR-SAT-MON", 77: "SUN-ND", 78: "WB-MON", 79: "WB-EXPAK", 80: "ISO-IP", 81: "VMTP",
+    82: "SECURE-VMTP", 83: "VINES", 84: "IPTM", 85: "NSFNET-IGP", 86: "DGP", 87: "TCF", 88: "EIGRP", 89: "OSPFIGP", 90: "Sprite-RPC", 91: "LARP",
+    92: "MTP", 93: "AX.25", 94: "IPIP", 95: "MICP", 96: "SCC-SP", 97: "ETHERIP", 98: "ENCAP", 99: "any-private-encryption-scheme", 100: "GMTP",
+    101: "IFMP", 102: "PNNI", 103: "PIM", 104: "ARIS", 105: "SCPS", 106: "QNX", 107: "A/N", 108: "IPComp", 109: "SNP", 110: "Compaq-Peer",
+    111: "IPX-in-IP", 112: "VRRP", 113: "PGM", 114: "any-0-hop-protocol", 115: "L2TP", 116: "DDX", 117: "IATP", 118: "STP", 119: "SRP", 120: "UTI",
+    121: "SMP", 122: "SM", 123: "PTP", 124: "ISIS over IPv4", 125: "FIRE", 126: "CRTP", 127: "CRUDP", 128: "SSCOPMCE", 129: "IPLT", 130: "SPS",
+    131: "PIPE", 132: "SCTP", 133: "FC", 134: "RSVP-E2E-IGNORE", 135: "Mobility Header", 136: "UDPLite", 137: "MPLS-in-IP", 138: "manet", 139: "HIP",
+    140: "Shim6", 141: "WESP", 142: "ROHC", 143: "Ethernet", 144: "AGGFRAG", 145: "NSH",
+}
 PROTOCOL_RANGES = ((146, 252, "unassigned"), (253, 254, "experimental"), (255, 255, "reserved"))
 
 ICMP_TYPES = {0: "EchoReply", 3: "DestinationUnreachable", 8: "Echo", 9: "RouterAdvertisement", 10: "RouterSolicitation", 11: "TimeExceeded"}
@@ -46,6 +51,37 @@ V9_FIELDS = {
 V9_SCOPES = {1: "System", 2: "Interface", 3: "Line Card", 4: "NetFlow Cache", 5: "Template"}
 
 
+#: IPFIX information elements, those that flows commonly carry; ipfix_elements() reads the whole registry.
+IPFIX_FIELDS = {
+    1: "octetDeltaCount", 2: "packetDeltaCount", 3: "deltaFlowCount", 4: "protocolIdentifier", 5: "ipClassOfService", 6: "tcpControlBits",
+    7: "sourceTransportPort", 8: "sourceIPv4Address", 9: "sourceIPv4PrefixLength", 10: "ingressInterface", 11: "destinationTransportPort",
+    12: "destinationIPv4Address", 13: "destinationIPv4PrefixLength", 14: "egressInterface", 15: "ipNextHopIPv4Address", 16: "bgpSourceAsNumber",
+    17: "bgpDestinationAsNumber", 18: "bgpNextHopIPv4Address", 19: "postMCastPacketDeltaCount", 20: "postMCastOctetDeltaCount",
+    21: "flowEndSysUpTime", 22: "flowStartSysUpTime", 23: "postOctetDeltaCount", 24: "postPacketDeltaCount", 25: "minimumIpTotalLength",
+    26: "maximumIpTotalLength", 27: "sourceIPv6Address", 28: "destinationIPv6Address", 29: "sourceIPv6PrefixLength",
+    30: "destinationIPv6PrefixLength", 31: "flowLabelIPv6", 32: "icmpTypeCodeIPv4", 33: "igmpType", 34: "samplingInterval",
+    35: "samplingAlgorithm", 36: "flowActiveTimeout", 37: "flowIdleTimeout", 38: "engineType", 39: "engineId", 40: "exportedOctetTotalCount",
+    41: "exportedMessageTotalCount", 42: "exportedFlowRecordTotalCount", 44: "sourceIPv4Prefix", 45: "destinationIPv4Prefix",
+    46: "mplsTopLabelType", 47: "mplsTopLabelIPv4Address", 48: "samplerId", 49: "samplerMode", 50: "samplerRandomInterval", 52: "minimumTTL",
+    53: "maximumTTL", 54: "fragmentIdentification", 55: "postIpClassOfService", 56: "sourceMacAddress", 57: "postDestinationMacAddress",
+    58: "vlanId", 59: "postVlanId", 60: "ipVersion", 61: "flowDirection", 62: "ipNextHopIPv6Address", 63: "bgpNextHopIPv6Address",
+    64: "ipv6ExtensionHeaders", 70: "mplsTopLabelStackSection", 71: "mplsLabelStackSection2", 72: "mplsLabelStackSection3",
+    80: "destinationMacAddress", 81: "postSourceMacAddress", 82: "interfaceName", 83: "interfaceDescription", 85: "octetTotalCount",
+    86: "packetTotalCount", 88: "fragmentOffset", 89: "forwardingStatus", 90: "mplsVpnRouteDistinguisher", 94: "applicationDescription",
+    95: "applicationId", 96: "applicationName", 130: "exporterIPv4Address", 131: "exporterIPv6Address", 136: "flowEndReason",
+    138: "observationPointId", 139: "icmpTypeCodeIPv6", 140: "mplsTopLabelIPv6Address", 141: "lineCardId", 142: "portId",
+    143: "meteringProcessId", 144: "exportingProcessId", 145: "templateId", 148: "flowId", 149: "observationDomainId",
+    150: "flowStartSeconds", 151: "flowEndSeconds", 152: "flowStartMilliseconds", 153: "flowEndMilliseconds", 154: "flowStartMicroseconds",
+    155: "flowEndMicroseconds", 156: "flowStartNanoseconds", 157: "flowEndNanoseconds", 158: "flowStartDeltaMicroseconds",
+    159: "flowEndDeltaMicroseconds", 160: "systemInitTimeMilliseconds", 161: "flowDurationMilliseconds", 176: "icmpTypeIPv4",
+    177: "icmpCodeIPv4", 178: "icmpTypeIPv6", 179: "icmpCodeIPv6", 192: "ipTTL", 195: "ipDiffServCodePoint", 197: "fragmentFlags",
+    224: "ipTotalLength", 225: "postNATSourceIPv4Address", 226: "postNATDestinationIPv4Address", 227: "postNAPTSourceTransportPort",
+    228: "postNAPTDestinationTransportPort", 233: "firewallEvent", 234: "ingressVRFID", 235: "egressVRFID", 239: "biflowDirection",
+    243: "dot1qVlanId", 252: "ingressPhysicalInterface", 253: "egressPhysicalInterface", 302: "selectorId", 304: "selectorAlgorithm",
+    305: "samplingPacketInterval", 306: "samplingPacketSpace", 312: "dataLinkFrameSize", 315: "dataLinkFrameSection",
+}
+
+
 def ipfix_elements(path: str) -> dict[int, str]:
     """IPFIX element names by number, from IANA's registry as CSV (columns ElementID and Name); ranges and blanks are skipped."""
     import csv

@@ -22,16 +22,31 @@ def ipv4(b: Column) -> Column:
     return F.concat_ws(".", *[F.conv(F.substring(hex_, i, 2), 16, 10) for i in (1, 3, 5, 7)])
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def ipv6(b: Column) -> Column:
     """RFC 5952: small letters, no leading zeros, the first longest run of zero groups as ``::``."""
-    hex_ = F.lower(F.hex(b))
-    text = F.concat_ws(":", *[F.regexp_replace(F.substring(hex_, i, 4), "^0{1,3}", "") for i in range(1, 32, 4)])
-    out = text
-    for run in range(2, 9):  # the longest is tested last, so it stands outermost
-        pattern = f"^(.*?)(^|:)0(:0){{{run - 1}}}(:|$)(.*)$"
-        out = F.when(text.rlike(pattern), F.regexp_replace(text, pattern, "$1::$5")).otherwise(out)
-    mapped = F.substring(hex_, 1, 24) == "00000000000000000000ffff"
-    return F.when(mapped, F.concat(F.lit("::ffff:"), ipv4(F.substring(b, 13, 4)))).otherwise(out)
+
+    def shortened(groups: Column) -> Column:
+        def text(zeros: Column) -> Column:
+            out = F.array_join(groups, ":")
+            for run in range(2, 9):  # the longest is tested last, so it stands outermost
+                at = F.instr(zeros, "0" * run)
+                short = F.concat(F.array_join(F.slice(groups, 1, at - 1), ":"), F.lit("::"), F.array_join(F.slice(groups, at + run, 8), ":"))
+                out = F.when(at > 0, short).otherwise(out)
+            return out
+
+        return bound(F.array_join(F.transform(groups, lambda g: F.when(g == "0", "0").otherwise("1")), ""), text)
+
+    def split(hex_: Column) -> Column:
+        groups = F.transform(F.sequence(F.lit(1), F.lit(29), F.lit(4)), lambda i: F.regexp_replace(F.substr(hex_, i, F.lit(4)), "^0{1,3}", ""))
+        mapped = F.substring(hex_, 1, 24) == "00000000000000000000ffff"
+        return F.when(mapped, F.concat(F.lit("::ffff:"), ipv4(F.unhex(F.substring(hex_, 25, 8))))).otherwise(bound(groups, shortened))
+
+    return bound(F.lower(F.hex(b)), split)
 
 
 def ip(b: Column) -> Column:

@@ -5,15 +5,21 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import FLOW_COLUMNS, FLOW_FIELDS, FLOW_TAGS
+from ..schema import FLOW_COLUMNS, FLOW_FIELDS
+from .arrow import kind_of
+from .protobuf import Field, bytes_of, decode, encode, split
 from .render import DEFAULTS, RENDERERS, VIRTUAL, plain
 
 
+MESSAGES = 50_000  # decoded together
+
+
 @dataclass
 class Format:
     """What a formatter writes: columns in order, renames, renderers by column, key columns."""
@@ -59,29 +65,6 @@ def to_text(df: DataFrame, fmt: Format | None = None) -> Column:
     return F.concat_ws(" ", *parts)
 
 
-def varint(n: int) -> bytes:
-    n &= 2**64 - 1
-    out = bytearray()
-    while n > 127:
-        out.append(n & 127 | 128)
-        n >>= 7
-    out.append(n)
-    return bytes(out)
-
-
-def read_varint(data: bytes, at: int) -> tuple[int, int]:
-    value = shift = 0
-    while True:
-        b = data[at]
-        at += 1
-        value |= (b & 127) << shift
-        if b < 128:
-            return value, at
-        shift += 7
-        if shift > 63:
-            raise ValueError("a varint of more than ten bytes")
-
-
 @dataclass(frozen=True)
 class Extension:
     """A declared column beyond the schema: protobuf tag, kind (varint, string or bytes), repeated or not."""
@@ -92,101 +75,53 @@ class Extension:
     array: bool = False
 
 
-def _layout(extensions: Sequence[Extension]) -> list[tuple[str, int, bool, bool]]:
-    """(name, tag, is bytes, is repeated) sorted by tag."""
+def message_fields(extensions: Sequence[Extension] = ()) -> list[Field]:
+    """The flow's fields and the extensions'.  Numbers of the schema's lists are packed, those of extensions are not."""
     out = []
     for n, t, tag in FLOW_FIELDS:
-        inner = t.elementType if isinstance(t, T.ArrayType) else t
-        out.append((n, tag, isinstance(inner, T.BinaryType), isinstance(t, T.ArrayType)))
-    out += [(e.name, e.tag, e.kind != "varint", e.array) for e in extensions]
-    return sorted(out, key=lambda x: x[1])
-
-
-def encode_message(flow: Mapping, extensions: Sequence[Extension] = ()) -> bytes:
-    out = bytearray()
-    for name, tag, is_bytes, repeated in _layout(extensions):
-        value = flow.get(name)
-        if value is None or (not repeated and not value) or (repeated and not len(value)):
-            continue
-        if is_bytes:
-            for v in value if repeated else [value]:
-                v = v.encode() if isinstance(v, str) else bytes(v)
-                out += varint(tag << 3 | 2) + varint(len(v)) + v
-        elif repeated and tag in FLOW_TAGS.values():  # numbers of the schema are packed
-            packed = b"".join(varint(int(v)) for v in value)
-            out += varint(tag << 3 | 2) + varint(len(packed)) + packed
-        else:
-            for v in value if repeated else [value]:
-                out += varint(tag << 3) + varint(int(v))
-    return bytes(out)
-
-
-def decode_message(data: bytes, extensions: Sequence[Extension] = ()) -> dict:
-    """Fields by name; unknown tags are skipped, lists accumulate, of repeated scalars the last counts."""
-    layout = {tag: (n, b, r) for n, tag, b, r in _layout(extensions)}
-    flow = {n: [] if r else b"" if b else 0 for n, _, b, r in _layout(extensions)}
-    at = 0
-    while at < len(data):
-        key, at = read_varint(data, at)
-        tag, wire = key >> 3, key & 7
-        if wire == 0:
-            value, at = read_varint(data, at)
-        elif wire == 2:
-            size, at = read_varint(data, at)
-            if at + size > len(data):
-                raise ValueError("a field runs past the message")
-            value, at = data[at : at + size], at + size
-        elif wire in (1, 5):
-            size = 8 if wire == 1 else 4
-            value, at = int.from_bytes(data[at : at + size], "little"), at + size
-        else:
-            raise ValueError(f"wire type {wire}")
-        if tag not in layout:
-            continue
-        name, is_bytes, repeated = layout[tag]
-        if repeated and not is_bytes and wire == 2:
-            p = 0
-            while p < len(value):
-                v, p = read_varint(value, p)
-                flow[name].append(v)
-        elif repeated:
-            flow[name].append(value)
-        else:
-            flow[name] = value
-    return {n: v - 2**64 if isinstance(v, int) and v >= 2**63 else v for n, v in flow.items()}
-
-
-def split_delimited(data: bytes) -> Iterator[bytes]:
-    at = 0
-    while at < len(data):
-        size, at = read_varint(data, at)
-        if at + size > len(data):
-            raise ValueError("a message runs past the data")
-        yield data[at : at + size]
-        at += size
+        inner, repeated = (t.elementType, True) if isinstance(t, T.ArrayType) else (t, False)
+        binary = isinstance(inner, T.BinaryType)
+        out.append(Field(n, tag, binary, repeated, repeated and not binary, kind_of(t)))
+    for e in extensions:
+        inner = pa.int64() if e.kind == "varint" else pa.binary()
+        out.append(Field(e.name, e.tag, e.kind != "varint", e.array, False, pa.list_(inner) if e.array else inner))
+    return out
 
 
 def to_protobuf(flows: DataFrame, extensions: Sequence[Extension] = (), delimited: bool = True) -> DataFrame:
     """flows as (message binary)."""
-    names = [n for n in FLOW_COLUMNS if n in flows.columns] + [e.name for e in extensions]
+    fields = [f for f in message_fields(extensions) if f.name in flows.columns]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [encode_message(dict(zip(names, r, strict=True)), extensions) for r in zip(*[b[n] for n in names], strict=True)]
-            yield pd.DataFrame({"message": [varint(len(m)) + m if delimited else m for m in out]})
+            message = encode(dict(zip(b.schema.names, b.columns, strict=True)), fields, len(b), delimited)
+            yield pa.RecordBatch.from_arrays([message], ["message"])
 
-    return flows.select(*names).mapInPandas(run, "message binary")
+    return flows.select(*[f.name for f in fields]).mapInArrow(run, "message binary")
 
 
-def from_protobuf(messages: DataFrame, column: str = "message", extensions: Sequence[Extension] = (), delimited: bool = True) -> DataFrame:
-    """Flows from a binary column of messages, or of several length-delimited ones."""
+def from_protobuf(messages: DataFrame, column: str = "message", extensions: Sequence[Extension] = (), delimited: bool = True, unknown: bool = False) -> DataFrame:
+    """Flows from a binary column of messages, or of several length-delimited ones.
+
+    With unknown there is a column of that name: what tags without a column
+    hold, in order, as (tag, number, bytes); else they are skipped.
+    """
+    fields = message_fields(extensions)
     kinds = {"varint": T.LongType(), "string": T.BinaryType(), "bytes": T.BinaryType()}
     extra = [T.StructField(e.name, T.ArrayType(kinds[e.kind]) if e.array else kinds[e.kind]) for e in extensions]
+    if unknown:
+        extra.append(T.StructField("unknown", T.ArrayType(T.StructType.fromDDL("tag int, number bigint, bytes binary"))))
     schema = T.StructType([T.StructField(n, t) for n, t, _ in FLOW_FIELDS] + extra)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [decode_message(m, extensions) for data in b[column] for m in (split_delimited(bytes(data)) if delimited else [bytes(data)])]
-            yield pd.DataFrame(rows, columns=schema.names)
-
-    return messages.select(column).mapInPandas(run, schema)
+            lengths, data = bytes_of(b.column(0))
+            end = np.cumsum(lengths)
+            begin = end - lengths
+            if delimited:
+                begin, end = split(data, begin, end)
+            for k in range(0, len(begin), MESSAGES):
+                found = decode(data, begin[k : k + MESSAGES], end[k : k + MESSAGES], fields, unknown)
+                yield pa.RecordBatch.from_arrays([found[n] for n in schema.names], schema.names)
+
+    return messages.select(column).mapInArrow(run, schema)

@@ -7,16 +7,19 @@ import http.server
 import json
 import logging
 import threading
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import raw
+from ..operators import metrics, raw, sflow
 from ..operators.mapping import Mapping, load_mapping
-from ..sources import udp
+from ..sources import files, udp
 from ..streaming import pipelines, stateful
 
+log = logging.getLogger("flowspark")
+
 #: Session settings that the plans here count on.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -37,7 +40,23 @@ def session(name: str = "flowspark", master: str | None = None, **settings: str)
     return b.getOrCreate()
 
 
-PRODUCERS: dict[str, Callable[..., DataFrame]] = {"sample": stateful.flows, "raw": lambda datagrams, mapping=None, **_: raw.messages(datagrams)}
+Producer = Callable[..., DataFrame]
+PRODUCERS: dict[str, Producer] = {}
+
+
+def register_producer(name: str, producer: Producer) -> Producer:
+    """producer: datagrams, a mapping and options to rows.  A name is taken once."""
+    if name in PRODUCERS:
+        raise ValueError(f"the producer {name} exists")
+    PRODUCERS[name] = producer
+    return producer
+
+
+register_producer("sample", stateful.flows)
+register_producer("raw", lambda datagrams, mapping=None, **_: raw.messages(datagrams))
+
+#: Steps between the datagrams and the producer, in order: each takes and returns datagrams (a filter, a count, a copy to a log).
+Wrapper = Callable[[DataFrame], DataFrame]
 
 
 def produce(datagrams: DataFrame, producer: str = "sample", mapping: Mapping | None = None, **options) -> DataFrame:
@@ -47,28 +66,73 @@ def produce(datagrams: DataFrame, producer: str = "sample", mapping: Mapping | N
 
 
 class Job:
-    """A collecting job: logged datagrams to flows to a sink, with dead letters beside it."""
-
-    def __init__(self, spark: SparkSession, folder: str, out: str, checkpoint: str, producer: str = "sample", fmt: str = "json", mapping: Mapping | None = None, trigger: str | None = "5 seconds", **options):
+    """A collecting job: logged datagrams to flows to a sink.
+
+    transport: file, stdout, kafka (out is the topic) or a registered one.
+    wrappers: steps that the datagrams pass first.  export: a file that the known
+    templates are written to every export_s seconds and at the end, in the form
+    that preload (among the options) reads.  Faults are logged, at most
+    `most_errors` of a kind in mute_s seconds, with how many were left out.
+    """
+
+    def __init__(
+        self, spark: SparkSession, folder: str, out: str, checkpoint: str, producer: str = "sample", fmt: str = "json", mapping: Mapping | None = None, trigger: str | None = "5 seconds",
+        transport: str = "file", wrappers: Sequence[Wrapper] = (), export: str | None = None, export_s: float = 10, mute_s: int = 10, most_errors: int = 10, **options,
+    ):
         self.spark, self.folder, self.out, self.checkpoint = spark, folder.rstrip("/"), out.rstrip("/"), checkpoint.rstrip("/")
         self.producer, self.fmt, self.mapping, self.trigger, self.options = producer, fmt, mapping or Mapping(), trigger, options
+        self.transport, self.wrappers, self.export, self.export_s = transport, wrappers, export, export_s
+        self.mute_s, self.most_errors = mute_s, most_errors
         self.queries: list[StreamingQuery] = []
+        self.stopping = threading.Event()
+        self.exporter: threading.Thread | None = None
 
     def _start(self, writer, name: str) -> None:
         writer = writer.queryName(name)
         writer = writer.trigger(processingTime=self.trigger) if self.trigger else writer.trigger(availableNow=True)
         self.queries.append(writer.start())
 
+    def _report(self, batch: DataFrame, number: int) -> None:
+        """Logs the dead letters of a batch, muted by kind and interval."""
+        shown, left = metrics.muted(batch, ["error"], "time_received_ns", self.mute_s, self.most_errors)
+        for r in shown.toLocalIterator():  # at most most_errors a kind and interval
+            log.warning("%s: %s", raw.readable(bytes(r["sampler_address"] or b"")), r["error"])
+        for r in left.filter("skipped > 0").toLocalIterator():
+            log.warning("%s: %d more in %d s from %d on", r["error"], r["skipped"], self.mute_s, r["interval_s"])
+
+    def _export_loop(self) -> None:
+        done = False
+        while not done:
+            done = self.stopping.wait(self.export_s)
+            try:
+                files.export_templates(stateful.template_table(self.spark, f"{self.checkpoint}/flows"), self.export)
+            except Exception as e:  # noqa: BLE001  no state yet, or a folder that cannot be written: the next round tries again
+                log.debug("templates not written: %s", e)
+
     def start(self) -> Job:
-        rows = produce(udp.logged(self.spark, self.folder), self.producer, self.mapping, **(self.options if self.producer == "sample" else {}))
+        datagrams = udp.logged(self.spark, self.folder)
+        for step in self.wrappers:
+            datagrams = step(datagrams)
+        rows = produce(datagrams, self.producer, self.mapping, **(self.options if self.producer == "sample" else {}))
         if self.producer == "raw":
             values = rows.filter("error IS NULL").selectExpr("CAST(NULL AS BINARY) AS key", "summary AS value" if self.fmt == "text" else "to_json(struct(type, from_json(message, 'map<string,string>') AS message, src, time_received)) AS value")
-            self._start(pipelines.to_files(values, self.out, f"{self.checkpoint}/raw"), "raw")
+            self._start(pipelines.sent(values, self.transport, self.out, f"{self.checkpoint}/raw"), "raw")
         elif self.fmt == "table":
             self._start(pipelines.to_raw_table(pipelines.good(rows), self.out, f"{self.checkpoint}/flows"), "flows")
         else:
             values = pipelines.formatted(pipelines.good(rows), self.fmt, self.mapping.format, self.mapping.extensions)
-            self._start(pipelines.to_files(values, self.out, f"{self.checkpoint}/flows"), "flows")
+            self._start(pipelines.sent(values, self.transport, self.out, f"{self.checkpoint}/flows"), "flows")
+        if self.export:
+            self.exporter = threading.Thread(target=self._export_loop, daemon=True)
+            self.exporter.start()
+        return self
+
+    def report_errors(self) -> Job:
+        """Starts a query of its own that logs the dead letters of stateless decoding (version 5 and sFlow) and of datagrams of no protocol."""
+        datagrams = udp.logged(self.spark, self.folder)
+        bad = pipelines.dead_letters(sflow.flows(datagrams, self.mapping)).select("time_received_ns", "sampler_address", "error")
+        none = datagrams.filter(metrics.protocol(F.col("payload")) == "unknown").select(F.col("received_ns").alias("time_received_ns"), F.col("src_addr").alias("sampler_address"), F.lit("no protocol begins so").alias("error"))
+        self._start(bad.unionByName(none).writeStream.foreachBatch(self._report).option("checkpointLocation", f"{self.checkpoint}/errors"), "errors")
         return self
 
     def active(self) -> bool:
@@ -77,16 +141,24 @@ class Job:
     def stop(self) -> None:
         for q in self.queries:
             q.stop()
+        self._last_export()
 
     def wait(self) -> None:
         for q in self.queries:
             q.awaitTermination()
+        self._last_export()
+
+    def _last_export(self) -> None:
+        self.stopping.set()
+        if self.exporter:
+            self.exporter.join()
+            self.exporter = None
 
     def templates(self) -> dict[str, dict[str, dict]]:
         """source -> version/domain/id -> template, from the state of the last batch."""
         out: dict[str, dict[str, dict]] = {}
         for r in stateful.template_table(self.spark, f"{self.checkpoint}/flows").toLocalIterator():
-            out.setdefault(raw.readable(bytes(r["source"])), {})[r["key"].partition("/")[2]] = json.loads(r["template"])
+            out.setdefault(raw.readable(bytes(r["source"])), {})[r["key"]] = json.loads(r["template"])
         return out
 
     def metrics(self) -> str:
@@ -97,6 +169,11 @@ class Job:
             if p:
                 for name, value in (("input_rows", p["numInputRows"]), ("batch", p["batchId"]), ("trigger_ms", p["durationMs"].get("triggerExecution", 0))):
                     lines.append(f'flowspark_{name}{{query="{q.name}"}} {value}')
+            seconds = sorted(x["durationMs"].get("addBatch", 0) / 1000 for x in q.recentProgress)
+            if seconds:
+                for share in metrics.QUANTILES:
+                    lines.append(f'flowspark_decode_seconds{{query="{q.name}",quantile="{share}"}} {seconds[min(len(seconds) - 1, int(share * len(seconds)))]}')
+                lines += [f'flowspark_decode_seconds_sum{{query="{q.name}"}} {sum(seconds)}', f'flowspark_decode_seconds_count{{query="{q.name}"}} {len(seconds)}']
         return "\n".join(lines) + "\n"
 
 
@@ -141,6 +218,12 @@ def options() -> argparse.ArgumentParser:
     p.add_argument("--mapping", help="YAML of custom columns")
     p.add_argument("--templates-ttl", type=int, default=0, help="seconds; 0: templates never expire")
     p.add_argument("--templates-extend", action="store_true", help="use renews a template")
+    p.add_argument("--templates-preload", help="JSON of templates known beforehand, by source")
+    p.add_argument("--templates-export", help="JSON file that the known templates are written to")
+    p.add_argument("--templates-export-interval", type=float, default=10, help="seconds")
+    p.add_argument("--templates-remove", action="append", default=[], metavar="SOURCE", help="forget what is known of this exporter; may be repeated")
+    p.add_argument("--transport", default="file", help="file, stdout, kafka (--out is the topic) or a registered one")
+    p.add_argument("--report-errors", action="store_true", help="log dead letters, muted")
     p.add_argument("--missing", default="packet", choices=("packet", "set"), help="what a missing template costs")
     p.add_argument("--once", action="store_true", help="end when the present datagrams are done")
     p.add_argument("--http", type=int, default=0, help="port of the status pages; 0: none")
@@ -155,9 +238,12 @@ def main(argv: list[str] | None = None) -> int:
     logging.basicConfig(level=a.log.upper(), format=line)
     job = Job(
         session(), a.datagrams, a.out, a.checkpoint, a.produce, a.format, load_mapping(a.mapping) if a.mapping else None, None if a.once else "5 seconds",
-        ttl_s=a.templates_ttl, extend_on_access=a.templates_extend, drop=a.missing,
+        a.transport, export=a.templates_export, export_s=a.templates_export_interval, ttl_s=a.templates_ttl, extend_on_access=a.templates_extend, drop=a.missing, remove=a.templates_remove,
+        preload=files.preload_templates(a.templates_preload) if a.templates_preload else None,
     )
     job.start()
+    if a.report_errors:
+        job.report_errors()
     if a.http:
         serve(job, a.http)
     job.wait()

@@ -189,3 +189,68 @@ def as_sflow(view: DataFrame, per_datagram: int = 10) -> DataFrame:
     counters = F.lit("00000002" + "0000000C" + "00000001" + "00000001" + "00000000")
     message = F.concat(F.lit("00000005"), F.lit("00000001"), hexed(F.lit(184483840) + F.col("g") % EXPORTERS, 4), F.lit("00000001"), hexed(F.col("g"), 4), hexed(F.lit(UPTIME), 4), hexed(F.col("n") + 1, 4), F.col("body"), counters)
     return _datagrams(data, message)
+
+
+def as_ipfix_options(view: DataFrame) -> DataFrame:
+    """as_ipfix() and, just after each exporter's datagram FIRST_RATE, an options template with its sampling rate."""
+    data = _grouped(view, F.lit("00"), 10)
+    body = F.concat(_set(3, F.lit("012D" + "0002" + "0001" + "00950004" + "01310004")), _set(301, F.concat(F.lit("00000007"), hexed(F.lit(300) + F.col("g") % EXPORTERS, 4))))
+    message = F.concat(F.lit("000A"), hexed(F.length(body) / 2 + 16, 2), hexed(F.lit(START_S) + F.col("g"), 4), hexed(F.col("g"), 4), hexed(F.lit(7), 4), body)
+    told = data.filter(floor_div(F.col("g"), EXPORTERS) == FIRST_RATE)
+    return as_ipfix(view).unionByName(_datagrams(told, message, 1))
+
+
+def v6_hex(value: Column) -> Column:
+    return F.concat(F.lit("20010DB8" + "00" * 8), hexed(value, 4))
+
+
+SHAPES = 9
+
+
+def stacked_frame() -> Column:
+    """A frame's hex text, of one of nine stacks of layers by event_id % 9 (see stack_sql)."""
+    i = F.col("event_id")
+    eth = lambda kind: F.concat(F.lit("0A0000000001"), hexed(F.col("src_mac"), 6), F.lit(kind))
+    v4 = lambda proto: F.concat(F.lit("45"), hexed(i % 256, 1), F.lit("0030"), hexed(i % 65536, 2), F.lit("4000"), hexed(i % 200, 1), F.lit(f"{proto:02X}0000"), hexed(F.col("src"), 4), hexed(F.col("dst"), 4))
+    word = F.lit(0x60000000) + (i % 256) * 2**20 + i % 2**20
+    v6 = lambda following: F.concat(hexed(word, 4), F.lit("0028"), F.lit(f"{following:02X}"), hexed(i % 200, 1), v6_hex(F.col("src")), v6_hex(F.col("dst")))
+    ports = F.concat(hexed(F.col("src_port"), 2), hexed(F.col("dst_port"), 2))
+    tcp = lambda words: F.concat(ports, F.lit("00" * 8 + f"{words:X}0"), hexed(i % 64, 1), F.lit("00" * (4 * words - 14)))
+    udp = lambda port: F.concat(hexed(F.col("src_port") % 6000 + 100 * 256, 2), F.lit(f"{port:04X}" + "00200000"))
+    icmp = F.concat(hexed(i % 13, 1), F.lit("03" + "00" * 6))
+    label = hexed((i % 1000 + 16) * 4096 + 256 + 64, 4)
+    fragment = F.concat(F.lit("1100"), hexed((i % 100) * 8 + 1, 2), hexed(i, 4))
+    routing = F.concat(F.lit("3B04040101000000"), v6_hex(F.col("dst")), v6_hex(F.col("src")))
+    shapes = [
+        F.concat(eth("8847"), label, v4(6), tcp(5)), F.concat(eth("86DD"), v6(6), tcp(8)), F.concat(eth("86DD"), v6(44), fragment, udp(9000)), F.concat(eth("86DD"), v6(43), routing),
+        F.concat(eth("0800"), v4(47), F.lit("00000800"), v4(1), icmp), F.concat(eth("0800"), v4(17), udp(6081), F.lit("0000655800000000"), eth("0800"), v4(1), icmp),
+        F.concat(eth("86DD"), v6(17), udp(3544), v6(59)), F.concat(eth("86DD"), v6(58), icmp), F.concat(eth("0800"), v4(17), udp(53), F.repeat(F.lit("00"), (i % 7).cast("int"))),
+    ]
+    out = shapes[0]
+    for k in range(1, SHAPES):
+        out = F.when(i % SHAPES == k, shapes[k]).otherwise(out)
+    return out
+
+
+#: Counters of an interface record (with their widths) and of an Ethernet record, in order, as the query's SQL names them.
+INTERFACE_WIDTHS = [4, 4, 8, 4, 4, 8, 4, 4, 4, 4, 4, 4, 8, 4, 4, 4, 4, 4, 4]
+
+
+def as_sflow_all(view: DataFrame, per_datagram: int = 10) -> DataFrame:
+    """Expanded flow samples with IPv4 or IPv6 records; in each datagram also a counter sample, an expanded one and a drop sample."""
+    i, g = F.col("event_id"), F.col("g")
+    part = lambda kind, body: F.concat(F.lit(f"{kind:08X}"), hexed(F.length(body) / 2, 4), body)
+    tail = F.concat(hexed(F.col("src_port"), 4), hexed(F.col("dst_port"), 4), hexed(i % 64, 4), hexed(i % 256, 4))
+    head = F.concat(hexed(F.col("bytes"), 4), hexed(F.col("proto"), 4))
+    ipv4 = part(3, F.concat(head, hexed(F.col("src"), 4), hexed(F.col("dst"), 4), tail))
+    ipv6 = part(4, F.concat(head, v6_hex(F.col("src")), v6_hex(F.col("dst")), tail))
+    record = F.when(F.col("etype") == 34525, ipv6).otherwise(ipv4)
+    sample = F.concat(hexed(i, 4), F.lit("0000000000000001"), hexed(F.col("sampling_rate"), 4), F.lit("00" * 8), F.lit("00000000"), hexed(F.col("in_if"), 4), F.lit("00000000"), hexed(F.col("out_if"), 4), F.lit("00000001"), record)
+    data = _grouped(view, part(3, sample), per_datagram)
+    interface = part(1, F.concat(*[hexed(g % 97 + k, n) for k, n in enumerate(INTERFACE_WIDTHS)]))
+    ethernet = part(2, F.concat(*[hexed(g % 89 + k, 4) for k in range(13)]))
+    counter = part(2, F.concat(hexed(g, 4), F.lit("00000007" + "00000001"), interface))
+    expanded = part(4, F.concat(hexed(g, 4), F.lit("00000000" + "00000009" + "00000001"), ethernet))
+    drop = part(5, F.concat(hexed(g, 4), F.lit("00000000" + "00000003"), hexed(g % 5, 4), F.lit("00000004" + "00000005"), hexed(g % 7, 4), F.lit("00000001"), part(1036, hexed(g % 11, 4))))
+    message = F.concat(F.lit("00000005" + "00000001"), hexed(F.lit(184483840) + g % EXPORTERS, 4), F.lit("00000001"), hexed(g, 4), hexed(F.lit(UPTIME), 4), hexed(F.col("n") + 3, 4), F.col("body"), counter, expanded, drop)
+    return _datagrams(data, message)

@@ -39,7 +39,13 @@ DATAGRAM_SCHEMA = T.StructType([
 DATAGRAM_COLUMNS = DATAGRAM_SCHEMA.names
 
 
+_BLANK = {n: b"" if isinstance(t, T.BinaryType) else 0 for n, t, _ in FLOW_FIELDS}
+_LISTS = [n for n, t, _ in FLOW_FIELDS if isinstance(t, T.ArrayType)]
+
+
 def empty_flow() -> dict:
     """A flow whose every field is unset: zero, empty bytes or an empty list, never null."""
-    blank = {T.LongType: 0, T.IntegerType: 0, T.BinaryType: b""}
-    return {n: blank[type(t)] if type(t) in blank else [] for n, t, _ in FLOW_FIELDS}
+    out = dict(_BLANK)
+    for n in _LISTS:
+        out[n] = []
+    return out

@@ -32,6 +32,7 @@ class Receiver:
         self.listener = listener
         self.queue: queue.Queue = queue.Queue(listener.queue)
         self.dropped = self.received = 0
+        self.lost: dict[tuple[bytes, bytes, int], list[int]] = {}  # source address, own address and port -> packets, bytes
         self._stop, self._threads, self._sockets = threading.Event(), [], []
 
     def start(self) -> int:
@@ -64,6 +65,13 @@ class Receiver:
                 self.received += 1
             except queue.Full:
                 self.dropped += 1
+                for k, n in enumerate((1, len(data))):
+                    self.lost.setdefault((row[0], row[2], row[3]), [0, 0])[k] += n
+
+    def drops(self, spark: SparkSession) -> DataFrame:
+        """What was dropped so far, for operators.metrics.dropped: a row a source."""
+        rows = [(*key, *n) for key, n in self.lost.copy().items()]
+        return spark.createDataFrame(rows, "src_addr binary, dst_addr binary, dst_port int, packets long, bytes long")
 
     def drain(self, most: int = 100_000) -> list[tuple]:
         out = []

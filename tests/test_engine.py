@@ -13,6 +13,7 @@ from flowspark.functions import render
 from flowspark.operators import enrich, metrics, raw
 from flowspark.operators.mapping import compile_mapping
 from flowspark.plans import engine
+from flowspark.sources import files
 
 
 def test_raw_messages(spark):
@@ -36,7 +37,7 @@ def test_job_and_status(spark, tmp_path):
     lines = [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/out").collect()]
     assert sorted(x["bytes"] for x in lines) == [5, 148, 590] and {x["type"] for x in lines} == {"NETFLOW_V5", "NETFLOW_V9"}
     assert json.loads(get("/templates"))["192.0.2.1"]["9/1/260"]["fields"][0]["type"] == 1
-    assert "flowspark_input_rows" in get("/metrics")
+    assert "flowspark_input_rows" in get("/metrics") and 'flowspark_decode_seconds{query="flows",quantile="0.5"}' in get("/metrics")
     with pytest.raises(urllib.error.HTTPError):
         get("/__health")
     server.shutdown()
@@ -45,9 +46,27 @@ def test_job_and_status(spark, tmp_path):
     assert spark.read.text(f"{tmp_path}/raw").count() == 2
     with pytest.raises(ValueError):
         engine.produce(None, "nothing")
+    with pytest.raises(ValueError):
+        engine.register_producer("raw", None)
     assert engine.options().parse_args(["--datagrams", "a", "--out", "b", "--checkpoint", "c"]).format == "json"
 
 
+def test_a_job_passes_templates_on_and_reports_faults(spark, tmp_path, caplog):
+    feed(datagrams(spark, [message(9, [(0, template(260, (1, 2)))]), b"xx", b"yy", sflow_datagram()[:9]]), f"{tmp_path}/in", [F.lit(True)])
+    first = engine.Job(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/check", trigger=None, export=f"{tmp_path}/t.json", export_s=0.5, most_errors=1).start()
+    first.wait()
+    with caplog.at_level("WARNING", "flowspark"):
+        first.report_errors().wait()
+    said = [r.getMessage() for r in caplog.records if r.name == "flowspark"]
+    assert sum(x == "192.0.2.1: no protocol begins so" for x in said) == 1 and any("no protocol begins so: 1 more" in x for x in said) and any("Short" in x for x in said)
+    known = files.preload_templates(f"{tmp_path}/t.json")
+    assert set(known) == {"192.0.2.1"}
+    feed(datagrams(spark, [message(9, [(260, b"\0\5")]), v5_datagram()]), f"{tmp_path}/in2", [F.lit(True)])
+    no_v5 = lambda d: d.filter(F.hex(F.substring("payload", 1, 2)) != "0005")
+    engine.Job(spark, f"{tmp_path}/in2", f"{tmp_path}/out2", f"{tmp_path}/check2", trigger=None, wrappers=[no_v5], preload=known).start().wait()
+    assert [json.loads(r.value)["bytes"] for r in spark.read.text(f"{tmp_path}/out2").collect()] == [5]
+
+
 def test_longest_prefix(spark):
     nets = spark.createDataFrame([("10.0.0.0/8", 1), ("10.1.0.0/16", 2), ("10.1.2.0/23", 3), ("2001:db8::/33", 4), ("2001:db8::/32", 5), ("0.0.0.0/0", 9), ("junk", 7), (None, 8)], "cidr string, asn long")
     places = spark.createDataFrame([("10.1.3.0/24", "CH")], "cidr string, country string")
@@ -69,4 +88,8 @@ def test_delay_templates_and_gaps(spark):
     assert metrics.template_times(netflow.sets(d)).first().adds == 2
     gaps = metrics.sequence_gaps(d.withColumn("n", F.col("seq") * 5), ["src_addr"], "n").orderBy("n").collect()
     assert [g.gap for g in gaps] == [None, 4]
-    assert metrics.muted(d, ["src_addr"], most=0).first().skipped == 0
+    shown, counts = metrics.muted(d, ["src_addr"], most=0)
+    assert shown.count() == 2 and counts.first().skipped == 0
+    many = spark.range(1000).select(F.lit("x").alias("k"), (F.col("id") * 10**7).alias("received_ns")).unionByName(spark.createDataFrame([("x", 0)] * 30, "k string, received_ns long"))
+    shown, counts = metrics.muted(many, ["k"], most=4)
+    assert [r.received_ns for r in shown.orderBy("received_ns").collect()] == [0] * 4 and counts.first().skipped == 1026

@@ -3,12 +3,14 @@
 import ipaddress
 import struct
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from flowspark.functions import names, render, serialize, values
+from flowspark.functions import names, protobuf, render, serialize, values
 from flowspark.functions.bits import slice_bits
 from flowspark.schema import FLOW_COLUMNS, empty_flow
 
@@ -60,7 +62,7 @@ def test_addresses(spark):
 
 
 def test_names(spark):
-    assert len(names.PROTOCOLS) == 146 and names.PROTOCOL_NAMES[124] == "ISIS over IPv4" and names.PROTOCOL_NAMES[132] == "SCTP" and names.PROTOCOL_NAMES[145] == "NSH"
+    assert sorted(names.PROTOCOL_NAMES) == list(range(146)) and names.PROTOCOL_NAMES[124] == "ISIS over IPv4" and names.PROTOCOL_NAMES[132] == "SCTP" and names.PROTOCOL_NAMES[145] == "NSH"
     df = spark.createDataFrame([(n,) for n in (6, 145, 146, 253, 255, 256)], "x long")
     assert [r.y for r in df.select(render.protocol(F.col("x")).alias("y")).collect()] == ["TCP", "NSH", "unassigned", "experimental", "reserved", "unknown"]
     assert one(spark, render.mac(F.col("x")), 0x0A0B0C0D0E0F, "long") == "0a:0b:0c:0d:0e:0f"
@@ -98,38 +100,100 @@ def test_json_and_text(spark):
 
 
 EXTENSIONS = (serialize.Extension("note", 2000, "string"), serialize.Extension("many", 2001, "varint", True))
+VALUES = st.fixed_dictionaries({
+    "type": st.integers(0, 4), "bytes": st.integers(-(2**63), 2**63 - 1), "src_addr": st.binary(max_size=16), "as_path": st.lists(st.integers(0, 2**63 - 1), max_size=5), "layer_stack": st.lists(st.integers(0, 99), max_size=3),
+    "mpls_ip": st.lists(st.binary(max_size=16), max_size=3), "note": st.binary(max_size=9), "many": st.lists(st.integers(0, 2**40), max_size=4),
+})
+
+
+def encoded(flows, extensions=EXTENSIONS, delimited=False):
+    fields = serialize.message_fields(extensions)
+    columns = {f.name: pa.array([flow[f.name] for flow in flows], f.type) for f in fields}
+    return protobuf.encode(columns, fields, len(flows), delimited)
+
+
+def decoded(messages, extensions=EXTENSIONS, unknown=False):
+    data = np.frombuffer(b"".join(messages), np.uint8)
+    end = np.cumsum([len(m) for m in messages])
+    found = protobuf.decode(data, end - [len(m) for m in messages], end, serialize.message_fields(extensions), unknown)
+    return [dict(zip(found, row, strict=True)) for row in zip(*[c.to_pylist() for c in found.values()], strict=True)]
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.fixed_dictionaries({"bytes": st.integers(0, 2**63 - 1), "src_addr": st.binary(max_size=16), "as_path": st.lists(st.integers(0, 2**32 - 1), max_size=5), "mpls_ip": st.lists(st.binary(max_size=16), max_size=3), "note": st.binary(max_size=9), "many": st.lists(st.integers(0, 2**40), max_size=4)}))
+@given(st.lists(VALUES, min_size=1, max_size=50))
 def test_protobuf_round_trip(some):
-    flow = empty_flow() | {"note": b"", "many": []} | some
-    assert serialize.decode_message(serialize.encode_message(flow, EXTENSIONS), EXTENSIONS) == flow
+    flows = [empty_flow() | {"note": b"", "many": []} | x for x in some]
+    messages = encoded(flows).to_pylist()
+    assert decoded(messages) == flows
+    whole = b"".join(encoded(flows, delimited=True).to_pylist())
+    for pieces in ([whole], encoded(flows, delimited=True).to_pylist()):
+        data, end = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum([len(x) for x in pieces])
+        begin, stop = protobuf.split(data, end - [len(x) for x in pieces], end)
+        assert [data[a:z].tobytes() for a, z in zip(begin, stop, strict=True)] == messages
+    with pytest.raises(ValueError):
+        protobuf.split(data[:-1] if len(messages[-1]) else np.array([1], np.uint8), np.array([0]), np.array([max(1, len(data) - 1)]))
 
 
-def test_protobuf_agrees_with_the_library():
+def library():
     from google.protobuf import descriptor_pb2, descriptor_pool, message_factory
 
     f = descriptor_pb2.FileDescriptorProto(name="f.proto", package="t", syntax="proto3")
     m = f.message_type.add(name="M")
-    for n, tag, kind, label in (("type", 1, 5, 1), ("bytes", 9, 4, 1), ("src_addr", 6, 12, 1), ("as_path", 102, 13, 3), ("mpls_ip", 82, 12, 3)):
+    for n, tag, kind, label in (("type", 1, 5, 1), ("bytes", 9, 3, 1), ("src_addr", 6, 12, 1), ("as_path", 102, 3, 3), ("layer_stack", 103, 5, 3), ("mpls_ip", 82, 12, 3), ("note", 2000, 12, 1), ("wide", 3000, 6, 1)):
         m.field.add(name=n, number=tag, type=kind, label=label)
+    m.field.add(name="many", number=2001, type=3, label=3).options.packed = False
     pool = descriptor_pool.DescriptorPool()
     pool.Add(f)
-    message = message_factory.GetMessageClass(pool.FindMessageTypeByName("t.M"))
-    theirs = message(type=3, bytes=2**40, src_addr=b"\x01\x02", as_path=[1, 70000], mpls_ip=[b"a", b""])
-    assert {k: v for k, v in serialize.decode_message(theirs.SerializeToString()).items() if v} == {"type": 3, "bytes": 2**40, "src_addr": b"\x01\x02", "as_path": [1, 70000], "mpls_ip": [b"a", b""]}
-    back = message.FromString(serialize.encode_message(empty_flow() | {"type": 3, "as_path": [1, 70000], "bytes": 5}))
-    assert (back.type, list(back.as_path), back.bytes) == (3, [1, 70000], 5)
+    return message_factory.GetMessageClass(pool.FindMessageTypeByName("t.M"))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(VALUES, min_size=1, max_size=20))
+def test_protobuf_agrees_with_the_library(some):
+    message = library()
+    theirs = [message(**x) for x in some]
+    flows = [empty_flow() | {"note": b"", "many": []} | x for x in some]
+    assert decoded([m.SerializeToString() for m in theirs]) == flows
+    assert [message.FromString(m) for m in encoded(flows).to_pylist()] == theirs
+
+
+def test_unknown_fields_and_faults():
+    message = library()
+    theirs = message(bytes=5, wide=7, note=b"x", many=[3, 4])
+    (got,) = decoded([theirs.SerializeToString()], (), True)
+    assert got["bytes"] == 5 and got["unknown"] == [{"tag": 2000, "number": None, "bytes": b"x"}, {"tag": 2001, "number": 3, "bytes": None}, {"tag": 2001, "number": 4, "bytes": None}, {"tag": 3000, "number": 7, "bytes": None}]
+    assert "unknown" not in decoded([theirs.SerializeToString()], ())[0]
+    twice = message(bytes=1).SerializeToString() + message(bytes=9).SerializeToString()
+    assert decoded([twice, b""])[0]["bytes"] == 9 and decoded([b""])[0]["as_path"] == []
+    for bad in (b"\x4a\x05ab", b"\x48", b"\x48" + b"\xff" * 11, b"\x4b", b"\x32\xff\xff\xff\xff\x0f", b"\x30\x05"):
+        with pytest.raises(ValueError):
+            decoded([bad])
 
 
 def test_delimited_files(spark, tmp_path):
     from flowspark.sources import files
 
-    flows = [empty_flow() | {"bytes": i, "src_addr": bytes([10, 0, 0, i])} for i in range(1, 5)]
-    data = b"".join(serialize.varint(len(m)) + m for m in map(serialize.encode_message, flows))
-    (tmp_path / "a.bin").write_bytes(data)
+    flows = [empty_flow() | {"note": b"", "many": [], "bytes": i, "src_addr": bytes([10, 0, 0, i % 256])} for i in range(1, 500)]
+    (tmp_path / "a.bin").write_bytes(b"".join(encoded(flows, delimited=True).to_pylist()))
     out = files.delimited(spark, str(tmp_path)).orderBy("bytes")
-    assert out.columns == FLOW_COLUMNS and [r.bytes for r in out.collect()] == [1, 2, 3, 4]
+    assert out.columns == FLOW_COLUMNS and [r.bytes for r in out.collect()] == list(range(1, 500))
+    assert files.kafka_options({"brokers": "a:1", "user": "u", "password": 'p"'}) == {
+        "kafka.bootstrap.servers": "a:1", "kafka.sasl.mechanism": "SCRAM-SHA-512", "kafka.security.protocol": "SASL_SSL",
+        "kafka.sasl.jaas.config": 'org.apache.kafka.common.security.scram.ScramLoginModule required username="u" password="p\\"";',
+    }
+    with pytest.raises(Exception, match="[Kk]afka"):
+        files.kafka_flows(spark, "topic", brokers="a:1")
     with pytest.raises(ValueError):
-        list(serialize.split_delimited(data[:-1]))
+        files.kafka(spark, "topic", nothing="1")
+
+
+def test_ipv6_text(spark):
+    rng = np.random.default_rng(5)
+    addresses = [bytes(16), bytes(15) + b"\1", b"\1" + bytes(15), bytes(10) + b"\xff\xff\1\2\3\4", bytes(range(16))]
+    for _ in range(300):
+        groups = rng.integers(0, 2**16, 8) * rng.integers(0, 2, 8)
+        addresses.append(groups.astype(">u2").tobytes())
+    df = spark.createDataFrame([(a,) for a in addresses], "a binary")
+    for r in df.select("a", render.ip(F.col("a")).alias("text")).collect():
+        want = ipaddress.ip_address(bytes(r.a))
+        assert r.text == (f"::ffff:{want.ipv4_mapped}" if want.ipv4_mapped else str(want))

@@ -3,6 +3,7 @@
 import json
 import os
 import socket
+import struct
 import time
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from test_wire import datagrams, message, sflow_datagram, template, v5_datagram
 
 from flowspark.functions import serialize
-from flowspark.operators import netflow
+from flowspark.operators import metrics, netflow, raw
 from flowspark.plans.flows import as_v9, flows
 from flowspark.schema import DATAGRAM_SCHEMA, FLOW_COLUMNS
 from flowspark.sources import files, listen, udp
@@ -49,7 +50,9 @@ def test_a_stream_gives_what_a_batch_gives(spark, sf, tmp_path):
     assert got.filter("error = 'template not found'").count() == netflow.errors(d).count()
     table = stateful.template_table(spark, f"{tmp_path}/check")
     n = files.export_templates(table, f"{tmp_path}/templates.json")
-    assert n == table.count() > 8 and set(json.load(open(f"{tmp_path}/templates.json"))) == {f"0aff000{i}" for i in range(8)}
+    assert n == table.count() > 8 and set(json.load(open(f"{tmp_path}/templates.json"))) == {f"10.255.0.{i}" for i in range(8)}
+    again = files.preload_templates(f"{tmp_path}/templates.json")
+    assert {s: {k: json.loads(t) for k, t in x.items()} for s, x in again.items()} == {raw.readable(bytes(r.source)): {q.key: json.loads(q.template) for q in table.collect() if q.source == r.source} for r in table.collect()}
 
 
 def test_preloaded_templates_serve(spark, tmp_path):
@@ -57,10 +60,12 @@ def test_preloaded_templates_serve(spark, tmp_path):
     path = tmp_path / "t.json"
     path.write_text(json.dumps(known))
     loaded = files.preload_templates(str(path))
-    preload = {f"2055/{k}": t for k, t in loaded["192.0.2.1"].items()}
-    feed(datagrams(spark, [message(9, [(260, b"\0\x08")])]), f"{tmp_path}/in", [F.lit(True)])
-    got = run(stateful.netflow_stream(udp.logged(spark, f"{tmp_path}/in"), preload=preload), "preloaded", f"{tmp_path}/check")
-    assert [r.bytes for r in got.collect()] == [8]
+    data, gone = message(9, [(260, b"\0\x08")]), message(9, [(0, struct.pack(">HH", 260, 0))])
+    both = datagrams(spark, [data, gone, data]).unionByName(datagrams(spark, [data], src="192.0.2.2"))
+    feed(both, f"{tmp_path}/in", [F.lit(True)])
+    got = run(stateful.netflow_stream(udp.logged(spark, f"{tmp_path}/in"), preload=loaded), "preloaded", f"{tmp_path}/check")
+    assert sorted((r.error, r.bytes) for r in got.filter("error IS NULL").collect()) == [(None, 8)]  # the other exporter has none, and a withdrawn one stays away
+    assert got.filter("error = 'template not found'").count() == 2
     path.write_text(json.dumps({"a": {"9/1/260": {"fields": []}}}))
     with pytest.raises(ValueError):
         files.preload_templates(str(path))
@@ -73,6 +78,45 @@ def test_templates_expire(spark, tmp_path):
     assert sorted(r.bytes for r in got.filter("error IS NULL").collect()) == [5, 6]
 
 
+def resumed(df, folder):
+    """What one more run of a query adds to its output."""
+    have = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/out").count() if os.path.exists(f"{folder}/out") else 0
+    q = df.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start()
+    assert q.awaitTermination(120), "the stream did not end"
+    errors = [r.error for r in df.sparkSession.read.schema(df.schema).parquet(f"{folder}/out").orderBy("time_received_ns").collect()]
+    return errors[have:]
+
+
+def put(spark, folder, k, payloads):
+    datagrams(spark, payloads).withColumn("received_ns", F.col("received_ns") + k * 10**9).coalesce(1).write.mode("append").parquet(folder)
+
+
+@pytest.mark.parametrize("extend", [False, True])
+def test_a_template_is_forgotten_unless_use_renews_it(spark, tmp_path, extend):
+    """A template is announced once, used within its time and again after it; by then only use has kept it."""
+    folder, ttl = f"{tmp_path}/in", 12
+    data = message(9, [(260, b"\0\5")])
+    for k, payloads in enumerate(([message(9, [(0, template(260, (1, 2)))]), data], [data], [data])):
+        if k:
+            time.sleep(max(0, started + k * 0.6 * ttl - time.time()))
+        put(spark, folder, k, payloads)
+        got = resumed(stateful.netflow_stream(udp.logged(spark, folder), ttl_s=ttl, extend_on_access=extend), str(tmp_path))
+        if not k:
+            started = time.time()
+        assert got == (["template not found"] if k == 2 and not extend else [None]), k
+
+
+def test_a_removed_source_starts_anew(spark, tmp_path):
+    data = message(9, [(260, b"\0\5")])
+    put(spark, f"{tmp_path}/in", 0, [message(9, [(0, template(260, (1, 2)))]), data])
+    assert resumed(stateful.netflow_stream(udp.logged(spark, f"{tmp_path}/in")), str(tmp_path)) == [None]
+    put(spark, f"{tmp_path}/in", 1, [data])
+    assert resumed(stateful.netflow_stream(udp.logged(spark, f"{tmp_path}/in")), str(tmp_path)) == [None]
+    put(spark, f"{tmp_path}/in", 2, [data, message(9, [(0, template(260, (1, 2)))]), data])
+    after = resumed(stateful.netflow_stream(udp.logged(spark, f"{tmp_path}/in"), remove=["192.0.2.1"]), str(tmp_path))
+    assert sorted(after, key=str) == [None, "template not found"]
+
+
 def test_rollup_with_watermark_and_sinks(spark, sf, tmp_path):
     f = flows(spark, sf).select("sequence_num", "sampler_address", "time_received_ns", "src_as", "dst_as", "etype", "bytes", "packets", "proto")
     middle = f.agg(F.expr("percentile(time_received_ns, 0.5)")).first()[0]
@@ -97,6 +141,19 @@ def test_rollup_with_watermark_and_sinks(spark, sf, tmp_path):
         pipelines.formatted(f, "xml")
     with pytest.raises(ValueError):
         pipelines.to_kafka(stream, "t", "c", nothing="1")
+    pipelines.register_format("ports", lambda flows, fmt, extensions: flows.select(F.lit(None).alias("key"), F.col("proto").cast("string").alias("value")))
+    assert pipelines.formatted(f, "ports").count() == f.count()
+    for again in (lambda: pipelines.register_format("json", None), lambda: pipelines.register_transport("file", None), lambda: pipelines.sent(stream, "nothing", "a", "b")):
+        with pytest.raises(ValueError):
+            again()
+
+
+def test_values_on_standard_output(spark, tmp_path, capfdbinary):
+    spark.createDataFrame([(b"ab",), (b"c",)], "value binary").coalesce(1).write.parquet(f"{tmp_path}/in")
+    rows = spark.readStream.schema("value binary").parquet(f"{tmp_path}/in")
+    for k, (separator, want) in enumerate((("\n", b"ab\nc\n"), ("", b"abc"))):
+        pipelines.sent(rows, "stdout", "", f"{tmp_path}/c{k}", separator=separator).trigger(availableNow=True).start().awaitTermination(60)
+        assert want in capfdbinary.readouterr().out
 
 
 def test_listen_addresses():
@@ -117,6 +174,8 @@ def test_receiver_logs_drops_and_drains(spark, tmp_path):
     while r.received + r.dropped < 20 and time.time() < deadline:
         time.sleep(0.05)
     assert r.received == 5 and r.dropped == 15
+    lost = metrics.dropped(r.drops(spark)).collect()
+    assert [(x.remote_ip, x.local_ip, x.local_port, x.packets, x.bytes) for x in lost] == [("127.0.0.1", "127.0.0.1", port, 15, 15)]
     assert udp.receive(r, f"file://{tmp_path}/log", 0.0) == 5
     s.sendto(b"x", ("127.0.0.1", port))
     time.sleep(0.3)

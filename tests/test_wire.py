@@ -3,12 +3,14 @@
 import ipaddress
 import struct
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from flowspark.functions import render
+from flowspark.functions.arrow import batch_of, schema_of
 from flowspark.operators import mapping, netflow, packet, sflow, v5
 from flowspark.schema import DATAGRAM_SCHEMA, FLOW_COLUMNS, empty_flow
 
@@ -132,13 +134,65 @@ def flow_of(version, export, uptime, pairs, value: str, m=MAPPING):
     c = netflow.Context(version, export, uptime)
     values = next(netflow.records(bytes.fromhex(value), f))
     slow = netflow.one_flow(c, f, values, m)
-    fast = netflow.set_columns(c, f, bytes.fromhex(value), m)
-    if fast is not None:
-        row = fast.iloc[0].to_dict()
-        assert {k: row[k] for k in slow} == slow
+    assert all_at_once(c, f, [bytes.fromhex(value)] * 2, m) == [slow, slow]
     return slow
 
 
+def all_at_once(c, f, bodies, m=MAPPING) -> list[dict]:
+    """The columns of all sets of a template as dictionaries."""
+    many = lambda x: np.full(len(bodies), x, np.int64)
+    owner, out = netflow.template_columns(c.version, f, bodies, many(c.export_s), many(c.uptime_ms), m)
+    return batch_of(out, len(owner), schema_of(m.schema())).to_pylist()
+
+
+KINDS = [*netflow.NUMBERS, *netflow.ADDRESSES, *netflow.HOPS, *netflow.TIMES, 60, 32, 139, 58, 197, 70, 71, 72, 47, 140, 21, 22, 312, 999]
+CUSTOM = mapping.compile_mapping({
+    "formatter": {"protobuf": [{"name": "app", "index": 2001, "type": "string"}, {"name": "number", "index": 2002, "type": "varint"}]},
+    "ipfix": {"mapping": [{"field": 96, "destination": "app"}, {"field": 4, "destination": "number", "endian": "little"}, {"penprovided": True, "pen": 9, "field": 1, "destination": "SamplingRate"}]},
+    "netflowv9": {"mapping": [{"field": 999, "destination": "number", "endian": "little"}]},
+})
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.sampled_from([9, 10]), st.lists(st.tuples(st.booleans(), st.sampled_from([*KINDS, 96, 1]), st.sampled_from([1, 2, 3, 4, 8, 16, netflow.VARIABLE])), min_size=1, max_size=6), st.lists(st.binary(max_size=60), min_size=1, max_size=4))
+def test_all_sets_of_a_template_at_once_equal_record_by_record(version, kinds, bodies):
+    f = [(pen, k, n, 9 if pen else 0) for pen, k, n in kinds]
+    c = netflow.Context(version, 1_700_000_000, 5000)
+    try:
+        slow = [netflow.one_flow(c, f, v, CUSTOM) for b in bodies for v in netflow.records(b, f)]
+    except ValueError:
+        with pytest.raises(ValueError):
+            all_at_once(c, f, bodies, CUSTOM)
+        return
+    if any(x > 2**63 - 1 for row in slow for x in row.values() if isinstance(x, int)) or any(x > 2**63 - 1 for row in slow for x in row["mpls_label"]):
+        return  # a value that the record-wise way would refuse to store
+    try:
+        fast = all_at_once(c, f, bodies, CUSTOM)
+    except ValueError:  # a wide number in a set without records
+        assert any(n > 8 for _, _, n in kinds)
+        return
+    assert fast == slow
+
+
+def test_flows_of_faulty_and_sampled_header_sets(spark):
+    frame = eth(0x800) + ipv4(6) + bytes(20)
+    header = struct.pack(">HHHH", 300, 1, 315, len(frame))
+    wide = struct.pack(">HHHH", 301, 1, 1, 9)
+    d = datagrams(spark, [message(10, [(2, header + wide), (300, frame * 2), (301, bytes(9)), (300, frame)])])
+    rows = netflow.flows(d).collect()
+    assert sorted((r.error is None, r.packets, r.bytes, r.sequence_num) for r in rows) == [(False, 0, 0, 7)] + [(True, 1, len(frame), 7)] * 3
+    assert all(bytes(r.src_addr) == ip("10.0.0.1") and bytes(r.sampler_address) == ip("192.0.2.1") for r in rows if r.error is None)
+
+
+def test_repeated_templates_make_one_interval(spark):
+    t = message(9, [(0, template(260, (1, 2)))])
+    d = datagrams(spark, [t] * 50).withColumn("received_ns", F.col("seq") * 10**10)
+    other = datagrams(spark, [message(9, [(0, template(260, (2, 2)))])]).withColumn("received_ns", F.lit(255 * 10**9))
+    rows = netflow.sets(d.unionByName(other)).withColumn("template", F.struct("kind", "scopes", "fields"))
+    got = netflow.intervals(rows, netflow.TEMPLATE_KEY, ["received_ns", "seq", "set_idx"], "template").orderBy("since").collect()
+    assert [(r.since.received_ns, r.until and r.until.received_ns) for r in got] == [(0, 255 * 10**9), (255 * 10**9, 260 * 10**9), (260 * 10**9, None)]
+
+
 def test_normalisation_goldens():
     assert flow_of(9, 1704067200, 2000, [(22, 4)], "000003e8")["time_flow_start_ns"] == 1704067199 * 10**9
     f = flow_of(9, 1705732882, 218432000, [(22, 4), (21, 4), (70, 3), (71, 3), (72, 3)], f"{218432176:08x}{218432192:08x}05de9433c1850be235")
