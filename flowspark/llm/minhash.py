@@ -57,7 +57,7 @@ CENTRES = 64  # drawn in larger buckets, four times as many each round
 AGREEING = 84  # of the 128 signature values, by two bits each
 SKETCH = "doc_id long, nameless boolean, n_shingles long, hi long, lo long, bands array<long>, bits array<long>"
 REMEMBERED = 200_000  # word hashes of a worker
-SALTS = 32  # parts of the rows of one centre
+FEW, SALTS = 100_000, 32  # centres that may be broadcast; beyond, the parts that the rows of one centre are dealt to
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -181,8 +181,12 @@ def bounds(star: DataFrame) -> DataFrame:
     has too.  Only centres to which some member is not linked are looked at.
     Differences from a centre are counted, not sets, each shingle by itself.
     """
-    mixed = star.filter("NOT linked").select("b").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    some = star.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")).join(mixed, ["b", "salt"], "left_semi")
+    mixed = materialize(star.filter("NOT linked").select("b").distinct(), "mixed")
+    if mixed.count() <= FEW:
+        some = star.join(F.broadcast(mixed), "b", "left_semi")
+    else:
+        mixed = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        some = star.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")).join(mixed.hint("merge"), ["b", "salt"], "left_semi")
     alone = some.select("a", "b", F.explode("extra").alias("s")).groupBy("b", "s").agg(F.count("*").alias("k"), F.min("a").alias("a")).filter("k = 1")
     own = alone.groupBy("a", "b").agg(F.count("*").alias("own"))
     told = some.groupBy("a", "b").agg(F.max(F.struct("common", F.size("extra").alias("beyond"), *[F.col("lacks")[i].alias(f"r{i}") for i in range(4)])).alias("t"), F.count("*").alias("rows"))

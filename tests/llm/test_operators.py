@@ -115,6 +115,7 @@ def test_large_buckets_are_looked_at_by_drawn_centres(spark, monkeypatch):
     monkeypatch.setattr(minhash, "SMALL_BUCKET", 4)
     monkeypatch.setattr(minhash, "CENTRES", 2)
     monkeypatch.setattr(minhash, "SALTS", 3)
+    monkeypatch.setattr(minhash, "FEW", 0)
     base, rows = fx.prose(40, 60).split(), []
     for k in range(60):
         t = base[:]
