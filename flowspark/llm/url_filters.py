@@ -2,8 +2,8 @@
 
 A canonical URL is "." + host + separator + path, the host in small ASCII
 letters.  A rule (host, path) becomes the glob ``*.host`` separator ``path*``,
-so it fits the host and all its subdomains; of the rules that fit, the longest
-wins.  URLs that no rule fits get the verdict of the block globs: block if one
+so it fits the host and all its subdomains; a star or question mark of a rule is
+an ordinary character.  Of the rules that fit, the longest wins.  URLs that no rule fits get the verdict of the block globs: block if one
 matches, else allow.
 
 Every glob's states are bits of a few 64-bit words: one bit for each symbol
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from .common import bound_batches, id_back, id_text
 
 SEPARATOR = b"\x01"
+MANY, ONE = 256, 257  # symbols of a glob beyond the bytes: any run, any one byte
 
 #: Rules (verdict, host, path) of the registered query.
 RULES = (
@@ -53,7 +54,7 @@ BLOCK_GLOBS = (
 
 @dataclass(frozen=True)
 class Automaton:
-    """Globs over bytes: ``*`` any run, ``?`` any one byte; a glob matches a whole string."""
+    """Globs over bytes, as symbols(); a glob matches a whole string."""
 
     table: np.ndarray  # (256, words): the states that a byte may enter
     loop: np.ndarray
@@ -61,17 +62,17 @@ class Automaton:
     accept: tuple[tuple[int, int], ...]  # of each glob: word, bit
 
     @classmethod
-    def build(cls, globs: Sequence[bytes]) -> Automaton:
+    def build(cls, globs: Sequence[Sequence[int]]) -> Automaton:
         enter: list[tuple[int, int | None]] = []
         loops, starts, ends, at = [], [], [], 0
         for glob in globs:
             starts.append(at)
-            for byte in glob:
-                if byte == ord("*"):
+            for symbol in glob:
+                if symbol == MANY:
                     loops.append(at)
                 else:
                     at += 1
-                    enter.append((at, None if byte == ord("?") else byte))
+                    enter.append((at, None if symbol == ONE else symbol))
             ends.append(at)
             at += 1
         words = -(-max(at, 1) // 64)
@@ -107,6 +108,11 @@ class Automaton:
         return out
 
 
+def symbols(glob: bytes) -> list[int]:
+    """A glob's symbols: ``*`` is any run, ``?`` any one byte."""
+    return [{42: MANY, 63: ONE}.get(b, b) for b in glob]
+
+
 _SMALL = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -128,8 +134,8 @@ def canonical(host: bytes, path: bytes) -> bytes:
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, block_globs: Sequence[tuple[str, str]] = BLOCK_GLOBS) -> DataFrame:
     """page_id, host, path, rule, verdict of every row of pages."""
     ranked = sorted(rules, key=lambda r: (len(r[1]) + len(r[2]), r), reverse=True)  # the first that fits is the longest
-    globs = [b"*." + h.lower().encode() + SEPARATOR + p.encode() + b"*" for _, h, p in ranked]
-    globs += [h.encode() + SEPARATOR + p.encode() for h, p in block_globs]
+    globs = [[MANY, *canonical(h.encode().translate(_SMALL), p.encode()), MANY] for _, h, p in ranked]  # a rule's stars and question marks are themselves
+    globs += [symbols(h.encode() + SEPARATOR + p.encode()) for h, p in block_globs]
     automaton, n = Automaton.build(globs), len(ranked)
     names = np.array([h + p for _, h, p in ranked] + [None], object)
     verdicts = np.array([v for v, _, _ in ranked] + [None], object)
