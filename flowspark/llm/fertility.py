@@ -233,3 +233,16 @@ def keep_good(docs: DataFrame, path: str | None = None, bands: dict[str, Band] =
     bound_batches(docs.sparkSession)
     m = fresh(docs, "_measured")
     return docs.withColumn(m, verdict_udf(path, bands)("text", "lang")).filter(F.col(f"{m}.kept")).drop(m)
+
+
+def oracle_sql() -> str:
+    """The word and line counts in DuckDB's SQL, for ids that are unique."""
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[ \t\n\x0b\x0c\r]+'), lambda x: x <> '') AS ws,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0b\x0c\r]')) AS worded FROM t),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS k FROM (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, ws[i : i + 2] AS gram FROM w)),
+r AS (SELECT doc_id, count(DISTINCT i + d) AS n_repeat_words FROM g, (VALUES (0), (1), (2)) v(d) WHERE k > 1 GROUP BY 1),
+m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(worded) - len(list_distinct(worded)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN r USING (doc_id))
+SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words AS base_failed FROM m"""

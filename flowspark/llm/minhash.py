@@ -306,3 +306,20 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     if rows != ids:
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(unnamed).select(*docs.columns)
+
+
+def oracle_sql(width: int = 4, percent: int = 80) -> str:
+    """classes() in DuckDB's SQL, for ids that are unique and not null: all pairs that share a shingle, and the transitive closure of the links."""
+    return f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\x0c\r]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {width} THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(ws) - {width} + 2), lambda i: array_to_string(ws[i : i + {width - 1}], ' '))) END AS shingles FROM w),
+n AS (SELECT doc_id, len(shingles) AS n_shingles FROM s),
+e AS (SELECT doc_id, unnest(shingles) AS shingle FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * common >= {percent} * (a.n_shingles + b.n_shingles - common)),
+both_ways AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reached AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, b.y FROM reached r JOIN both_ways b ON r.y = b.x),
+c AS (SELECT x AS doc_id, min(y) AS component_id FROM reached GROUP BY 1)
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c USING (doc_id)"""

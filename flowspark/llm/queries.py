@@ -55,6 +55,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.train(docs))
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op5 that SQL can express, from the same operator."""
+    return op5_fertility_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -68,7 +73,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_best_fit_packing,
         op9_rans_token_files,
         op10_language_id,
+        quality_base,
     )
 }
 
-ORACLES: dict[str, str] = {"op1_url_filters": url_filters.oracle_sql()}
+ORACLES: dict[str, str] = {"op1_url_filters": url_filters.oracle_sql(), "op2_minhash_near_duplicates": minhash.oracle_sql(), "quality_base": fertility.oracle_sql()}

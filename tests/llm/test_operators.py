@@ -38,10 +38,16 @@ def test_automaton_agrees_with_recursion():
     rng = np.random.default_rng(3)
     globs = [bytes(rng.choice(list(b"ab*?"), rng.integers(0, 9)).tolist()) for _ in range(60)] + [b"a" * 130 + b"*", b"*"]
     texts = [bytes(rng.choice(list(b"abc"), rng.integers(0, 9)).tolist()) for _ in range(80)] + [b"", b"a" * 131]
-    got = url_filters.Automaton.build(globs).match(texts)
+    got = url_filters.Automaton.build([url_filters.symbols(g) for g in globs]).match(texts)
     assert got.tolist() == [[glob_matches(g, t) for g in globs] for t in texts]
 
 
+def test_stars_of_rules_are_characters(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/x*y"), (2, "http://a.com/xzy"), (3, "http://b.com/q%3Fr"), (4, "http://a.com/xy")], "page_id long, url string")
+    got = {r.page_id: r.rule for r in url_filters.judge(pages, [("block", "A.com", "/x*"), ("block", "b.com", "/q?"), ("allow", "com", "/xy")], []).collect()}
+    assert got == {1: "A.com/x*", 2: None, 3: None, 4: "com/xy"}
+
+
 def test_urls(spark):
     urls = {
         "https://WWW.Example.com/en/1?x#y": ("www.example.com", "/en/1", "www.example.com/en/", "allow"), "http://a.example.com/en/": ("a.example.com", "/en/", "example.com/en/", "block"),

@@ -83,10 +83,11 @@ def test_registered():
     assert [n for n, _ in corpus_pipeline.STAGES][-1] == "best-fit packing" and "op1_url_filters" in e.oracle_sql()
 
 
-def test_url_filters_against_sql(spark):
+@pytest.mark.parametrize("name", ["op1_url_filters", "op2_minhash_near_duplicates", "quality_base"])
+def test_operators_against_sql(spark, name):
     import compare
 
     from flowspark.llm import queries
 
     con = compare.tables("/root/testdata/sf0.01")
-    compare.assert_same(queries.op1_url_filters(spark, "/root/testdata/sf0.01"), con, queries.ORACLES["op1_url_filters"])
+    compare.assert_same(queries.QUERIES[name](spark, "/root/testdata/sf0.01"), con, queries.ORACLES[name])
