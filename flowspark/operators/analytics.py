@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import render
@@ -91,3 +93,22 @@ def sum_maps(rows: DataFrame, keys: list[str], column: str = "etype_map") -> Dat
     e = rows.select(*keys, F.explode(column).alias("e")).groupBy(*keys, F.col("e.etype").alias("etype"))
     e = e.agg(*[F.sum(f"e.{c}").alias(c) for c in ("bytes", "packets", "count")])
     return e.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("etype", "bytes", "packets", "count"))).alias(column))
+
+
+def previous(rows: DataFrame, keys: Sequence[str], ns: str, order: Sequence[str], value: str, out: str, seconds: int = 60) -> DataFrame:
+    """rows with out: the value of the key's row before, by ns and order; null for the first.
+
+    A key may hold a third of all rows, so no window spans a key's rows: they
+    are ordered within a stretch of time, and only the last row of each stretch
+    is handed on to the first of the key's next one.
+    """
+    slot = floor_div(F.col(ns), seconds * 10**9)
+    within = Window.partitionBy(*keys, "_slot").orderBy(ns, *order)
+    marked = rows.withColumn("_slot", slot).withColumn("_first", F.row_number().over(within) == 1).withColumn(out, F.lag(value).over(within))
+    last = marked.groupBy(*keys, "_slot").agg(F.max_by(value, F.struct(ns, *order)).alias("_last"))
+    handed = last.withColumn("_handed", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_slot"))).drop("_last")
+    names = [*keys, "_slot"]
+    handed = handed.select(*[F.col(k).alias(f"_of_{k}") for k in names], "_handed")
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in names]
+    joined = marked.join(handed, same).drop(*[f"_of_{k}" for k in names])
+    return joined.withColumn(out, F.when(F.col("_first"), F.col("_handed")).otherwise(F.col(out))).drop("_slot", "_first", "_handed")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import render
 from ..functions.values import floor_div
 from . import netflow
+from .analytics import previous
 
 #: The metrics, their labels and kinds.
 METRICS = {
@@ -167,5 +168,4 @@ def dropped(drops: DataFrame) -> DataFrame:
 
 def sequence_gaps(datagrams: DataFrame, keys: Sequence[str], sequence: str) -> DataFrame:
     """Sequence numbers missing before each row, within a key."""
-    w = Window.partitionBy(*keys).orderBy("received_ns", sequence)
-    return datagrams.withColumn("gap", F.col(sequence) - F.lag(sequence).over(w) - 1)
+    return previous(datagrams, keys, "received_ns", [sequence], sequence, "_before").withColumn("gap", F.col(sequence) - F.col("_before") - 1).drop("_before")

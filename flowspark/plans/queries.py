@@ -320,8 +320,8 @@ def rank_talkers(spark, sf_dir):
 
 @query(WITH + "SELECT event_id, sequence_num - lag(sequence_num) OVER (PARTITION BY src_as ORDER BY time_received_ns, event_id) AS gap FROM flows")
 def seq_gap_lag(spark, sf_dir):
-    w = Window.partitionBy("src_as").orderBy("time_received_ns", "event_id")
-    return flows(spark, sf_dir).select("event_id", (F.col("sequence_num") - F.lag("sequence_num").over(w)).alias("gap"))
+    f = analytics.previous(flows(spark, sf_dir), ["src_as"], "time_received_ns", ["event_id"], "sequence_num", "before", 3600)
+    return f.select("event_id", (F.col("sequence_num") - F.col("before")).alias("gap"))
 
 
 @query(

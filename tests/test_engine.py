@@ -93,3 +93,13 @@ def test_delay_templates_and_gaps(spark):
     many = spark.range(1000).select(F.lit("x").alias("k"), (F.col("id") * 10**7).alias("received_ns")).unionByName(spark.createDataFrame([("x", 0)] * 30, "k string, received_ns long"))
     shown, counts = metrics.muted(many, ["k"], most=4)
     assert [r.received_ns for r in shown.orderBy("received_ns").collect()] == [0] * 4 and counts.first().skipped == 1026
+
+
+def test_written_tables_are_cleared(spark):
+    from flowspark import scratch
+
+    t = scratch.written(spark.range(5).toDF("x"), "numbers")
+    assert t.count() == 5
+    scratch.clear(spark)
+    with pytest.raises(Exception, match="(?i)not exist|not found"):
+        spark.read.parquet(t.inputFiles()[0])
