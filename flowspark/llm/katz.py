@@ -1,8 +1,9 @@
-"""Katz backoff language model: bigrams that back off to unigrams.
+"""Katz backoff language model: n-grams of `order` words that back off, order by order, to unigrams.
 
-P(w | h) is the Good-Turing discounted relative frequency of a seen bigram, else
-alpha(h) * P(w); alpha(h) is the mass that h's seen bigrams leave over the mass
-that their unigrams leave, so the probabilities after every history sum to one.
+P(w | h) is the Good-Turing discounted relative frequency of a seen n-gram, else
+alpha(h) * P(w | h'), h' being h without its first word; alpha(h) is the mass that
+h's seen n-grams leave over the mass that the order below gives their words, so
+the probabilities after every history sum to one.
 P(w) is the discounted relative frequency of a seen word; what it leaves belongs
 to one unknown word.  Counts up to K are discounted by Katz's ratio; where the
 counts of counts give no ratio within (0, 1), a count loses one half.  Where
@@ -23,6 +24,11 @@ buckets of bounded size, each local word or bigram once a chunk:
    over buckets and sent to all if it is of at most `most_frequent` histories (64
    bytes each), else joined to the chunks that ask for it.
 
+A chunk sends a row to each bucket, so rows grow as chunks times buckets.  Where
+that would be more than ROWS_A_CHUNK buckets, pairs are rows of their own instead,
+counted and joined by Spark: dearer by a constant, but in proportion to the
+tokens however many there are.  Both ways give the same counts.
+
 Every bucket counts all of its rows: nothing is pruned, sampled or capped.
 
 Defined results: a null text is an empty one, which is its end token; a null id
@@ -47,9 +53,10 @@ from pyspark.sql import functions as F
 from .common import ascii_words, bound_batches, crc_of_id, discard, id_text, materialize, mix64, release
 from .tokenization import Memo
 
-K = 5
+K, ORDER = 5, 2
 CHUNK = 750_000  # tokens
 MOST_FREQUENT = 50_000  # histories whose sums are sent to every task
+ROWS_A_CHUNK = 10_000  # buckets that chunks put their questions to, at most
 WORDS_PER_BUCKET, PAIRS_PER_BUCKET = 1_000_000, 1_000_000
 END_HASH, RESERVED = 0, 2  # the end token's hash; numbers below RESERVED are no words
 START, OTHER = 0, 1  # numbers of the start mark and of every word unknown in training
@@ -306,10 +313,10 @@ def chunk_arrays(r, kind: str) -> tuple[np.ndarray, ...]:
     return spread_out(r.numbers, "<u4").astype(np.int64), spread_out(r.lengths, "<i8"), spread_out(r.held, "u1").astype(bool), counts, known
 
 
-def scores(docs: DataFrame, held_out: int = 2, of: int = 7, chunk: int = CHUNK, most_frequent: int = MOST_FREQUENT) -> DataFrame:
+def scores(docs: DataFrame, held_out: int = 2, of: int = 7, order: int = ORDER, chunk: int = CHUNK, most_frequent: int = MOST_FREQUENT, rows_a_chunk: int = ROWS_A_CHUNK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text).
 
-    Learns from the rows whose id's crc32 modulo `of` is not held_out.
+    Learns from the rows whose id's crc32 modulo `of` is not held_out.  order: words of the longest n-grams.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -327,6 +334,9 @@ def scores(docs: DataFrame, held_out: int = 2, of: int = 7, chunk: int = CHUNK,
     release(spark)
     starts = docs.filter(crc_of_id() % of != held_out).count()
     buckets = max(1, -(-tokens // PAIRS_PER_BUCKET))
+    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    if order != 2 or buckets > rows_a_chunk:
+        return by_rows(state, unigrams, kind, order, out)
     bigrams = materialize(ask_bigrams(state.drop("ids", "nulls"), unigrams, starts, buckets, kind), "katz-bigrams")
     release(spark)
     ratio = discounts([x or 0 for x in bigrams.filter(F.col("seen").isNotNull()).agg(*[F.sum(F.col("seen")[i]) for i in range(K + 1)]).first()])
@@ -343,11 +353,10 @@ def scores(docs: DataFrame, held_out: int = 2, of: int = 7, chunk: int = CHUNK,
         state = state.join(mine, "chunk", "left")
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shrink = np.append(1.0, ratio)
         for b in batches:
             for r in b.itertuples(index=False):
-                numbers, lengths, held, counts, known = chunk_arrays(r, kind)
-                p, name, count, often = pairs_of(numbers, lengths, held, counts, known, starts, unigrams.tokens, buckets)
+                arrays = chunk_arrays(r, kind)
+                p, name, count, often = pairs_of(*arrays, starts, unigrams.tokens, buckets)
                 c = np.zeros(len(p.history), np.int64)
                 stats = np.zeros((len(count), K + 2))
                 for x in r.told if r.told is not None else ():
@@ -361,28 +370,144 @@ def scores(docs: DataFrame, held_out: int = 2, of: int = 7, chunk: int = CHUNK,
                 sums = frequent if r.hot is None else {x["history"]: np.array(x["stats"]) for x in r.hot}
                 for i in np.flatnonzero(often):
                     stats[i] = sums.get(int(name[i]), 0)
-                used = stats[:, :K] @ (ratio * np.arange(1, K + 1)) + stats[:, K]
-                rare = stats[:, :K].any(1)
-                scale = np.where(rare, 1.0, count / (count + 1.0))  # a history without a rare bigram sets one count aside
-                left = 1 - scale * used / np.maximum(1, count)
-                rest = 1 - stats[:, K + 1]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    alpha = np.where((count > 0) & (stats.sum(1) > 0), np.log10(left / rest), 0.0)
-                    uni = np.log10(unigrams.p(counts))
-                    direct = np.log10(scale[p.history] * shrink[np.where(c <= K, c, 0)] * c / np.maximum(1, count[p.history]))
-                pair = np.where(c > 0, direct, alpha[p.history] + uni[p.word])
-                each = np.where(p.number >= 0, pair[p.number] if len(pair) else 0.0, uni[numbers])
-                starts_at = np.cumsum(lengths) - lengths
-                ids, nulls = spread_out(r.ids, "<i8"), spread_out(r.nulls, "u1").astype(bool)
-                yield pd.DataFrame({
-                    "doc_id": pd.array(np.where(nulls, 0, ids), "Int64").copy() if not nulls.any() else pd.array([None if z else int(i) for i, z in zip(ids, nulls, strict=True)], "Int64"),
-                    "held_out": held,
-                    "n_tokens": lengths,
-                    "n_known": np.add.reduceat((counts[numbers] > 0).astype(np.int64), starts_at),
-                    "train_tokens": unigrams.tokens,
-                    "base_score": np.add.reduceat(unigrams.base(counts)[numbers], starts_at),
-                    "score": np.add.reduceat(each, starts_at),
-                })
+                yield scored(r, arrays, p, count, c, stats, unigrams, ratio)
 
-    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return state.mapInPandas(finish, out)
+
+
+def scored(r, arrays: tuple[np.ndarray, ...], p: Pairs, count: np.ndarray, c: np.ndarray, stats: np.ndarray, unigrams: Unigrams, ratio: np.ndarray) -> pd.DataFrame:
+    """A chunk's documents.  count: of each word as a history; c: of each pair; stats: of each history's seen pairs."""
+    numbers, _, _, counts, _ = arrays
+    shrink = np.append(1.0, ratio)
+    used = stats[:, :K] @ (ratio * np.arange(1, K + 1)) + stats[:, K]
+    rare = stats[:, :K].any(1)
+    scale = np.where(rare, 1.0, count / (count + 1.0))  # a history without a rare bigram sets one count aside
+    left = 1 - scale * used / np.maximum(1, count)
+    rest = 1 - stats[:, K + 1]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        alpha = np.where((count > 0) & (stats.sum(1) > 0), np.log10(left / rest), 0.0)
+        uni = np.log10(unigrams.p(counts))
+        direct = np.log10(scale[p.history] * shrink[np.where(c <= K, c, 0)] * c / np.maximum(1, count[p.history]))
+    pair = np.where(c > 0, direct, alpha[p.history] + uni[p.word])
+    return by_document(r, arrays, np.where(p.number >= 0, pair[p.number] if len(pair) else 0.0, uni[numbers]), unigrams)
+
+
+def by_document(r, arrays: tuple[np.ndarray, ...], each: np.ndarray, unigrams: Unigrams) -> pd.DataFrame:
+    """A chunk's documents from the log probability of each token."""
+    numbers, lengths, held, counts, _ = arrays
+    at = np.cumsum(lengths) - lengths
+    ids, nulls = spread_out(r.ids, "<i8"), spread_out(r.nulls, "u1").astype(bool)
+    return pd.DataFrame({
+        "doc_id": pd.array(ids, "Int64").copy() if not nulls.any() else pd.array([None if z else int(i) for i, z in zip(ids, nulls, strict=True)], "Int64"),
+        "held_out": held,
+        "n_tokens": lengths,
+        "n_known": np.add.reduceat((counts[numbers] > 0).astype(np.int64), at),
+        "train_tokens": unigrams.tokens,
+        "base_score": np.add.reduceat(unigrams.base(counts)[numbers], at),
+        "score": np.add.reduceat(each, at),
+    })
+
+
+@dataclass
+class Grams:
+    """The distinct (history, word) of a chunk at one order whose history is known, sorted."""
+
+    history: np.ndarray
+    word: np.ndarray
+    number: np.ndarray  # of each token: its gram, or -1
+    train: np.ndarray  # count in the chunk's training documents
+    first: np.ndarray  # a token of each
+    owner: np.ndarray  # the place of each gram's history among the distinct ones
+    heads: np.ndarray  # where each distinct history begins
+
+
+def grams_of(arrays: tuple[np.ndarray, ...], kind: str, order: int) -> Grams:
+    """Histories are the order - 1 tokens before, the start mark among them; one word is its number, two are packed, more are hashed."""
+    numbers, lengths, held, counts, known = arrays
+    ids, seen = known[numbers].astype(np.uint64), counts[numbers] > 0
+    place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    usable, history = place >= order - 2, np.zeros(len(ids), np.uint64)
+    for back in range(order - 1, 0, -1):
+        before, there = np.full(len(ids), START, np.uint64), np.zeros(len(ids), bool)
+        before[back:], there[back:] = ids[:-back], seen[:-back]
+        start = place == back - 1
+        before[start] = START
+        usable &= there | start
+        if order <= 3 and kind == "<u4":
+            history = history << np.uint64(32) | before
+        else:
+            history = before if order == 2 else mix64(history * np.uint64(0x9E3779B97F4A7C15) + mix64(before + np.uint64(back)))
+    at = np.flatnonzero(usable)
+    ranked = at[np.lexsort((ids[at], history[at]))]
+    h, w = history[ranked], ids[ranked]
+    new = np.append(True, (h[1:] != h[:-1]) | (w[1:] != w[:-1]))[: len(h)]
+    number = np.full(len(ids), -1, np.int64)
+    number[ranked] = np.cumsum(new) - 1
+    train = np.bincount(number[ranked], ~np.repeat(held, lengths)[ranked], int(new.sum())).astype(np.int64)
+    first = ranked[new]
+    h, w = h[new], w[new]
+    heads = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+    return Grams(h, w, number, train, first, np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(h)))), heads)
+
+
+def lower_order(r, arrays: tuple[np.ndarray, ...], unigrams: Unigrams) -> np.ndarray:
+    """The log probability of each token by the order before."""
+    return np.log10(unigrams.p(arrays[3]))[arrays[0]] if r.p is None else spread_out(r.p, "<f8")
+
+
+def by_rows(state: DataFrame, unigrams: Unigrams, kind: str, order: int, out: str) -> DataFrame:
+    """The scores, with a row for each n-gram of a chunk: counted by grouping, answered by joins that the planner can split.
+
+    Order by order, each backing off to the one before: a seen n-gram has its
+    discounted relative frequency, another its history's backoff weight times the
+    probability that the order before gives its word.
+    """
+    state = state.withColumn("p", F.lit(None).cast("binary"))
+    columns = state.schema
+    for n in range(2, order + 1):
+
+        def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:  # noqa: B023  runs before the next n
+            for b in batches:
+                for r in b.itertuples(index=False):
+                    arrays = chunk_arrays(r, kind)
+                    g, lower = grams_of(arrays, kind, n), lower_order(r, arrays, unigrams)
+                    head = np.zeros(len(g.history), bool)
+                    head[g.heads] = True
+                    for a in range(0, len(g.history), 100_000):
+                        some = slice(a, a + 100_000)
+                        history, word = g.history[some].view(np.int64), g.word[some].view(np.int64)
+                        yield pd.DataFrame({"chunk": r.chunk, "place": np.arange(a, a + len(word)), "head": head[some], "history": history, "word": word, "train": g.train[some], "lower": 10 ** lower[g.first[some]]})
+
+        asked = materialize(state.drop("ids", "nulls").mapInPandas(ask, "chunk long, place long, head boolean, history long, word long, train long, lower double"), "katz-grams")
+        counted = materialize(asked.groupBy("history", "word").agg(F.sum("train").alias("c"), F.max("lower").alias("lower")).filter("c > 0"), "katz-counts")
+        of_counts = {r["c"]: r["n"] for r in counted.filter(F.col("c") <= K + 1).groupBy("c").agg(F.count("*").alias("n")).collect()}  # at most K + 1 rows
+        ratio = discounts([of_counts.get(k, 0) for k in range(1, K + 2)])
+        sums = [F.count_if(F.col("c") == k).cast("double") for k in range(1, K + 1)] + [F.coalesce(F.sum(F.when(F.col("c") > K, F.col("c"))), F.lit(0)).cast("double"), F.sum("lower")]
+        stats = counted.groupBy("history").agg(F.array(*sums).alias("stats"))
+        grams = asked.join(counted.select("history", "word", "c"), ["history", "word"]).select("chunk", "place", "c", F.lit(None).cast("array<double>").alias("stats"))
+        heads = asked.filter("head").join(stats, "history").select("chunk", "place", F.lit(None).cast("long").alias("c"), "stats")
+
+        def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:  # noqa: B023  runs before the next n
+            (r,) = left.itertuples(index=False)
+            arrays = chunk_arrays(r, kind)
+            g, each = grams_of(arrays, kind, n), lower_order(r, arrays, unigrams).copy()
+            c, seen = np.zeros(len(g.history), np.int64), np.zeros((len(g.heads), K + 2))
+            told, place = right["stats"].notna().to_numpy(), right["place"].to_numpy()
+            c[place[~told]] = right["c"].to_numpy()[~told].astype(np.int64)
+            if told.any():
+                seen[g.owner[place[told]]] = np.stack(right["stats"].to_numpy()[told])
+            total = seen[:, :K] @ np.arange(1, K + 1) + seen[:, K]
+            scale = np.where(seen[:, :K].any(1), 1.0, total / (total + 1.0))  # a history without a rare n-gram sets one count aside
+            used = scale * (seen[:, :K] @ (ratio * np.arange(1, K + 1)) + seen[:, K]) / np.maximum(1, total)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                alpha = np.where(total > 0, np.log10((1 - used) / (1 - seen[:, K + 1])), 0.0)
+                direct = np.log10((scale / np.maximum(1, total))[g.owner] * np.append(1.0, ratio)[np.where(c <= K, c, 0)] * c)
+            gram = np.where(c > 0, direct, alpha[g.owner] + each[g.first])
+            each = np.where(g.number >= 0, gram[g.number] if len(gram) else 0.0, each)
+            return by_document(r, arrays, each, unigrams) if n == order else left.assign(p=[squeeze(each, "<f8")])
+
+        both = state.groupBy("chunk").cogroup(grams.unionByName(heads).groupBy("chunk"))
+        if n == order:
+            return both.applyInPandas(finish, out)
+        state = materialize(both.applyInPandas(finish, columns), "katz-state")
+    return state.mapInPandas(lambda batches: (by_document(r, arrays, lower_order(r, arrays, unigrams), unigrams) for b in batches for r in b.itertuples(index=False) for arrays in [chunk_arrays(r, kind)]), out)

@@ -486,13 +486,75 @@ def test_katz(docs, spark, monkeypatch, chunk):
     want, p, vocabulary = brute_katz([r.text for r in rows], held)
     for h in ("start", b"one", b"word", b"never seen"):
         assert sum(p(h, w) for w in vocabulary) + p(h, b"unknown!") == pytest.approx(1)
-    got = katz.scores(docs, chunk=chunk, most_frequent=0 if chunk == 400 else katz.MOST_FREQUENT).collect()
     key = lambda x: (repr(x[0]), x[1])
-    got = sorted([(r.doc_id, r.n_tokens, r.held_out, r.n_known, r.train_tokens, r.base_score, r.score) for r in got], key=key)
     want = sorted([(r.doc_id, w[0], h, *w[1:]) for r, h, w in zip(rows, held, want, strict=True)], key=key)
-    assert [g[:5] for g in got] == [w[:5] for w in want]
-    for g, w in zip(got, want, strict=True):
-        assert g[5:] == pytest.approx(w[5:], rel=1e-9)
+    for most, rows_a_chunk in ((katz.MOST_FREQUENT, katz.ROWS_A_CHUNK), (0, katz.ROWS_A_CHUNK), (0, 0)):
+        got = katz.scores(docs, chunk=chunk, most_frequent=most, rows_a_chunk=rows_a_chunk).collect()
+        got = sorted([(r.doc_id, r.n_tokens, r.held_out, r.n_known, r.train_tokens, r.base_score, r.score) for r in got], key=key)
+        assert [g[:5] for g in got] == [w[:5] for w in want]
+        for g, w in zip(got, want, strict=True):
+            assert g[5:] == pytest.approx(w[5:], rel=1e-9)
+
+
+def brute_katz_of_order(rows, held, order):
+    """Log probabilities by plain recursion over n-grams."""
+    end, start = None, 0
+    train = [[start, *words(t), end] for t, h in zip(rows, held, strict=True) if not h]
+    tables = {}
+    for n in range(1, order + 1):
+        c = collections.Counter(tuple(t[i - n + 1 : i + 1]) for t in train for i in range(max(1, n - 1), len(t)))
+        after = collections.defaultdict(dict)
+        for g, k in c.items():
+            after[g[:-1]][g[-1]] = k
+        tables[n] = after, katz.discounts([sum(v == r for v in c.values()) for r in range(1, katz.K + 2)])
+    memo = {}
+
+    def p(h, w):
+        if (h, w) in memo:
+            return memo[h, w]
+        after, d = tables[len(h) + 1]
+        seen = after.get(h, {})
+        total = sum(seen.values())
+        lower = lambda x: p(h[1:], x) if h else 1.0
+        if not total:
+            return lower(w) if h else 1.0
+        scale = 1.0 if any(k <= katz.K for k in seen.values()) else total / (total + 1)
+        shrunk = {x: scale * (d[k - 1] if k <= katz.K else 1.0) * k / total for x, k in seen.items()}
+        if w in seen:
+            out = shrunk[w]
+        elif not h:
+            out = 1 - sum(shrunk.values())
+        else:
+            out = (1 - sum(shrunk.values())) / (1 - sum(lower(x) for x in seen)) * lower(w)
+        memo[h, w] = out
+        return out
+
+    known = tables[1][0][()]
+    out = []
+    for t in rows:
+        full, score = [start, *words(t), end], 0.0
+        for i in range(1, len(full)):
+            n = min(order - 1, i)
+            h = tuple(full[i - n : i])
+            while h and any(x not in known and x != start for x in h):  # a word unknown in training starts the history anew
+                h = h[1:]
+            score += math.log10(p(h, full[i]))
+        out.append(score)
+    return out, p, known
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz_of_any_order(docs, spark, order, monkeypatch):
+    monkeypatch.setattr(katz, "WORDS_PER_BUCKET", 500)
+    rows = docs.select("doc_id", "text").filter("length(text) < 4000 OR text IS NULL").collect()
+    held = [zlib.crc32(b"" if r.doc_id is None else str(r.doc_id).encode()) % 7 == 2 for r in rows]
+    want, p, known = brute_katz_of_order([r.text for r in rows], held, order)
+    for h in ((), (0,), (b"one",), (b"one", b"two"), (0, b"one"), (b"word", b"word")):
+        if len(h) < order:
+            assert sum(p(h, w) for w in known) + p(h, b"unknown!") == pytest.approx(1)
+    frame = spark.createDataFrame([(r.doc_id, r.text) for r in rows], "doc_id long, text string")
+    got = sorted((repr(r.doc_id), r.n_tokens, r.score) for r in katz.scores(frame, order=order, chunk=300, rows_a_chunk=0).collect())
+    assert got == [(a, n, pytest.approx(x, rel=1e-9)) for a, n, x in sorted((repr(r.doc_id), len(words(r.text)) + 1, w) for r, w in zip(rows, want, strict=True))]
 
 
 def test_katz_without_training_or_rows(spark):
