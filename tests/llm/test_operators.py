@@ -750,6 +750,9 @@ def test_files(docs, spark, tmp_path, monkeypatch):
         at += len(ids)
     assert got == rows
     assert manifest.count() > 1 and not list(tmp_path.glob("ids/*.tmp"))
+    one_id = spark.createDataFrame([(5, fx.prose(900 + k, 60)) for k in range(60)], "doc_id long, text string")
+    several = rans.write(one_id, f"file://{tmp_path}/one")
+    assert several.count() > 1 and sorted(r.ids_crc32 for r in rans.read(spark, several).collect()) == sorted(zlib.crc32(reference_ids(r.text, 1).tobytes()) for r in one_id.collect())
     path = manifest.first().path.removeprefix("file://")
     damaged = bytearray(open(path, "rb").read())
     offset, size, _, _ = rans.checkpoints(f"file://{path}")[0]
