@@ -1,10 +1,11 @@
 """Quality rules by tokeniser fertility, beside the usual word and line counts.
 
-A public sentence-piece vocabulary with byte fallback cuts every word; over the
-whole text that gives tokens a word (fertility), characters a token, the share
-of byte-fallback tokens and the entropy of the token counts.  A text is
-rejected if one of them leaves the band of its language or, where the language
-is unknown, of its main script; or if the word and line counts fail.
+Public vocabularies cut every word: a sentence-piece one with byte fallback and
+a byte-level one for many languages.  Over the whole text each gives tokens a
+word (fertility), characters a token, the share of tokens that are single bytes
+of a letter (byte fallback) and the entropy of the token counts.  A text is
+rejected if one of them leaves the vocabulary's band for its language or, where
+the language is unknown, for its main script; or if the word and line counts fail.
 
 Defined results: a null text has no words and fails; so does an empty one.
 White space is ``[\\x20\\x09-\\x0D]``.  The least entropy of a band holds for long
@@ -17,8 +18,10 @@ null ids and extra columns change nothing.
 
 from __future__ import annotations
 
+import base64
 import os
 import sys
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -33,7 +36,8 @@ from pyspark.sql import functions as F
 from .common import bound_batches, fresh, mix64
 from .tokenization import LONGEST, MEMO, batches_of, gathered, vocabulary_path
 
-VOCABULARY = "piece_bpe_32k.model"
+#: The vocabularies, and what the names of their measures begin with.
+VOCABULARIES = {"piece_bpe_32k.model": "", "byte_bpe_multi_50k.tiktoken": "multi_"}
 SYMBOLS, NO_SPACE = r"[#*$%&|<>]", r"[^\x20\x09-\x0D]"
 MIN_WORDS, MAX_REPEATED = 50, 50
 
@@ -53,22 +57,55 @@ class Band:
         return fits and min(low, 0.5 * np.log2(max(1, tokens))) <= entropy <= high
 
 
-#: Bands by language, then by script.
-BANDS = {
-    "en": Band(3.3, (1.3, 6.5), 0.05, (4.0, 12.0)),
-    "fr": Band(3.5, (1.3, 6.5), 0.05, (4.0, 12.0)),
-    "de": Band(3.5, (1.3, 6.5), 0.05, (4.0, 12.0)),
-    "es": Band(3.7, (1.3, 6.5), 0.05, (4.0, 12.0)),
-    "Latin": Band(3.7, (1.2, 7.0), 0.10, (4.0, 12.0)),
-    "Greek": Band(8.0, (0.7, 4.0), 0.40, (3.0, 12.0)),
-    "Cyrillic": Band(6.0, (1.0, 5.0), 0.10, (4.0, 12.0)),
-    "other": Band(float("inf"), (0.2, 20.0), 0.95, (2.0, 14.0)),
+ANY = float("inf")
+Bands = dict[str, dict[str, Band]]  # vocabulary -> language or script -> band
+
+#: Bands by vocabulary, then by language or script.
+BANDS: Bands = {
+    "piece_bpe_32k.model": {
+        "en": Band(3.3, (1.3, 6.5), 0.05, (4.0, 12.0)),
+        "fr": Band(3.5, (1.3, 6.5), 0.05, (4.0, 12.0)),
+        "de": Band(3.5, (1.3, 6.5), 0.05, (4.0, 12.0)),
+        "es": Band(3.7, (1.3, 6.5), 0.05, (4.0, 12.0)),
+        "Latin": Band(4.2, (0.9, 7.0), 0.10, (4.0, 12.0)),
+        "Greek": Band(10.0, (0.6, 4.0), 0.40, (3.0, 12.0)),
+        "Cyrillic": Band(6.0, (1.0, 5.0), 0.10, (4.0, 12.0)),
+        "Arabic": Band(8.0, (0.6, 3.0), 0.40, (3.5, 12.0)),
+        "Hebrew": Band(8.0, (0.6, 3.0), 0.40, (3.5, 12.0)),
+        "Devanagari": Band(9.0, (0.5, 3.0), 0.50, (3.5, 12.0)),
+        "Thai": Band(ANY, (0.5, 3.0), 0.50, (3.5, 12.0)),
+        "Han": Band(ANY, (0.3, 2.5), 0.97, (3.5, 13.0)),
+        "Kana": Band(ANY, (0.4, 2.5), 0.90, (3.5, 13.0)),
+        "Hangul": Band(10.0, (0.3, 3.0), 0.90, (3.5, 13.0)),
+        "other": Band(ANY, (0.2, 20.0), 0.95, (2.0, 14.0)),
+    },
+    "byte_bpe_multi_50k.tiktoken": {
+        "en": Band(3.3, (1.4, 6.5), 0.05, (4.0, 12.0)),
+        "fr": Band(3.7, (1.4, 6.5), 0.06, (4.0, 12.0)),
+        "de": Band(3.4, (1.4, 6.5), 0.06, (4.0, 12.0)),
+        "es": Band(3.4, (1.4, 6.5), 0.05, (4.0, 12.0)),
+        "Latin": Band(4.0, (1.1, 7.0), 0.15, (4.0, 12.0)),
+        "Greek": Band(7.0, (0.8, 5.0), 0.30, (3.0, 12.0)),
+        "Cyrillic": Band(5.5, (1.0, 6.0), 0.15, (4.0, 12.0)),
+        "Arabic": Band(7.0, (0.7, 4.0), 0.30, (3.5, 12.0)),
+        "Hebrew": Band(7.0, (0.7, 4.0), 0.30, (3.5, 12.0)),
+        "Devanagari": Band(10.0, (0.4, 3.0), 0.60, (3.5, 12.0)),
+        "Thai": Band(ANY, (0.4, 3.0), 0.60, (3.5, 12.0)),
+        "Han": Band(ANY, (0.3, 2.5), 0.97, (3.5, 13.0)),
+        "Kana": Band(ANY, (0.4, 2.5), 0.90, (3.5, 13.0)),
+        "Hangul": Band(9.0, (0.3, 3.0), 0.70, (3.5, 13.0)),
+        "other": Band(ANY, (0.2, 20.0), 0.97, (2.0, 14.0)),
+    },
 }
 
 #: Code-point ranges of scripts that have a band.
-SCRIPTS = (("Latin", 0x41, 0x24F), ("Greek", 0x370, 0x3FF), ("Cyrillic", 0x400, 0x52F), ("Latin", 0x1E00, 0x1EFF))
+SCRIPTS = (
+    ("Latin", 0x41, 0x24F), ("Greek", 0x370, 0x3FF), ("Cyrillic", 0x400, 0x52F), ("Hebrew", 0x590, 0x5FF), ("Arabic", 0x600, 0x6FF), ("Arabic", 0x750, 0x77F), ("Devanagari", 0x900, 0x97F), ("Thai", 0xE00, 0xE7F),
+    ("Hangul", 0x1100, 0x11FF), ("Latin", 0x1E00, 0x1EFF), ("Greek", 0x1F00, 0x1FFF), ("Kana", 0x3040, 0x30FF), ("Han", 0x3400, 0x4DBF), ("Han", 0x4E00, 0x9FFF), ("Hangul", 0xAC00, 0xD7AF),
+)
 
-COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, fertility double, chars_per_token double, fallback_share double, token_entropy double, band string, kept boolean"
+MEASURES = ("fertility", "chars_per_token", "fallback_share", "token_entropy")
+COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, " + "".join(f"{prefix}{m} double, " for prefix in VOCABULARIES.values() for m in MEASURES) + "band string, kept boolean"
 
 
 #: What script_of() tells apart, in the order that decides ties.
@@ -95,14 +132,42 @@ def script_of(text: str, chars: int = 1 << 16) -> str:
     return NAMES[int(counts[1:].argmax())] if counts[1:].any() else "other"
 
 
-class Meter:
-    """Measures texts, many at a time: Arrow splits them and numbers their distinct words, of which it keeps a bounded memo."""
+class Pieces:
+    """A sentence-piece vocabulary."""
 
-    def __init__(self, path: str, memo: int = MEMO):
+    def __init__(self, path: str):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.bytes = np.fromiter((self.model.is_byte(i) for i in range(self.model.vocab_size())), bool, self.model.vocab_size())
+
+    def encode(self, words: list[str]) -> list[list[int]]:
+        return self.model.encode(words, num_threads=1)
+
+
+class Bytes:
+    """A byte-level vocabulary; words are encoded as after a blank."""
+
+    def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        self.model = tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.bytes = np.zeros(max(ranks.values()) + 1, bool)
+        self.bytes[[rank for token, rank in ranks.items() if len(token) == 1 and token[0] >= 128]] = True
+
+    def encode(self, words: list[str]) -> list[list[int]]:
+        encode = self.model.encode_ordinary
+        return [encode(" " + w) for w in words]
+
+
+class Vocabulary:
+    """A vocabulary and a bounded memo of the words that it has cut."""
+
+    def __init__(self, path: str, memo: int = MEMO):
+        self.model = Pieces(path) if path.endswith(".model") else Bytes(path)
         self.memo: dict[str, bytes] = {}
         self.limit = memo
 
@@ -112,15 +177,38 @@ class Meter:
         if len(self.memo) + len(new) > self.limit:
             self.memo.clear()
             new = words
-        for w, ids in zip(new, self.model.encode(new, num_threads=1), strict=True):
-            self.memo[w] = np.array(ids, np.uint16).tobytes()
+        for w, ids in zip(new, self.model.encode(new), strict=True):
+            self.memo[w] = array("H", ids).tobytes()
         packed = [self.memo[w] for w in words]
         for w in new:
             if len(w) > LONGEST:
                 del self.memo[w]
         return np.frombuffer(b"".join(packed), np.uint16), np.fromiter(map(len, packed), np.int64, len(packed)) // 2
 
-    def measure_many(self, texts: list[str | None], langs: list[str | None], bands: dict[str, Band]) -> pd.DataFrame:
+
+class Meter:
+    """Measures texts, many at a time: Arrow splits them and numbers their distinct words, which the vocabularies cut."""
+
+    def __init__(self, paths: tuple[str, ...], memo: int = MEMO):
+        self.vocabularies = {os.path.basename(p): Vocabulary(p, memo) for p in paths}
+
+    def measures(self, name: str, words: list[str], which: np.ndarray, n: np.ndarray, chars: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(tokens, MEASURES) of each text by one vocabulary.  which: the words' numbers, cut into texts."""
+        vocabulary = self.vocabularies[name]
+        pool, size = vocabulary.encode(words)
+        start = np.cumsum(size) - size
+        fallback = np.concatenate(([0], np.cumsum(vocabulary.model.bytes[pool])))
+        tokens, single = summed(size, which, cuts), summed(fallback[start + size] - fallback[start], which, cuts)
+        ids, at, some = gathered(pool, start[which], size[which]), np.concatenate(([0], np.cumsum(tokens))), np.maximum(tokens, 1)
+        entropy = np.zeros(len(n))
+        for i in np.flatnonzero(tokens).tolist():
+            counts = np.bincount(ids[at[i] : at[i + 1]])
+            counts = counts[counts > 0]
+            if len(counts) > 1:
+                entropy[i] = np.log2(some[i]) - (counts * np.log2(counts)).sum() / some[i]
+        return tokens, [tokens / np.maximum(n, 1), chars / some, single / some, entropy]
+
+    def measure_many(self, texts: list[str | None], langs: list[str | None], bands: Bands) -> pd.DataFrame:
         texts = [t or "" for t in texts]
         whole = pa.array(texts, pa.large_string())
         split = pc.ascii_split_whitespace(whole)
@@ -130,35 +218,29 @@ class Meter:
         cuts = np.concatenate(([0], np.cumsum(there)))[split.offsets.to_numpy()]
         which = which[there]
 
-        def of_texts(of_words) -> np.ndarray:
-            return np.diff(np.concatenate(([0], np.cumsum(np.asarray(of_words)[which])))[cuts])
-
-        pool, size = self.encode(words.to_pylist())
-        start = np.cumsum(size) - size
-        fallback = np.concatenate(([0], np.cumsum(self.bytes[pool])))
-        n, chars, tokens = np.diff(cuts), of_texts(pc.utf8_length(words)), of_texts(size)
-        shares = of_texts(fallback[start + size] - fallback[start])
-        symbols = of_texts(pc.count_substring_regex(words, SYMBOLS))
+        n, chars = np.diff(cuts), summed(pc.utf8_length(words), which, cuts)
+        symbols = summed(pc.count_substring_regex(words, SYMBOLS), which, cuts)
         repeated = repeated_words(which, cuts, len(words))
         failed = (n < MIN_WORDS) | (100 * repeated > MAX_REPEATED * n)
-        ids, at = gathered(pool, start[which], size[which]), np.concatenate(([0], np.cumsum(tokens)))
-        some = np.maximum(tokens, 1)
-        fertility, per_token, share = tokens / np.maximum(n, 1), chars / some, shares / some
-        entropies, names, kept = [], [], []
+        found = {v: self.measures(v, words.to_pylist(), which, n, chars, cuts) for v in self.vocabularies}
+        names, kept = [], []
         for i, (text, lang) in enumerate(zip(texts, langs, strict=True)):
-            counts = np.bincount(ids[at[i] : at[i + 1]])
-            p = counts[counts > 0] / some[i]
-            entropies.append(float(-(p * np.log2(p)).sum()) if len(p) > 1 else 0.0)
-            names.append(lang if lang in bands else script_of(text))
-            band = bands.get(names[-1], bands["other"])
-            kept.append(bool(not failed[i] and band.holds(int(tokens[i]), fertility[i], per_token[i], share[i], entropies[-1])))
-        rows = (n, chars, symbols, duplicate_lines(whole), repeated, failed, fertility, per_token, share, entropies, names, kept)
+            known = all(lang in bands[v] for v in found)
+            names.append(lang if known else script_of(text))
+            fits = not failed[i] and all(bands[v].get(names[-1], bands[v]["other"]).holds(int(tokens[i]), *[m[i] for m in values]) for v, (tokens, values) in found.items())
+            kept.append(bool(fits))
+        rows = (n, chars, symbols, duplicate_lines(whole), repeated, failed, *[m for _, values in found.values() for m in values], names, kept)
         return pd.DataFrame(dict(zip([c.split()[0] for c in COLUMNS.split(", ")], rows, strict=True)))
 
-    def measure(self, text: str | None, lang: str | None, bands: dict[str, Band]) -> tuple:
+    def measure(self, text: str | None, lang: str | None, bands: Bands) -> tuple:
         return tuple(self.measure_many([text], [lang], bands).iloc[0])
 
 
+def summed(of_words, which: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Sums over the words of each text."""
+    return np.diff(np.concatenate(([0], np.cumsum(np.asarray(of_words)[which])))[cuts])
+
+
 def duplicate_lines(texts: pa.Array) -> np.ndarray:
     """Of each text, its lines with a word that equal an earlier line."""
     lines = pc.split_pattern(texts, "\n")
@@ -195,23 +277,27 @@ def repeated_words(which: np.ndarray, cuts: np.ndarray, distinct: int, width: in
     return np.bincount(owner[covered], minlength=texts)
 
 
-_METERS: dict[tuple[str, int], Meter] = {}
+_METERS: dict[tuple, Meter] = {}
 
 
-def worker_meter(path: str) -> Meter:
-    key = (path, os.getpid())
+def worker_meter(paths: tuple[str, ...]) -> Meter:
+    key = (paths, os.getpid())
     if key not in _METERS:
-        _METERS[key] = Meter(path)
+        _METERS[key] = Meter(paths)
     return _METERS[key]
 
 
-def verdict_udf(path: str | None = None, bands: dict[str, Band] = BANDS):
+def vocabulary_paths() -> tuple[str, ...]:
+    return tuple(vocabulary_path(v) for v in VOCABULARIES)
+
+
+def verdict_udf(paths: tuple[str, ...] | None = None, bands: Bands = BANDS):
     """A Pandas UDF (text, lang) -> struct of COLUMNS."""
-    path = path or vocabulary_path(VOCABULARY)
+    paths = paths or vocabulary_paths()
 
     @F.pandas_udf(COLUMNS)
     def measured(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        meter = worker_meter(path)
+        meter = worker_meter(paths)
         for texts, langs in batches:
             langs, found, at = langs.tolist(), [], 0
             for some in batches_of(texts):
@@ -222,17 +308,17 @@ def verdict_udf(path: str | None = None, bands: dict[str, Band] = BANDS):
     return measured
 
 
-def quality(docs: DataFrame, path: str | None = None, bands: dict[str, Band] = BANDS) -> DataFrame:
+def quality(docs: DataFrame, paths: tuple[str, ...] | None = None, bands: Bands = BANDS) -> DataFrame:
     """doc_id and COLUMNS for every row of docs (doc_id, text, lang)."""
     bound_batches(docs.sparkSession)
-    return docs.select("doc_id", verdict_udf(path, bands)("text", "lang").alias("m")).select("doc_id", "m.*")
+    return docs.select("doc_id", verdict_udf(paths, bands)("text", "lang").alias("m")).select("doc_id", "m.*")
 
 
-def keep_good(docs: DataFrame, path: str | None = None, bands: dict[str, Band] = BANDS) -> DataFrame:
+def keep_good(docs: DataFrame, paths: tuple[str, ...] | None = None, bands: Bands = BANDS) -> DataFrame:
     """The rows of docs that the rules keep, with their columns as they are."""
     bound_batches(docs.sparkSession)
     m = fresh(docs, "_measured")
-    return docs.withColumn(m, verdict_udf(path, bands)("text", "lang")).filter(F.col(f"{m}.kept")).drop(m)
+    return docs.withColumn(m, verdict_udf(paths, bands)("text", "lang")).filter(F.col(f"{m}.kept")).drop(m)
 
 
 def oracle_sql() -> str:

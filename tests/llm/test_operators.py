@@ -374,41 +374,71 @@ def test_quality(docs, spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in out)
 
 
-def brute_quality(model, text, lang):
-    """fertility, characters a token, fallback share, entropy, band and verdict, word by word."""
+def brute_quality(encoders, text, lang):
+    """The measures of each vocabulary, band and verdict, word by word."""
     text = text or ""
     n, chars, _, _, _, failed = brute_base(text)
-    ids = [i for w in text.encode().split() for i in model.encode(w.decode())]
-    fertility_, per, share, entropy = len(ids) / max(n, 1), chars / max(1, len(ids)), sum(map(model.is_byte, ids)) / max(1, len(ids)), 0.0
-    for c in collections.Counter(ids).values():
-        entropy -= c / len(ids) * math.log2(c / len(ids))
-    name = lang if lang in fertility.BANDS else fertility.script_of(text)
-    b = fertility.BANDS[name]
-    low = min(b.entropy[0], math.log2(len(ids)) / 2) if ids else 0
-    fits = fertility_ <= b.fertility and b.chars[0] <= per <= b.chars[1] and share <= b.fallback and low <= entropy <= b.entropy[1]
-    return fertility_, per, share, entropy, name, fits and not failed
+    known = all(lang in fertility.BANDS[v] for v in encoders)
+    name, out, fits = lang if known else fertility.script_of(text), [], not failed
+    for v, (encode, is_byte) in encoders.items():
+        ids = [i for w in text.encode().split() for i in encode(w.decode())]
+        tokens, share, per, entropy = len(ids) / max(n, 1), sum(map(is_byte, ids)) / max(1, len(ids)), chars / max(1, len(ids)), 0.0
+        for c in collections.Counter(ids).values():
+            entropy -= c / len(ids) * math.log2(c / len(ids))
+        b = fertility.BANDS[v][name]
+        low = min(b.entropy[0], math.log2(len(ids)) / 2) if ids else 0
+        fits = fits and tokens <= b.fertility and b.chars[0] <= per <= b.chars[1] and share <= b.fallback and low <= entropy <= b.entropy[1]
+        out += [tokens, per, share, entropy]
+    return out, name, fits
 
 
 def test_bands_against_brute_force(docs, spark):
+    import base64
+
+    import public_tokenizers
     import sentencepiece
+    import tiktoken
 
-    path = tokenization.vocabulary_path(fertility.VOCABULARY)
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    piece, multi = fertility.vocabulary_paths()
+    model = sentencepiece.SentencePieceProcessor(model_file=piece)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(multi, "rb"))}
+    bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    encoders = {"piece_bpe_32k.model": (model.encode, model.is_byte), "byte_bpe_multi_50k.tiktoken": (lambda w: bpe.encode_ordinary(" " + w), lambda i: len(b := bpe.decode_single_token_bytes(i)) == 1 and b[0] > 127)}
     rows = [(r.text, r.lang) for r in docs.collect()]
     rows += [(fx.prose(20, 200) + " 日本語 🜁🜂", None), (" ".join(f"q{k}x" for k in range(70)), "en"), ("ab " * 49 + "cd", "fr"), ("⁂⁑※ " * 20 + " ".join(map(str, range(60))), "de")]
     rows += [(" ".join([w] * k + [f"w{i}" for i in range(60)]), x) for k, x, w in ((30, "en", "ja"), (200, "es", "no"), (0, "Greek", "x"))]
     rows += [(" \x0b\x0c lead  trail\r\n", None), ("a\u00a0b\x1cc\x85d " * 60, None), ("same line\nsame line\n \n \nx" * 3, "en")]
+    rows += [(" ".join(c * 3 + chr(ord(c) + k % 9) for k in range(70)), None) for c in "жλאبकกか漢가"]
     rows += [(r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
-    meter = fertility.Meter(path, memo=300)
+    meter = fertility.Meter((piece, multi), memo=300)
     got = meter.measure_many([t for t, _ in rows], [x for _, x in rows], fertility.BANDS)
-    assert got["fallback_share"].max() > 0 and 0 < got["kept"].sum() < len(rows)
+    assert got["fallback_share"].max() > 0 and got["multi_fallback_share"].max() > 0 and 0 < got["kept"].sum() < len(rows)
+    assert {"Latin", "Greek", "Cyrillic", "Hebrew", "Arabic", "Devanagari", "Thai", "Kana", "Han", "Hangul"} <= set(got["band"])
     for (text, lang), (_, r) in zip(rows, got.iterrows(), strict=True):
         assert tuple(r)[:6] == brute_base(text)
-        want = brute_quality(model, text, lang)
-        assert tuple(r)[6:10] == pytest.approx(want[:4]) and tuple(r)[10:] == want[4:], text
+        want = brute_quality(encoders, text, lang)
+        assert tuple(r)[6:14] == pytest.approx(want[0], abs=1e-9) and tuple(r)[14:] == want[1:], text
         assert tuple(r)[:6] == meter.measure(text, lang, fertility.BANDS)[:6]
 
 
+def test_text_of_many_scripts_fits_its_bands():
+    samples = {
+        "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах", "el": "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα",
+        "he": "כל בני האדם נולדו בני חורין ושווים בערכם ובזכויותיהם", "ar": "يولد جميع الناس أحراراً متساوين في الكرامة والحقوق", "hi": "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है",
+        "ko": "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다", "vi": "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền lợi", "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan",
+        "zh": "人人生而自由 在尊严和权利上一律平等", "ja": "すべての人間は 生まれながらにして自由であり かつ 尊厳と権利とについて平等である", "th": "มนุษย์ทั้งหลายเกิดมามีอิสระ และเสมอภาคกัน ในเกียรติศักดิ์และสิทธิ",
+    }
+    meter = fertility.Meter(fertility.vocabulary_paths())
+    for k, (lang, text) in enumerate(samples.items()):
+        rng = np.random.default_rng(k)
+        whole = " ".join(w for _ in range(12) for w in rng.permutation(text.split()))
+        (r,) = meter.measure_many([whole], [lang], fertility.BANDS).to_dict("records")
+        assert r["band"] == fertility.script_of(text) != "other"
+        for v, prefix in fertility.VOCABULARIES.items():
+            measures = [r[prefix + m] for m in fertility.MEASURES]
+            assert fertility.BANDS[v][r["band"]].holds(round(measures[0] * r["n_words"]), *measures), (lang, v, measures)
+
+
 def test_script_is_of_the_whole_text(spark):
     greek, latin = "".join(chr(0x3B1 + k % 17) for k in range(400)), "abcdefgh" * 50
     by_hand = lambda t: [next((s for s, a, z in fertility.SCRIPTS if a <= ord(c) <= z), "other") for c in t if c.isalpha()]
@@ -421,7 +451,7 @@ def test_script_is_of_the_whole_text(spark):
     assert sum(map(str.isalpha, header)) > 400
     rows = [(1, header + " " + body, None), (2, header + " " + body, "xx"), (3, header + " " + body, "en"), (4, body + " " + header * 9, None)]
     got = {r.doc_id: (r.band, r.kept) for r in fertility.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
-    assert got[1] == got[2] == ("other", True) and got[3] == ("en", False) and got[4][0] == "Latin"
+    assert got[1] == got[2] == ("Han", True) and got[3] == ("en", False) and got[4][0] == "Latin"
 
 
 def test_good_documents_stay(spark):

@@ -30,7 +30,7 @@ def test_stages(spark, corpus):
     path, rows, item = corpus
     key = lambda r: (repr(r[0]), repr(r[1]))
     docs, left = spark.read.parquet(f"{path}/documents.parquet"), rows
-    meter = fertility.worker_meter(tokenization.vocabulary_path(fertility.VOCABULARY))
+    meter = fertility.worker_meter(fertility.vocabulary_paths())
     model = toxicity.train(docs, spark.read.parquet(f"{path}/labels.parquet")).scorer()
     items = [decontamination.fold(item), decontamination.fold(fx.prose(78, 30))]
 
