@@ -100,6 +100,8 @@ def test_written_tables_are_cleared(spark):
 
     t = scratch.written(spark.range(5).toDF("x"), "numbers")
     assert t.count() == 5
+    broadcast = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+    assert broadcast(scratch.small(t)) and not broadcast(scratch.small(t, rows=4)) and not broadcast(scratch.small(t, megabytes=0))
     scratch.clear(spark)
     with pytest.raises(Exception, match="(?i)not exist|not found"):
         spark.read.parquet(t.inputFiles()[0])
