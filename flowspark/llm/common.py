@@ -45,12 +45,19 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def bound_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Caps the rows of the Arrow batches that go to Python workers: they carry whole texts, and ten thousand of them fill a worker."""
+def bound_batches(spark: SparkSession, rows: int = 1_000, megabytes: int = 8) -> None:
+    """Caps the rows and bytes of the Arrow batches that go to Python workers: they carry whole texts or packed chunks, and ten thousand of them fill a worker.
+
+    A batch ends with the row that reaches the limit, so no row is cut.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     held = int(spark.conf.get(name, "10000"))
     if held <= 0 or held > rows:
         spark.conf.set(name, str(rows))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = int(spark.conf.get(name, "0").rstrip("b"))
+    if held <= 0 or held > megabytes << 20:
+        spark.conf.set(name, str(megabytes << 20))
 
 
 def discard(df: DataFrame) -> None:
