@@ -55,9 +55,9 @@ def bound_batches(spark: SparkSession, rows: int = 1_000, megabytes: int = 8) ->
     if held <= 0 or held > rows:
         spark.conf.set(name, str(rows))
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = int(spark.conf.get(name, "0").rstrip("b"))
-    if held <= 0 or held > megabytes << 20:
-        spark.conf.set(name, str(megabytes << 20))
+    held = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name, f"{megabytes << 20}b"))
+    if held > megabytes << 20:
+        spark.conf.set(name, f"{megabytes << 20}b")
 
 
 def discard(df: DataFrame) -> None:
