@@ -55,6 +55,7 @@ from .tokenization import Memo
 
 K, ORDER = 5, 2
 CHUNK = 750_000  # tokens
+REMEMBERED = 60_000  # word hashes of a generation of a task's memo: a rare word is hashed as fast as it is looked up
 MOST_FREQUENT = 50_000  # histories whose sums are sent to every task
 ROWS_A_CHUNK = 10_000  # buckets that chunks put their questions to, at most
 WORDS_PER_BUCKET, PAIRS_PER_BUCKET = 1_000_000, 1_000_000
@@ -122,7 +123,7 @@ def chunked(docs: DataFrame, held_out: int, of: int, size: int) -> DataFrame:
     rows = docs.select(id_text(), "text", (crc_of_id() % of == held_out).alias("held"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, part, number = Memo(word_hash), TaskContext.get().partitionId(), 0
+        hashes, part, number = Memo(word_hash, REMEMBERED), TaskContext.get().partitionId(), 0
         ids: list = []
         held: list[bool] = []
         arrays: list[np.ndarray] = []
