@@ -173,16 +173,15 @@ class Vocabulary:
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the words in a row, how many each has); the words are distinct."""
-        new = [w for w in words if w not in self.memo]
+        packed = list(map(self.memo.get, words))
+        places = [i for i, p in enumerate(packed) if p is None]
+        new = [words[i] for i in places]
+        made = [array("H", ids).tobytes() for ids in self.model.encode(new)]
+        for i, p in zip(places, made, strict=True):
+            packed[i] = p
         if len(self.memo) + len(new) > self.limit:
             self.memo.clear()
-            new = words
-        for w, ids in zip(new, self.model.encode(new), strict=True):
-            self.memo[w] = array("H", ids).tobytes()
-        packed = [self.memo[w] for w in words]
-        for w in new:
-            if len(w) > LONGEST:
-                del self.memo[w]
+        self.memo.update((w, p) for w, p in zip(new[: self.limit], made, strict=False) if len(w) <= LONGEST)
         return np.frombuffer(b"".join(packed), np.uint16), np.fromiter(map(len, packed), np.int64, len(packed)) // 2
 
 
@@ -222,7 +221,8 @@ class Meter:
         symbols = summed(pc.count_substring_regex(words, SYMBOLS), which, cuts)
         repeated = repeated_words(which, cuts, len(words))
         failed = (n < MIN_WORDS) | (100 * repeated > MAX_REPEATED * n)
-        found = {v: self.measures(v, words.to_pylist(), which, n, chars, cuts) for v in self.vocabularies}
+        distinct = words.to_pylist()
+        found = {v: self.measures(v, distinct, which, n, chars, cuts) for v in self.vocabularies}
         names, kept = [], []
         for i, (text, lang) in enumerate(zip(texts, langs, strict=True)):
             known = all(lang in bands[v] for v in found)
