@@ -40,7 +40,8 @@ ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -57,6 +58,7 @@ CENTRES = 64  # drawn in larger buckets, four times as many each round
 AGREEING = 84  # of the 128 signature values, by two bits each
 SKETCH = "doc_id long, nameless boolean, n_shingles long, hi long, lo long, bands array<long>, bits array<long>"
 REMEMBERED = 200_000  # word hashes of a worker
+MANY = 20_000  # distinct sets from which on the shuffle files of each step are dropped before the next
 FEW, SALTS = 100_000, 32  # centres that may be broadcast; beyond, the parts that the rows of one centre are dealt to
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -139,15 +141,15 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "nameless", "text").mapInPandas(run, SKETCH)
 
 
-def compare(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """What comparing each pair (a, b) tells; texts: (doc_id, text).
+def compare(pairs: DataFrame, texts: DataFrame, width: int, percent: int, of_b: DataFrame | None = None) -> DataFrame:
+    """What comparing each pair (a, b) tells; texts: (doc_id, text), of a alone if of_b is given.
 
     linked: 100 * intersection >= percent * union; extra: a's shingles that b
     lacks; common: how many they share; lacks: a bit for each of 256 buckets
     that holds a shingle of b that a lacks.
     """
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    right = (texts if of_b is None else of_b).select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     # merge: ids and texts have no size bound to broadcast them by, and sorted rows bring one centre's pairs together
     both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
 
@@ -174,6 +176,22 @@ def compare(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return both.mapInPandas(run, "a long, b long, linked boolean, extra array<long>, common long, lacks array<long>")
 
 
+def star_of(pairs: DataFrame, texts: DataFrame, width: int, percent: int, tidy: Callable[[], None]) -> list[DataFrame]:
+    """compare() of written pairs with their centres, in so many written parts that each carries about as many rows of texts as there are."""
+    parts = max(1, -(-pairs.count() // max(1, texts.count())))
+    if parts == 1:
+        return [materialize(compare(pairs, texts, width, percent), "compared")]
+    hubs = materialize(texts.join(pairs.select(F.col("b").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "hubs")
+    out = []
+    for k in range(parts):
+        of_part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)) == k  # noqa: B023, E731
+        tidy()
+        out.append(materialize(compare(pairs.filter(of_part("a")), texts.filter(of_part("doc_id")), width, percent, hubs), "compared"))
+    discard(hubs)
+    tidy()
+    return out
+
+
 def bounds(star: DataFrame) -> DataFrame:
     """centre, rep, common, lacks and others' of members compared with a centre.
 
@@ -211,15 +229,31 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     least = F.coalesce(F.min(F.when(~F.col("nameless"), F.col("doc_id"))), F.min("doc_id"))
     sets = full.groupBy("hi", "lo", "n_shingles").agg(least.alias("rep"), F.min("nameless").alias("nameless"), F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits"))
     sets = materialize(sets, "classes")
+    many = sets.count() > MANY
+
+    def tidy() -> None:
+        """Else the disks hold the shuffles of all steps at once."""
+        if many:
+            release(docs.sparkSession)
+
+    tidy()
     rows, same = rows_of(sketches, sets)
+    alone = sketches.filter("n_shingles = 0 AND nameless").select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    alone = materialize(alone, "alone")
+    discard(sketches)
     members = sets.select("rep", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("x"), F.max("rep").alias("y")).filter(F.col("x") != F.col("y")).select("key", "m")
     buckets = materialize(members.join(shared, "key"), "buckets")
-    crowd = buckets.groupBy("rep").agg(F.sum("m").alias("crowd"))
-    info = sets.select("rep", F.col("n_shingles").alias("n"), *[F.col("bits")[i].alias(f"s{i}") for i in range(4)]).join(crowd, "rep")
+    tidy()
+    crowd = materialize(buckets.groupBy("rep").agg(F.sum("m").alias("crowd")), "crowd")
+    info = sets.select("rep", F.col("n_shingles").alias("n"), *[F.col("bits")[i].alias(f"s{i}") for i in range(4)]).join(crowd, "rep", "left_semi")
     info = materialize(info, "info")
+    names = materialize(sets.select("rep", "nameless"), "names")
+    discard(sets)
     texts = docs.filter("NOT nameless").unionByName(docs.filter("nameless AND text IS NOT NULL").dropDuplicates(["doc_id"])).drop("nameless")
-    texts = materialize(texts.join(info.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "texts")
+    texts = texts.join(crowd.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
+    texts = materialize(texts.dropDuplicates(["doc_id", "text"]), "texts")  # rows that repeat would multiply each pair
+    tidy()
 
     def alike(left: str, right: str) -> Column:
         """Neither set sizes nor signature bits rule the pair out."""
@@ -228,12 +262,19 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         n, m = col(left, "n"), col(right, "n")
         return (differ <= 2 * PERMUTATIONS - AGREEING) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
 
-    told = buckets.select("key", "rep").join(info, "rep")
-    centre = told.groupBy("key").agg(F.max(F.struct("crowd", (-F.col("rep")).alias("last"), "rep", "n", "s0", "s1", "s2", "s3")).alias("c")).select("key", F.col("c.*"))
-    centre = materialize(centre, "centres")
-    pairs = told.alias("x").join(centre.alias("c"), (F.col("x.key") == F.col("c.key")) & (F.col("x.rep") != F.col("c.rep")) & alike("x", "c"))
-    pairs = pairs.select(F.col("x.rep").alias("a"), F.col("c.rep").alias("b")).distinct()
-    star = materialize(compare(pairs, texts, width, percent), "compared")
+    # a key's members go through shuffles by their names alone; signatures join the distinct pairs
+    centre = buckets.select("key", "rep").join(crowd, "rep").groupBy("key").agg(F.max(F.struct("crowd", F.bitwise_not("rep").alias("last"))).alias("c")).select("key", F.bitwise_not("c.last").alias("rep"))
+    centre = materialize(centre.join(info.groupBy("rep").agg(F.max("n").alias("n")), "rep"), "centres")
+    tidy()
+    met = buckets.select("key", F.col("rep").alias("a")).join(centre.select("key", F.col("rep").alias("b")), "key").filter("a <> b").select("a", "b").distinct()
+    met = materialize(met, "met")
+    tidy()
+    pairs = met.join(info.alias("x"), F.col("x.rep") == F.col("a")).join(info.alias("c"), F.col("c.rep") == F.col("b")).filter(alike("x", "c")).select("a", "b").distinct()
+    pairs = materialize(pairs, "pairs")
+    discard(met)
+    tidy()
+    compared = star_of(pairs, texts, width, percent, tidy)
+    star = reduce(DataFrame.unionByName, compared)
     links = star.filter("linked").select("a", "b").unionByName(same)
     label = components(links)
     bound = materialize(bounds(star), "bounds")
@@ -251,7 +292,7 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         named = open_.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
         named = materialize(named, "named")
         mixed = named.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).filter(F.col("x") != F.col("y")).select("key", "m")
-        rest = named.join(mixed, "key").join(info.drop("crowd"), "rep").join(centres, "key").join(bound, ["centre", "rep"], "left").drop("centre")
+        rest = named.join(mixed, "key").join(info, "rep").join(centres, "key").join(bound, ["centre", "rep"], "left").drop("centre")
         picked = (F.col("m") <= SMALL_BUCKET) | (F.pmod(F.xxhash64("rep", F.lit(drawn)), F.col("m")) < drawn)
         rest = materialize(rest.withColumn("picked", picked), "rest")
         discard(named)
@@ -266,18 +307,17 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
             break
         drawn *= 4
     label = materialize(label, "labels")
-    for done in (buckets, info, texts, centre, star, bound, rest, more):
+    for done in (buckets, crowd, info, texts, centre, pairs, *compared, bound, rest, more):
         discard(done)
     label = label.withColumnRenamed("node", "rep")
     named = rows.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    if sets.filter("nameless").isEmpty():
+    if names.filter("nameless").isEmpty():
         named = named.withColumnRenamed("label", "component_id")
     else:  # a hash may be the least name of its component: the least id takes its place
-        of = sets.select("rep", "nameless").join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        of = names.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         least = of.groupBy("label").agg(F.min(F.when(~F.col("nameless"), F.col("rep"))).alias("least"), F.max("nameless").alias("hashed")).filter("hashed")
         named = named.join(least, "label", "left").withColumn("component_id", F.when(F.col("hashed"), F.col("least")).otherwise(F.col("label")))
     named = named.select(F.when(~F.col("nameless"), F.col("doc_id")).alias("doc_id"), "n_shingles", "component_id")
-    alone = sketches.filter("n_shingles = 0 AND nameless").select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     return named.unionByName(alone).withColumn("kept", kept)
 

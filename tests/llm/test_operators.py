@@ -133,6 +133,33 @@ def test_large_buckets_are_looked_at_by_drawn_centres(spark, monkeypatch):
     assert got == sorted(brute_components(rows, 4, 80))
 
 
+def test_near_duplicates_meet_once(spark, monkeypatch):
+    """Rows that repeat do not multiply the pairs, each step's shuffles are dropped, the least long is an id like any."""
+    held, dropped, compare, release = [], [], minhash.compare, minhash.release
+
+    def counted(pairs, texts, *rest):
+        held.append((texts.count(), texts.distinct().count()))
+        return compare(pairs, texts, *rest)
+
+    monkeypatch.setattr(minhash, "compare", counted)
+    monkeypatch.setattr(minhash, "release", lambda s: (dropped.append(1), release(s)))
+    monkeypatch.setattr(minhash, "MANY", 0)
+    base = fx.prose(21, 90)
+    rows = [(-(2**63), base), (4, base + " one"), (5, base + " two"), (5, fx.prose(22, 40)), (6, fx.prose(22, 40) + " x"), (7, fx.prose(23, 40))] * 3
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect())
+    assert got == sorted(brute_components(rows, 4, 80))
+    assert all(n == distinct for n, distinct in held) and len(dropped) > 3
+
+
+def test_pairs_are_compared_in_parts(spark):
+    """Many pairs of few texts go part by part and tell the same."""
+    texts = spark.createDataFrame([(k, fx.prose(24, 60) + f" end {k}") for k in range(4)] + [(4, fx.prose(25, 30))], "doc_id long, text string")
+    pairs = spark.createDataFrame([(a, b) for a in range(5) for b in range(5) if a != b], "a long, b long")
+    parts = minhash.star_of(pairs, texts, 4, 80, lambda: None)
+    told = lambda d: sorted((r.a, r.b, r.linked, r.common, tuple(r.extra), tuple(r.lacks)) for r in d.collect())
+    assert len(parts) == 4 and sorted(x for p in parts for x in told(p)) == told(minhash.compare(pairs, texts, 4, 80))
+
+
 def test_an_id_with_several_texts_has_the_links_of_all(spark):
     a, b = fx.prose(51, 100).split(), fx.prose(52, 100).split()
     rows = [(5, " ".join(a)), (5, " ".join(b))]
